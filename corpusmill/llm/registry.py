@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from corpusmill.llm import mixing
+from corpusmill.llm import mixing, quality
 
 QUERIES = {
     "op8_mix_sources": mixing.op8_mix_sources,
+    "op10_quality_rules": quality.op10_quality_rules,
 }
 
 ORACLE_SQL = {
