@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from corpusmill.llm import mixing, quality
+from corpusmill.llm import licenses, line_dedup, mixing, quality
 
 QUERIES = {
+    "op2_line_dedup": line_dedup.op2_line_dedup,
+    "op3_license_scan": licenses.op3_license_scan,
     "op8_mix_sources": mixing.op8_mix_sources,
     "op10_quality_rules": quality.op10_quality_rules,
 }
 
 ORACLE_SQL = {
+    "op2_line_dedup": line_dedup.OP2_SQL,
+    "op3_license_scan": licenses.OP3_SQL,
     "op8_mix_sources": mixing.OP8_SQL,
 }
