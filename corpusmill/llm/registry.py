@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from corpusmill.llm import licenses, line_dedup, mixing, packing, quality, toxicity
+from corpusmill.llm import licenses, line_dedup, mixing, packing, quality, suffix_dedup, toxicity
 
 QUERIES = {
     "op2_line_dedup": line_dedup.op2_line_dedup,
     "op3_license_scan": licenses.op3_license_scan,
     "op4_toxicity": toxicity.op4_toxicity,
+    "op5_suffix_dedup": suffix_dedup.op5_suffix_dedup,
     "op8_mix_sources": mixing.op8_mix_sources,
     "op9_pack": packing.op9_pack,
     "op10_quality_rules": quality.op10_quality_rules,
