@@ -200,6 +200,24 @@ def later(h: np.ndarray, g: np.ndarray, doc: np.ndarray, at: np.ndarray, same_do
     return order, (doc != doc[first]) | (same_doc & (at != at[first]))
 
 
+def runs(doc: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(doc, at) of windows of a length -> document, start, end of the runs that windows at neighbouring places make."""
+    order = np.lexsort((at, doc))
+    doc, at = doc[order], at[order].astype(np.int64)
+    new = np.concatenate([[True], (doc[1:] != doc[:-1]) | (at[1:] > at[:-1] + 1)]) if len(doc) else np.zeros(0, bool)
+    last = np.concatenate([new[1:], [True]]) if len(doc) else new
+    return doc[new], at[new], at[last] + length
+
+
+def fits(bounds: np.ndarray, length: int) -> np.ndarray:
+    """Which starts leave `length` places within their document; bounds: where each begins, and the end."""
+    change = np.zeros(bounds[-1] + 1, np.int32)
+    long = np.diff(bounds) >= length
+    np.add.at(change, bounds[:-1][long], 1)
+    np.add.at(change, bounds[1:][long] - length + 1, -1)
+    return np.cumsum(change[:-1]) > 0
+
+
 def send_windows(h: np.ndarray, g: np.ndarray, doc: np.ndarray, at: np.ndarray, length: int, same_doc: bool, dests: int, kinds: tuple[int, int]) -> Iterator[pa.RecordBatch]:
     """Packed rows for one batch's windows: the first place of each content by content; later places, already decided, by document."""
     order, gone = later(h, g, doc, at, same_doc)
@@ -207,7 +225,7 @@ def send_windows(h: np.ndarray, g: np.ndarray, doc: np.ndarray, at: np.ndarray,
     records = np.empty((~gone).sum(), WINDOW)
     records["h"], records["g"], records["doc"], records["at"] = h[~gone], g[~gone], doc[~gone], at[~gone]
     yield packed(records, _dest(records["h"], dests), kinds[0])
-    yield send_spans(doc[gone], at[gone], at[gone].astype(np.int64) + length, dests, kinds[1])
+    yield send_spans(*runs(doc[gone], at[gone], length), dests, kinds[1])
 
 
 def send_spans(doc: np.ndarray, start: np.ndarray, end: np.ndarray, dests: int, kind: int) -> pa.RecordBatch:

@@ -49,23 +49,14 @@ def _documents(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64), flat, bounds
 
 
-def _fits(bounds: np.ndarray, length: int) -> np.ndarray:
-    """Which starts leave `length` bytes within their document."""
-    ok = np.zeros(bounds[-1], bool)
-    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
-        if b - a >= length:
-            ok[a : b - length + 1] = True
-    return ok
-
-
 def find_anchors(batches: Iterator[pa.RecordBatch], dests: int, hot_at: int) -> Iterator[pa.RecordBatch]:
     for batch in rolling.chunks(batches, BATCH):
         ids, flat, bounds = _documents(batch)
         if not len(flat):
             continue
         h = rolling.grams(BYTES[flat], GRAM)
-        h[~_fits(bounds, GRAM)] = rolling.TOP
-        chosen = rolling.winnow(h, LEFT + 1, _fits(bounds, LENGTH))
+        h[~rolling.fits(bounds, GRAM)] = rolling.TOP
+        chosen = rolling.winnow(h, LEFT + 1, rolling.fits(bounds, LENGTH))
         d = np.searchsorted(bounds, chosen, side="right") - 1
         yield from rolling.send_anchors(h[chosen], ids[d], chosen - bounds[d], dests, hot_at)
 
@@ -88,7 +79,7 @@ def send_contexts(batches: Iterator[pa.RecordBatch], dests: int) -> Iterator[pa.
         if hot.any():
             starts = np.unique((place[hot][:, None] - np.arange(LEFT + 1)).ravel())
             starts = starts[starts >= 0]
-            starts = starts[_fits(bounds, LENGTH)[starts]]
+            starts = starts[rolling.fits(bounds, LENGTH)[starts]]
             d = np.searchsorted(bounds, starts, side="right") - 1
             one, two = rolling.grams(BYTES[flat], LENGTH)[starts], rolling.grams(BYTES2[flat], LENGTH)[starts]
             yield from rolling.send_windows(one, two, ids[d], starts - bounds[d], LENGTH, True, dests, (1, 2))
@@ -209,8 +200,9 @@ def receive_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
     w = got[1]
     order, gone = rolling.later(w["h"], w["g"], w["doc"], w["at"], True)
     w = w[order][gone]
-    docs.append(w["doc"])
-    spans.append(rolling.span(w["at"].astype(np.int64), w["at"].astype(np.int64) + LENGTH))
+    doc, start, end = rolling.runs(w["doc"], w["at"], LENGTH)
+    docs.append(doc)
+    spans.append(rolling.span(start, end))
     yield rolling.by_document(np.concatenate(docs), np.concatenate(spans))
 
 
