@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from corpusmill.llm import licenses, line_dedup, mixing, packing, quality, substring_dedup, suffix_dedup, toxicity
+from corpusmill.llm import licenses, line_dedup, mixing, near_dedup, packing, quality, substring_dedup, suffix_dedup, toxicity
 
 QUERIES = {
     "op2_line_dedup": line_dedup.op2_line_dedup,
     "op3_license_scan": licenses.op3_license_scan,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_suffix_dedup": suffix_dedup.op5_suffix_dedup,
+    "op6_near_dedup": near_dedup.op6_near_dedup,
     "op7_substring_dedup": substring_dedup.op7_substring_dedup,
     "op8_mix_sources": mixing.op8_mix_sources,
     "op9_pack": packing.op9_pack,
