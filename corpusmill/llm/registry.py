@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from corpusmill.llm import licenses, line_dedup, mixing, near_dedup, packing, quality, substring_dedup, suffix_dedup, toxicity
+from corpusmill.llm import licenses, line_dedup, mixing, near_dedup, packing, quality, search, substring_dedup, suffix_dedup, toxicity
 
 QUERIES = {
+    "op1_search": search.op1_search,
     "op2_line_dedup": line_dedup.op2_line_dedup,
     "op3_license_scan": licenses.op3_license_scan,
     "op4_toxicity": toxicity.op4_toxicity,
@@ -17,6 +18,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op1_search": search.OP1_SQL,
     "op2_line_dedup": line_dedup.OP2_SQL,
     "op3_license_scan": licenses.OP3_SQL,
     "op8_mix_sources": mixing.OP8_SQL,
