@@ -18,6 +18,7 @@ an empty table gives no rows; columns other than doc_id and text are ignored.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from collections import deque
@@ -56,7 +57,7 @@ class Encoder:
     #: The split of byte-level tokenizers, for texts without UNSURE characters.
     PIECE = re.compile(r"'(?:[stmd]|re|ve|ll)| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
     UNSURE = re.compile("[^\x00-\x1b\x20-\x84\x86-\xb1\xb4-\xb8\xba\xbb\xbf-ɏΑ-ΡΣ-ϿЀ-ӿぁ-ゖァ-ヺ一-龥가-힣]")
-    REMEMBERED = 300_000
+    REMEMBERED = 600_000
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -68,10 +69,46 @@ class Encoder:
         added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.added = re.compile("|".join(added)) if added else None
         self.known: dict[str, bytes] = {}
+        self.ranked, self.token_bytes = self._ranks(path) if self.by_piece else (None, None)
         size = max(self.tokenizer.get_vocab().values()) + 1
         ends = [t[-1:] in (".", "!", "?", "Ċ", "\n") for t in (self.tokenizer.id_to_token(i) or "" for i in range(size))]
         self.ends_sentence = np.array(ends, dtype=bool)
 
+    def _ranks(self, path: str):
+        """(a tiktoken encoding of the same merges, bytes of each token), or nothing where ids don't ascend with the merges."""
+        import tiktoken
+
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        visible = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that byte-level files write as themselves
+        hidden = [b for b in range(256) if b not in visible]
+        of = {chr(b): b for b in visible} | {chr(256 + i): b for i, b in enumerate(hidden)}
+        merged = [model["vocab"]["".join(m if isinstance(m, list) else m.split(" "))] for m in model["merges"]]
+        single = [i for t, i in model["vocab"].items() if len(t) == 1]
+        if merged != sorted(merged) or max(single) > merged[0]:
+            return None, None
+        added = self.tokenizer.get_added_tokens_decoder()
+        ranks = {bytes(of[c] for c in t): i for t, i in model["vocab"].items() if i not in added}
+        size = np.zeros(max(ranks.values()) + 1, np.int64)
+        for t, i in ranks.items():
+            size[i] = len(t)
+        return tiktoken.Encoding("pieces", pat_str=r" ?\p{L}+|[^\p{L}]+", mergeable_ranks=ranks, special_tokens={}), size
+
+    def _learn(self, new: list[str]) -> None:
+        """Remember the ids of new pieces. Words after a space are encoded in one run, and told apart by their bytes."""
+        known = self.known
+        run = [p for p in new if p[0] == " " and p[-1].isalpha()] if self.ranked else []
+        if run:
+            ids = np.array(self.ranked.encode_ordinary("".join(run)), dtype="<u4")
+            ends = np.searchsorted(np.cumsum(self.token_bytes[ids]), np.cumsum([len(p.encode()) for p in run])) + 1
+            data, at = ids.tobytes(), 0
+            for piece, end in zip(run, (ends * 4).tolist()):
+                known[piece] = data[at:end]
+                at = end
+            new = [p for p in new if p not in known]
+        for piece, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
+            known[piece] = np.array(e.ids, dtype="<u4").tobytes()
+
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         out: list[np.ndarray] = [None] * len(texts)
         pieces = {}
@@ -83,14 +120,23 @@ class Encoder:
         if len(self.known) > self.REMEMBERED:
             self.known.clear()
         known = self.known
-        new = list(set().union(*pieces.values()).difference(known)) if pieces else []
-        for piece, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            known[piece] = np.array(e.ids, dtype="<u4").tobytes()
+        if pieces:
+            self._learn(list(set().union(*pieces.values()).difference(known)))
         for k, found in pieces.items():
             out[k] = np.frombuffer(b"".join(map(known.__getitem__, found)), dtype="<u4")
         return out
 
 
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder_of(path: str) -> Encoder:
+    """The Python worker's encoder; workers run many tasks, and keep what pieces they have seen."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
+
+
 def plan(position: np.ndarray, penalty: np.ndarray, length: int = LENGTH) -> list[int]:
     """Indices of the chosen cuts, first and last included; position starts at 0 and has no gap over length."""
     p, pen = position.tolist(), penalty.tolist()
@@ -196,7 +242,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH) ->
     tokenizer = tokenizer or default_tokenizer()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer)
+        encoder = encoder_of(tokenizer)
 
         def chunks():
             names, texts, size = [], [], 0
