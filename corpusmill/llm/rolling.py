@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -91,17 +92,18 @@ def joined(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def destinations(df: DataFrame) -> int:
-    return 4 * max(16, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return 2 * max(16, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def packed(records: np.ndarray, where: np.ndarray, kind: int) -> pa.RecordBatch:
-    """Rows (dest, kind, blob) of a structured array, by destination."""
+    """Rows (dest, kind, blob) of a structured array, by destination; blobs hold it field by field, compressed."""
     order = np.argsort(where, kind="stable")
     records, where = records[order], where[order]
     first = np.flatnonzero(np.concatenate([[True], where[1:] != where[:-1]])) if len(where) else np.zeros(0, np.int64)
-    ends = np.append(first, len(where)).astype(np.int64) * records.dtype.itemsize
-    blob = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(records))])
-    return pa.RecordBatch.from_arrays([pa.array(where[first].astype(np.int32)), pa.array(np.full(len(first), kind, np.int32)), blob], names=["dest", "kind", "blob"])
+    squeeze = zstandard.ZstdCompressor(level=1).compress
+    columns = [np.ascontiguousarray(records[name]) for name in records.dtype.names]
+    blobs = [squeeze(b"".join(c[a:b].tobytes() for c in columns)) for a, b in zip(first.tolist(), [*first[1:].tolist(), len(where)])]
+    return pa.RecordBatch.from_arrays([pa.array(where[first].astype(np.int32)), pa.array(np.full(len(first), kind, np.int32)), pa.array(blobs, pa.binary())], names=["dest", "kind", "blob"])
 
 
 PACKED = "dest int, kind int, blob binary"
@@ -109,29 +111,74 @@ PACKED = "dest int, kind int, blob binary"
 
 def unpacked(batches: Iterator[pa.RecordBatch], kinds: dict[int, np.dtype]) -> dict[int, np.ndarray]:
     """All records of a partition, by kind."""
-    found: dict[int, list[bytes]] = {k: [] for k in kinds}
+    found: dict[int, list[np.ndarray]] = {k: [np.zeros(0, t)] for k, t in kinds.items()}
+    expand = zstandard.ZstdDecompressor().decompress
     for batch in batches:
         for kind, blob in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-            found[kind].append(blob)
-    return {k: np.frombuffer(b"".join(v), kinds[k]) for k, v in found.items()}
+            data, dtype = expand(blob), kinds[kind]
+            rows = np.empty(len(data) // dtype.itemsize, dtype)
+            at = 0
+            for name in dtype.names:
+                field = dtype[name]
+                size = len(rows) * field.itemsize
+                rows[name] = np.frombuffer(data, field.base, size // field.base.itemsize, at).reshape(len(rows), *field.shape)
+                at += size
+            found[kind].append(rows)
+    return {k: np.concatenate(v) for k, v in found.items()}
 
 
-def by_document(doc: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
-    """Rows (_doc, found): the int64 values of each document."""
-    order = np.argsort(doc, kind="stable")
-    doc, values = doc[order], values[order]
-    first = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])) if len(doc) else np.zeros(0, np.int64)
-    lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(doc)).astype(np.int32)), pa.array(values.astype(np.int64)))
-    return pa.RecordBatch.from_arrays([pa.array(doc[first].astype(np.int64)), lists], names=["_doc", "found"])
+def numbers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(row, number) of all numbers in a column of lists."""
+    sizes = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    return np.repeat(np.arange(len(sizes)), sizes), column.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+VALUE = np.dtype([("doc", "<i8"), ("value", "<i8")])
+
+
+def by_document(doc: np.ndarray, values: np.ndarray, dests: int) -> pa.RecordBatch:
+    """Packed rows of int64 values, by document."""
+    records = np.empty(len(doc), VALUE)
+    records["doc"], records["value"] = doc, values
+    return packed(records, _dest(mix(records["doc"].astype(np.uint64)), dests), 0)
 
 
 FOUND = "_doc long, found array<long>"
 
 
+def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """by_document() rows -> a FOUND row a document."""
+    got = unpacked(batches, {0: VALUE})[0]
+    got = got[np.argsort(got["doc"], kind="stable")]
+    doc = got["doc"]
+    first = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])) if len(doc) else np.zeros(0, np.int64)
+    lists = pa.ListArray.from_arrays(pa.array(np.append(first, len(doc)).astype(np.int32)), pa.array(np.ascontiguousarray(got["value"])))
+    yield pa.RecordBatch.from_arrays([pa.array(doc[first]), lists], names=["_doc", "found"])
+
+
 def exchange(df: DataFrame, send: Callable, receive: Callable) -> DataFrame:
-    """df -> send(batches) gives packed rows -> dealt by destination -> receive(batches) gives FOUND rows, gathered by document."""
-    dealt = df.mapInArrow(send, PACKED).repartition("dest").mapInArrow(receive, FOUND)
-    return dealt.groupBy("_doc").agg(F.flatten(F.collect_list("found")).alias("found"))
+    """df -> send(batches, dests) -> dealt by destination -> receive(batches, dests) -> dealt by document -> a FOUND row a document.
+
+    Between the tasks go only packed rows, one for each pair of task and destination.
+    """
+    dests = destinations(df)
+    dealt = df.mapInArrow(lambda b: send(b, dests), PACKED).repartition("dest").mapInArrow(lambda b: receive(b, dests), PACKED)
+    return dealt.repartition("dest").mapInArrow(gather, FOUND)
+
+
+def with_copies(found: DataFrame, copies: DataFrame) -> DataFrame:
+    return found.union(copies).groupBy("_doc").agg(F.flatten(F.collect_list("found")).alias("found"))
+
+
+#: Stands for the whole document.
+ALL = -1
+
+
+def copies(docs: DataFrame) -> DataFrame:
+    """FOUND rows with ALL for documents (_id, text) whose text a document with a smaller id has."""
+    keys = docs.select("_id", F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("key"))
+    first = keys.groupBy("key").agg(F.min("_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("key", "first")
+    return keys.join(first, "key").where("_id > first").select(F.col("_id").alias("_doc"), F.array(F.lit(ALL).cast("long")).alias("found"))
 
 
 def with_found(docs: DataFrame, found: DataFrame) -> DataFrame:
@@ -166,7 +213,7 @@ def _dest(h: np.ndarray, dests: int) -> np.ndarray:
     return ((h >> np.uint64(33)) % np.uint64(dests)).astype(np.int32)
 
 
-def receive_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def receive_anchors(batches: Iterator[pa.RecordBatch], dests: int) -> Iterator[pa.RecordBatch]:
     """(document, place * 2 + hot) of each anchor that occurs again."""
     got = unpacked(batches, {0: ANCHOR, 1: ANCHOR, 2: KEY})
     a = got[0][np.argsort(got[0]["h"], kind="stable")]
@@ -175,7 +222,7 @@ def receive_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     again = np.concatenate([same, [False]]) | np.concatenate([[False], same]) if len(h) else np.zeros(0, bool)
     hot = np.isin(h, got[2]["h"])
     a, hot = a[again | hot], hot[again | hot]
-    yield by_document(np.concatenate([a["doc"], got[1]["doc"]]), np.concatenate([a["at"].astype(np.int64) * 2 + hot, got[1]["at"].astype(np.int64) * 2 + 1]))
+    yield by_document(np.concatenate([a["doc"], got[1]["doc"]]), np.concatenate([a["at"].astype(np.int64) * 2 + hot, got[1]["at"].astype(np.int64) * 2 + 1]), dests)
 
 
 # Windows: the earliest place of each content, all later ones reported.
@@ -228,6 +275,12 @@ def send_windows(h: np.ndarray, g: np.ndarray, doc: np.ndarray, at: np.ndarray,
     yield send_spans(*runs(doc[gone], at[gone], length), dests, kinds[1])
 
 
+def send_all(doc: np.ndarray, dests: int, kind: int) -> pa.RecordBatch:
+    records = np.empty(len(doc), SPAN)
+    records["doc"], records["span"] = doc, ALL
+    return packed(records, _dest(mix(records["doc"].astype(np.uint64)), dests), kind)
+
+
 def send_spans(doc: np.ndarray, start: np.ndarray, end: np.ndarray, dests: int, kind: int) -> pa.RecordBatch:
     records = np.empty(len(doc), SPAN)
     records["doc"], records["span"] = doc, span(start, end)
@@ -235,8 +288,10 @@ def send_spans(doc: np.ndarray, start: np.ndarray, end: np.ndarray, dests: int,
 
 
 def merged(spans: np.ndarray, most: int) -> list[tuple[int, int]]:
-    """Packed spans -> disjoint (start, end), touching ones joined, none beyond `most`."""
+    """Packed spans, or ALL, -> disjoint (start, end), touching ones joined, none beyond `most`."""
     out: list[tuple[int, int]] = []
+    if (spans == ALL).any():
+        return [(0, most)]
     for s in np.sort(np.unique(spans)).tolist():
         a, b = s >> 32, min(s & 0xFFFFFFFF, most)
         if a >= b:

@@ -12,7 +12,7 @@ Windows are judged on the input.
    content (two 64-bit hashes); the first document of each content stays, the windows of later ones go. Their
    union is the maximal exact repeats.
 
-Each batch decides first what it can by itself: a block content that is live within a batch, or a window
+Equal texts are found first, by their hash, and count as repeated whole. Each batch decides first what it can by itself: a block content that is live within a batch, or a window
 that a batch holds twice, costs one row a batch at the exchange, however many documents share it.
 
 Defined results: null text has no words; null ids come first and count as one document; rows with one id
@@ -89,13 +89,6 @@ def find_anchors(batches: Iterator[pa.RecordBatch], dests: int, hot_at: int) ->
         yield from rolling.send_anchors(h[chosen], w.ids[d], chosen - w.bounds[d], dests, hot_at)
 
 
-def _found(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    """(row, number) of all numbers in the third column."""
-    lists = batch.column(2).to_pylist()
-    row = np.repeat(np.arange(len(lists)), [len(x) if x else 0 for x in lists])
-    return row, np.array([v for x in lists if x for v in x], np.int64)
-
-
 def _spread(first: np.ndarray, last: np.ndarray, size: int) -> np.ndarray:
     """Which of `size` places lie in some range first..last, both included."""
     change = np.zeros(size + 1, np.int64)
@@ -110,10 +103,13 @@ PLACE = np.dtype([("h", "<u8"), ("doc", "<i8"), ("at", "<u4")])
 def send_blocks(batches: Iterator[pa.RecordBatch], dests: int) -> Iterator[pa.RecordBatch]:
     """rows (_id, text, anchors) -> kind 0: places of block contents not live here; kind 1: runs of live places; kind 2: contents live here."""
     for batch in rolling.chunks(batches, BATCH):
-        row, mark = _found(batch)
+        row, mark = rolling.numbers(batch.column(2))
         if not len(row):
             continue
         w = Words(batch)
+        whole = mark == rolling.ALL
+        yield rolling.send_all(np.unique(w.ids[row[whole]]), dests, 1)
+        row, mark = row[~whole], mark[~whole]
         place = w.bounds[row] + (mark >> 1)
         ok = rolling.fits(w.bounds, WINDOW)
         windows = np.flatnonzero(_spread(place - (WINDOW - GRAM), place, len(ok)) & ok)
@@ -145,23 +141,25 @@ def _live(h: np.ndarray, doc: np.ndarray, at: np.ndarray) -> np.ndarray:
     return (first < last)[group]
 
 
-def receive_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def receive_blocks(batches: Iterator[pa.RecordBatch], dests: int) -> Iterator[pa.RecordBatch]:
     got = rolling.unpacked(batches, {0: PLACE, 1: rolling.SPAN, 2: rolling.KEY})
     p = got[0]
     live = _live(p["h"], p["doc"], p["at"])
-    # a content with blocks here and probes elsewhere is live if the two orders meet; a batch has told of its own
     live |= np.isin(p["h"], got[2]["h"])
     doc, start, end = rolling.runs(p["doc"][live], p["at"][live], 1)
-    yield rolling.by_document(np.concatenate([doc, got[1]["doc"]]), np.concatenate([rolling.span(start, end), got[1]["span"]]))
+    yield rolling.by_document(np.concatenate([doc, got[1]["doc"]]), np.concatenate([rolling.span(start, end), got[1]["span"]]), dests)
 
 
 def send_windows(batches: Iterator[pa.RecordBatch], dests: int) -> Iterator[pa.RecordBatch]:
     """rows (_id, text, runs of live places) -> kind 0: windows by content; kind 1: spans already decided."""
     for batch in rolling.chunks(batches, BATCH):
-        row, run = _found(batch)
+        row, run = rolling.numbers(batch.column(2))
         if not len(row):
             continue
         w = Words(batch)
+        whole = run == rolling.ALL
+        yield rolling.send_all(np.unique(w.ids[row[whole]]), dests, 1)
+        row, run = row[~whole], run[~whole]
         first, last = w.bounds[row] + (run >> 32), w.bounds[row] + (run & 0xFFFFFFFF) - 1
         ok = rolling.fits(w.bounds, WINDOW)
         starts = np.flatnonzero(_spread(first - (WINDOW - BLOCK), last, len(ok)) & ok)
@@ -170,20 +168,21 @@ def send_windows(batches: Iterator[pa.RecordBatch], dests: int) -> Iterator[pa.R
         yield from rolling.send_windows(one, two, w.ids[d], starts - w.bounds[d], WINDOW, False, dests, (0, 1))
 
 
-def receive_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def receive_windows(batches: Iterator[pa.RecordBatch], dests: int) -> Iterator[pa.RecordBatch]:
     got = rolling.unpacked(batches, {0: rolling.WINDOW, 1: rolling.SPAN})
     w = got[0]
     order, gone = rolling.later(w["h"], w["g"], w["doc"], w["at"], False)
     doc, start, end = rolling.runs(w["doc"][order][gone], w["at"][order][gone], WINDOW)
-    yield rolling.by_document(np.concatenate([doc, got[1]["doc"]]), np.concatenate([rolling.span(start, end), got[1]["span"]]))
+    yield rolling.by_document(np.concatenate([doc, got[1]["doc"]]), np.concatenate([rolling.span(start, end), got[1]["span"]]), dests)
 
 
 def removed_spans(docs: DataFrame, hot_at: int = rolling.HOT) -> DataFrame:
     """docs (_id, text) -> _id, text, found: packed spans of words to remove (they may overlap)."""
-    dests = rolling.destinations(docs)
-    anchors = rolling.exchange(docs, lambda b: find_anchors(b, dests, hot_at), rolling.receive_anchors)
-    places = rolling.exchange(rolling.with_found(docs, anchors), lambda b: send_blocks(b, dests), receive_blocks)
-    spans = rolling.exchange(rolling.with_found(docs, places), lambda b: send_windows(b, dests), receive_windows)
+    copies = rolling.copies(docs)
+    once = rolling.with_found(docs, copies.distinct()).where("found IS NULL")
+    anchors = rolling.exchange(once, lambda b, dests: find_anchors(b, dests, hot_at), rolling.receive_anchors)
+    places = rolling.exchange(rolling.with_found(docs, rolling.with_copies(anchors, copies)), send_blocks, receive_blocks)
+    spans = rolling.exchange(rolling.with_found(docs, places), send_windows, receive_windows)
     return rolling.with_found(docs, spans)
 
 
@@ -193,7 +192,7 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = []
         for doc, text, found in zip(*(c.to_pylist() for c in batch.columns)):
             words = (text or "").encode().split()  # splits at exactly the six ASCII spaces
-            spans = rolling.merged(np.array(found, np.int64), len(words)) if found else []
+            spans = rolling.merged(np.array(found, np.int64), len(words)) if found and len(words) >= WINDOW else []
             kept, at = [], 0
             for a, b in spans:
                 kept += words[at:a]

@@ -13,7 +13,7 @@ id, or earlier in the same one. Matches never cross documents and are judged on
    prefix and extension of LENGTH bytes or more make a removed span.
 3. Spans are gathered by document, joined with the texts and cut out.
 
-Groups without bound: equal contexts of one batch are collapsed to the first before they are dealt out;
+Equal texts are found first, by their hash, and count as repeated whole. Groups without bound: equal contexts of one batch are collapsed to the first before they are dealt out;
 anchors that one batch holds `HOT` times or more are not gathered at all: their windows are dealt out one by
 one, by content, after the batch has kept only the first of each.
 
@@ -40,7 +40,7 @@ LEFT = LENGTH - GRAM
 BATCH = 6_000_000
 BYTES = np.random.default_rng(5).integers(0, 1 << 63, 256, dtype=np.uint64)
 BYTES2 = np.random.default_rng(6).integers(0, 1 << 63, 256, dtype=np.uint64)
-CONTEXT = np.dtype([("h", "<u8"), ("doc", "<i8"), ("at", "<u4"), ("left_n", "u1"), ("right_n", "u1"), ("text", "u1", (LEFT + LENGTH,))])
+CONTEXT = np.dtype([("doc", "<i8"), ("at", "<u4"), ("left_n", "u1"), ("right_n", "u1"), ("text", "u1", (LEFT + LENGTH,))])
 
 
 def _documents(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -50,6 +50,7 @@ def _documents(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarra
 
 
 def find_anchors(batches: Iterator[pa.RecordBatch], dests: int, hot_at: int) -> Iterator[pa.RecordBatch]:
+    """rows (_id, text, ...); copies are left out before."""
     for batch in rolling.chunks(batches, BATCH):
         ids, flat, bounds = _documents(batch)
         if not len(flat):
@@ -64,18 +65,19 @@ def find_anchors(batches: Iterator[pa.RecordBatch], dests: int, hot_at: int) ->
 def send_contexts(batches: Iterator[pa.RecordBatch], dests: int) -> Iterator[pa.RecordBatch]:
     """rows (_id, text, found) -> packed suffixes (kind 0), windows of hot anchors (kind 1), spans already certain (kind 2)."""
     for batch in rolling.chunks(batches, BATCH):
-        ids, flat, bounds = _documents(batch)
-        lists = batch.column(2)
-        counts = np.array([len(x) if x is not None else 0 for x in lists.to_pylist()], np.int64)
-        if not counts.sum():
+        row, mark = rolling.numbers(batch.column(2))
+        if not len(row):
             continue
-        marks = np.unique(np.concatenate([np.array(x, np.int64) + (int(b) << 1) for x, b in zip(lists.to_pylist(), bounds[:-1]) if x]))
-        place, hot = marks >> 1, (marks & 1).astype(bool)
-        h = rolling.grams(BYTES[flat], GRAM)
+        ids, flat, bounds = _documents(batch)
+        whole = mark == rolling.ALL
+        yield rolling.send_all(np.unique(ids[row[whole]]), dests, 2)
+        row, mark = row[~whole], mark[~whole]
+        place, first = np.unique(bounds[row] + (mark >> 1), return_index=True)
+        hot = (mark[first] & 1).astype(bool)
         ok = place < len(flat)
         place, hot = place[ok], hot[ok]
         d = np.searchsorted(bounds, place, side="right") - 1
-        yield from _suffixes(ids, flat, bounds, h, place[~hot], d[~hot], dests)
+        yield from _suffixes(ids, flat, bounds, place[~hot], d[~hot], dests)
         if hot.any():
             starts = np.unique((place[hot][:, None] - np.arange(LEFT + 1)).ravel())
             starts = starts[starts >= 0]
@@ -85,21 +87,37 @@ def send_contexts(batches: Iterator[pa.RecordBatch], dests: int) -> Iterator[pa.
             yield from rolling.send_windows(one, two, ids[d], starts - bounds[d], LENGTH, True, dests, (1, 2))
 
 
-def _suffixes(ids, flat, bounds, h, place, d, dests):
+def _row_hash(text: np.ndarray) -> np.ndarray:
+    """A hash of each row of bytes; the row length is a multiple of 8."""
+    out = np.zeros(len(text), np.uint64)
+    for column in np.ascontiguousarray(text).view("<u8").T:
+        out = rolling.mix(out * rolling.M1 + column)
+    return out
+
+
+def _suffixes(ids: np.ndarray, flat: np.ndarray, bounds: np.ndarray, place: np.ndarray, d: np.ndarray, dests: int) -> Iterator[pa.RecordBatch]:
     if not len(place):
         return
-    rows = np.zeros(len(place), CONTEXT)
+    rows = np.empty(len(place), CONTEXT)
     left, right = np.minimum(place - bounds[d], LEFT), np.minimum(bounds[d + 1] - place, LENGTH)
-    at = place[:, None] + np.arange(-LEFT, LENGTH)
-    inside = (np.arange(-LEFT, LENGTH) >= -left[:, None]) & (np.arange(-LEFT, LENGTH) < right[:, None])
-    rows["text"] = np.where(inside, flat[np.clip(at, 0, len(flat) - 1)], 0)
-    rows["h"], rows["doc"], rows["at"], rows["left_n"], rows["right_n"] = h[place], ids[d], place - bounds[d], left, right
-    rows = rows[np.lexsort((rows["at"], rows["doc"]))]
-    content = np.ascontiguousarray(np.concatenate([rows["left_n"][:, None], rows["right_n"][:, None], rows["text"]], axis=1)).view(f"V{2 + LEFT + LENGTH}").ravel()
-    _, first, which = np.unique(content, return_index=True, return_inverse=True)
-    first = first[which]  # stable: the earliest row of the same content
-    later = (rows["doc"] != rows["doc"][first]) | (rows["at"] != rows["at"][first])
-    yield rolling.packed(rows[~later], rolling._dest(rows["h"][~later], dests), 0)
+    around = np.lib.stride_tricks.sliding_window_view(np.concatenate([np.zeros(LEFT, np.uint8), flat, np.zeros(LENGTH, np.uint8)]), LEFT + LENGTH)
+    text = around[place]
+    edge = np.flatnonzero((left < LEFT) | (right < LENGTH))
+    offset = np.arange(-LEFT, LENGTH)
+    text[edge] *= (offset >= -left[edge, None]) & (offset < right[edge, None])
+    rows["text"], rows["doc"], rows["at"], rows["left_n"], rows["right_n"] = text, ids[d], place - bounds[d], left, right
+    gram = _row_hash(text[:, LEFT : LEFT + GRAM])
+    content = rolling.mix(_row_hash(text) + (left * 1000 + right).astype(np.uint64))
+    order = np.lexsort((rows["at"], rows["doc"], content))
+    rows, gram, content = rows[order], gram[order], content[order]
+    new = np.concatenate([[True], content[1:] != content[:-1]])
+    first = np.maximum.accumulate(np.where(new, np.arange(len(rows)), 0))
+    k = np.flatnonzero(first != np.arange(len(rows)))
+    f = first[k]
+    same = (rows["text"][k] == rows["text"][f]).all(axis=1) & (rows["left_n"][k] == rows["left_n"][f]) & (rows["right_n"][k] == rows["right_n"][f])
+    later = np.zeros(len(rows), bool)
+    later[k[same & ((rows["doc"][k] != rows["doc"][f]) | (rows["at"][k] != rows["at"][f]))]] = True
+    yield rolling.packed(rows[~later], rolling._dest(gram[~later], dests), 0)
     gone = rows[later & (rows["left_n"].astype(int) + rows["right_n"] >= LENGTH)]
     if len(gone):
         yield rolling.send_spans(gone["doc"], gone["at"].astype(np.int64) - gone["left_n"], gone["at"].astype(np.int64) + gone["right_n"], dests, 2)
@@ -111,11 +129,11 @@ def common_prefix(a: np.ndarray, b: np.ndarray, a_n: np.ndarray, b_n: np.ndarray
     return np.minimum(np.argmax(differ, axis=1), np.minimum(a_n, b_n))
 
 
-def sort_rows(text: np.ndarray, *before: np.ndarray) -> np.ndarray:
-    """Order of byte rows, after the keys in `before`."""
+def sort_rows(text: np.ndarray) -> np.ndarray:
+    """Order of byte rows."""
     padded = np.zeros((len(text), -(-text.shape[1] // 8) * 8), np.uint8)
     padded[:, : text.shape[1]] = text
-    return np.lexsort((*padded.view(">u8").T[::-1], *before[::-1]))
+    return np.lexsort(padded.view(">u8").astype(np.uint64).T[::-1])
 
 
 def lcp_intervals(lcp: np.ndarray, least: int) -> Iterator[tuple[int, int, int]]:
@@ -156,10 +174,9 @@ def repeats(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     place_rank[order] = np.cumsum(changed)
     left_rank = np.empty(len(rows), np.int64)
     left_rank[sort_rows(left)] = np.arange(len(rows))
-    suffix = sort_rows(right, rows["h"])
+    suffix = sort_rows(right)  # equal anchors, with which all suffixes begin, come together
     r = rows[suffix]
     lcp = common_prefix(right[suffix[:-1]], right[suffix[1:]], r["right_n"][:-1], r["right_n"][1:])
-    lcp[r["h"][:-1] != r["h"][1:]] = 0
     nodes = list(lcp_intervals(lcp, GRAM))
     who, back, forth = [], [], []
     pairs = np.array([(d, a) for d, a, b in nodes if b - a == 1], np.int64).reshape(-1, 2)
@@ -190,7 +207,7 @@ def repeats(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return rows["doc"][w], at - back, at + forth
 
 
-def receive_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def receive_contexts(batches: Iterator[pa.RecordBatch], dests: int) -> Iterator[pa.RecordBatch]:
     got = rolling.unpacked(batches, {0: CONTEXT, 1: rolling.WINDOW, 2: rolling.SPAN})
     docs, spans = [got[2]["doc"]], [got[2]["span"]]
     if len(got[0]):
@@ -203,14 +220,15 @@ def receive_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
     doc, start, end = rolling.runs(w["doc"], w["at"], LENGTH)
     docs.append(doc)
     spans.append(rolling.span(start, end))
-    yield rolling.by_document(np.concatenate(docs), np.concatenate(spans))
+    yield rolling.by_document(np.concatenate(docs), np.concatenate(spans), dests)
 
 
 def removed_spans(docs: DataFrame, hot_at: int = rolling.HOT) -> DataFrame:
     """docs (_id, text) -> _id, text, found: the packed spans to cut (they may overlap)."""
-    dests = rolling.destinations(docs)
-    anchors = rolling.exchange(docs, lambda b: find_anchors(b, dests, hot_at), rolling.receive_anchors)
-    spans = rolling.exchange(rolling.with_found(docs, anchors), lambda b: send_contexts(b, dests), receive_contexts)
+    copies = rolling.copies(docs)
+    once = rolling.with_found(docs, copies.distinct()).where("found IS NULL")
+    anchors = rolling.exchange(once, lambda b, dests: find_anchors(b, dests, hot_at), rolling.receive_anchors)
+    spans = rolling.exchange(rolling.with_found(docs, rolling.with_copies(anchors, copies)), send_contexts, receive_contexts)
     return rolling.with_found(docs, spans)
 
 
@@ -219,7 +237,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = []
         for doc, text, found in zip(*(c.to_pylist() for c in batch.columns)):
             data = (text or "").encode()
-            spans = rolling.merged(np.array(found, np.int64), len(data)) if found else []
+            spans = rolling.merged(np.array(found, np.int64), len(data)) if found and len(data) >= LENGTH else []
             kept, at = [], 0
             for a, b in spans:
                 kept.append(data[at:a])
