@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import documents, salted_join, word_count
+from corpusmill.llm.common import cut, documents, salted_join, word_count
 
 WEIGHTS = (5, 2, 1)
 MOST_REPEATS = 3
@@ -67,11 +67,19 @@ def plan_mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST_REPEATS, seed: s
     )
 
 
+#: Sources whose rows (a name and three numbers) may be broadcast; more are joined with salts.
+FEW_SOURCES = 10_000
+
+
 def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST_REPEATS, seed: str = SEED) -> DataFrame:
     """The documents of the mix with all their columns, a row for each copy taken."""
     sizes = docs.select("source", word_count(F.col("text")).alias("size"))
-    targets = source_targets(sizes, weights, most).select("source", "source_size", "target")
-    joined = salted_join(docs.select(F.struct("*").alias("_row"), "source", "doc_id"), targets, "source", F.col("doc_id"))
+    targets = cut(source_targets(sizes, weights, most).select(F.col("source").alias("_source"), "source_size", "target"))
+    rows = docs.select(F.struct("*").alias("_row"), "source", "doc_id")
+    if targets.count() <= FEW_SOURCES:
+        joined = rows.join(F.broadcast(targets), rows["source"].eqNullSafe(targets["_source"]))
+    else:
+        joined = salted_join(rows, targets.withColumnRenamed("_source", "source"), "source", F.col("doc_id"))
     return (
         joined.withColumn("_copies", _copies(seed).cast("int")).where("_copies > 0")
         .select("_row", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select("_row.*")
