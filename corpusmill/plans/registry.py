@@ -1,4 +1,183 @@
-"""The engine's own queries and their SQL."""
+"""The engine's own queries, each with its SQL where SQL can express it."""
+
+from __future__ import annotations
+
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from corpusmill.functions import text as T
+from corpusmill.functions import vectors as V
+from corpusmill.operators import chunks as C
+from corpusmill.operators import ingest as I
+from corpusmill.operators import layout as L
+from corpusmill.operators import match as R
+from corpusmill.operators import titles as TI
+from corpusmill.plans.sql import build, strip, token_set, unit, vector, words
+from corpusmill.sources import fixtures as X
 
 QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None, name: str | None = None):
+    def add(f):
+        QUERIES[name or f.__name__] = f
+        if sql:
+            _SQL[name or f.__name__] = sql
+        return f
+
+    return add
+
+
+# Derived tables
+
+
+def page_texts(s: SparkSession, d: str) -> DataFrame:
+    return L.page_text(X.blocks(s, d))
+
+
+def sections_of_pages(s: SparkSession, d: str) -> DataFrame:
+    b = X.blocks(s, d)
+    return TI.page_sections(L.page_text(b).select("doc_id", "page_number"), TI.section_ranges(TI.titles(TI.title_candidates(b))))
+
+
+def chunk_table(s: SparkSession, d: str) -> DataFrame:
+    return C.chunks(page_texts(s, d), sections_of_pages(s, d), X.blocks(s, d), X.files(s, d))
+
+
+def index_table(s: SparkSession, d: str) -> DataFrame:
+    return I.section_index(chunk_table(s, d))
+
+
+def asked(s: SparkSession, d: str) -> DataFrame:
+    return R.parsed(X.short_queries(s, d))
+
+
+# Sources and layout
+
+
+@query("SELECT filename, file_path, file_no FROM files")
+def file_catalog(s, d):
+    return X.files(s, d).select("filename", "file_path", "file_no")
+
+
+@query("SELECT file_path, language AS path_language FROM files")
+def file_language(s, d):
+    return I.file_language(X.files(s, d).select("file_path"))
+
+
+@query("SELECT language, list_sort(list(filename)) AS files FROM files GROUP BY language")
+def files_by_language(s, d):
+    return I.files_by_language(X.files(s, d))
+
+
+@query("SELECT '[' || language || '] ' || filename AS display FROM files")
+def files_flat(s, d):
+    return I.files_flat(I.files_by_language(X.files(s, d)))
+
+
+@query("SELECT doc_id, page_number, block_no, line_no, text, x0, y0, x1, y1 FROM span_lines")
+def spans_to_lines(s, d):
+    return L.spans_to_lines(X.spans(s, d))
+
+
+@query("SELECT * FROM paragraphs")
+def merge_paragraphs(s, d):
+    return L.merge_paragraphs(X.blocks(s, d))
+
+
+@query("SELECT * FROM word_lines")
+def words_to_lines(s, d):
+    return L.words_to_lines(X.words(s, d))
+
+
+@query("""
+SELECT doc_id, page_number, text, x0, y0, x1, y1, source FROM (
+  SELECT *, min(source) OVER (PARTITION BY doc_id, page_number) AS best FROM (
+    SELECT doc_id, page_number, text, x0, y0, x1, y1, 0 AS source FROM paragraphs WHERE (doc_id + page_number) % 3 = 0
+    UNION ALL SELECT doc_id, page_number, text, x0, y0, x1, y1, 1 FROM word_lines WHERE (doc_id + page_number) % 2 = 0
+    UNION ALL SELECT doc_id, page_number, text, 0, 0, 612, 792, 2 FROM page_texts)) WHERE source = best""")
+def block_fallback(s, d):
+    """Pages whose paragraphs are missing fall back to words, and those without words to the whole page."""
+    page = F.col("doc_id") + F.col("page_number")
+    whole = page_texts(s, d).select("*", F.lit(0.0).alias("x0"), F.lit(0.0).alias("y0"), F.lit(612.0).alias("x1"), F.lit(792.0).alias("y1"))
+    return L.first_source(L.merge_paragraphs(X.blocks(s, d)).where(page % 3 == 0), L.words_to_lines(X.words(s, d)).where(page % 2 == 0), whole)
+
+
+@query(rf"SELECT doc_id, page_number, block_no, translate({strip('text')}, chr(10), '') AS text, y0, y1 FROM (SELECT doc_id, page_number, block_no, text, y0 + 300 AS y0, y0 + 300 + (y1 - y0) * 10 AS y1 FROM blocks) WHERE NOT (regexp_matches(text, '^\d{{1,2}}$') AND y1 > 500) AND y1 - y0 <= 200")
+def clean_blocks_ja(s, d):
+    tall = X.blocks(s, d).select("doc_id", "page_number", "block_no", "text", (F.col("y0") + 300).alias("y0"), (F.col("y0") + 300 + (F.col("y1") - F.col("y0")) * 10).alias("y1"))
+    return L.clean_blocks_ja(tall)
+
+
+@query("SELECT * FROM page_texts")
+def page_text(s, d):
+    return page_texts(s, d)
+
+
+# Titles
+
+
+@query("SELECT doc_id, page_number, block_no, title FROM candidates")
+def title_candidates(s, d):
+    return TI.title_candidates(X.blocks(s, d)).select("doc_id", "page_number", "block_no", "title")
+
+
+@query("SELECT doc_id, seq, title, start_page FROM found_titles")
+def titles(s, d):
+    return TI.titles(TI.title_candidates(X.blocks(s, d))).select("doc_id", "seq", "title", "start_page")
+
+
+@query("SELECT * FROM ranges")
+def section_ranges(s, d):
+    return TI.section_ranges(TI.titles(TI.title_candidates(X.blocks(s, d))))
+
+
+@query("SELECT * FROM page_titles")
+def page_sections(s, d):
+    return sections_of_pages(s, d)
+
+
+@query("SELECT doc_id, count(*) AS pages, count(DISTINCT CASE WHEN section_title <> '' THEN section_title END) AS titles FROM page_titles GROUP BY doc_id")
+def doc_summary(s, d):
+    return TI.doc_summary(sections_of_pages(s, d))
+
+
+# Chunks
+
+
+@query("SELECT doc_id, chunk_index, text FROM doc_chunks")
+def chunk_text(s, d):
+    return C.chunk_text(X.table(s, d, "documents").select("doc_id", "text")).select("doc_id", "chunk_index", "text")
+
+
+@query("SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY chunk_index) - 1 AS INT) AS chunk_index, text FROM doc_chunks WHERE length(text) >= 10")
+def chunk_text_min(s, d):
+    return C.chunk_text(X.table(s, d, "documents").select("doc_id", "text"), least=10).select("doc_id", "chunk_index", "text")
+
+
+@query("""SELECT c.doc_id, c.page_number, c.chunk_index, c.id, stem || '_' || lpad(CAST(row_number() OVER (PARTITION BY c.doc_id ORDER BY c.page_number, c.chunk_index) - 1 AS VARCHAR), 6, '0') AS running_id
+FROM chunks c JOIN files f ON c.doc_id = f.doc_id""")
+def chunk_ids(s, d):
+    return C.chunk_ids(C.chunk_text(page_texts(s, d)), X.files(s, d))
+
+
+@query("SELECT id, doc_id, page_number, chunk_index, total_chunks_in_page, section_title, text, text_hash, x0, y0, x1, y1 FROM chunks")
+def chunks(s, d):
+    return chunk_table(s, d).drop("filename", "language")
+
+
+@query("SELECT * FROM parents")
+def parent_documents(s, d):
+    return C.parent_documents(X.blocks(s, d), C.chunk_text(page_texts(s, d)), X.files(s, d))
+
+
+@query("SELECT doc_id, md5(text) AS hash, count(*) OVER (PARTITION BY md5(text)) AS copies, min(doc_id) OVER (PARTITION BY md5(text)) AS first_doc FROM documents")
+def content_hash(s, d):
+    return C.content_hash(X.table(s, d, "documents"))
+
+
+def oracle_sql() -> dict[str, str]:
+    return {name: build(sql) for name, sql in _SQL.items()}
