@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,8 +12,12 @@ from corpusmill.operators import ingest as I
 from corpusmill.operators import layout as L
 from corpusmill.operators import match as R
 from corpusmill.operators import titles as TI
-from corpusmill.plans.sql import build, strip, token_set, unit, vector, words
+from corpusmill.operators import dialogs as D
+from corpusmill.operators import present as P
+from corpusmill.operators import search as S
+from corpusmill.plans.sql import FILLER, blended, build, dotted, hybrid, lexical, quoted, ranked, strip, token_set, words
 from corpusmill.sources import fixtures as X
+from corpusmill.streaming import streams
 
 QUERIES: dict = {}
 _SQL: dict[str, str] = {}
@@ -179,5 +181,445 @@ def content_hash(s, d):
     return C.content_hash(X.table(s, d, "documents"))
 
 
+# Store and ingest
+
+
+def stored(s: SparkSession, d: str) -> DataFrame:
+    return C.chunk_text(X.table(s, d, "documents").select("doc_id", "text")).withColumn("text_hash", C.text_hash(F.col("text")))
+
+
+@query("SELECT id, text, section_title, language FROM chunks")
+def json_chunks(s, d):
+    """Written as nested JSON documents and read back, a row a chunk."""
+    path = streams.shared_folder(s)
+    table = chunk_table(s, d)
+    I.json_docs(C.parent_documents(X.blocks(s, d), table, X.files(s, d)), table).write.json(path)
+    return s.read.schema(I.DOCUMENT_SCHEMA).json(path).where("document_chunks IS NOT NULL").select("parent_document.language", F.explode("document_chunks").alias("c")).select("c.id", "c.text", "c.section_title", "language")
+
+
+@query("SELECT filename, total_pages, total_chunks, n FROM parents p JOIN (SELECT doc_id, count(*) AS n FROM chunks GROUP BY doc_id) c ON p.doc_id = c.doc_id")
+def json_docs(s, d):
+    table = chunk_table(s, d)
+    return I.json_docs(C.parent_documents(X.blocks(s, d), table, X.files(s, d)), table).select("parent_document.filename", "parent_document.total_pages", "parent_document.total_chunks", F.size("document_chunks").cast("long").alias("n"))
+
+
+@query("SELECT language, count(*) AS n, count(DISTINCT text_hash) AS hashes FROM chunks GROUP BY language")
+def store_roundtrip(s, d):
+    path = streams.shared_folder(s)
+    I.write_store(chunk_table(s, d), path)
+    return s.read.parquet(path).groupBy("language").agg(F.count("*").alias("n"), F.count_distinct("text_hash").alias("hashes"))
+
+
+@query("SELECT id, translate(substr(text, 1, 200), chr(10), ' ') AS preview FROM chunks ORDER BY id LIMIT 20")
+def store_preview(s, d):
+    return I.store_preview(chunk_table(s, d))
+
+
+@query("SELECT DISTINCT substr(md5(text), 1, 16) AS text_hash FROM doc_chunks")
+def stored_hashes(s, d):
+    """Half of the rows have their hash in nested metadata only."""
+    odd = F.col("doc_id") % 2 == 1
+    rows = stored(s, d).select(F.when(odd, F.lit("")).otherwise(F.col("text_hash")).alias("text_hash"), F.to_json(F.struct("text_hash")).alias("metadata"))
+    return I.stored_hashes(rows)
+
+
+@query("""
+SELECT doc_id, chunk_index, text_hash FROM (SELECT *, min(doc_id) OVER (PARTITION BY text_hash) AS first_file FROM hashed_chunks WHERE doc_id % 2 = 1 AND text_hash NOT IN (SELECT text_hash FROM hashed_chunks WHERE doc_id % 2 = 0)) WHERE doc_id = first_file""")
+def ingest_dedup(s, d):
+    table = stored(s, d).select("doc_id", "chunk_index", "text_hash")
+    return I.ingest_dedup(table.where("doc_id % 2 = 1"), table.where("doc_id % 2 = 0"))
+
+
+@query("SELECT CASE WHEN file_no % 3 = 0 THEN stem || '_' || lpad(CAST(file_no AS VARCHAR), 6, '0') ELSE 'id' || file_no END AS id, CASE WHEN file_no % 5 = 0 THEN '' ELSE stem END AS text, CASE WHEN file_no % 2 = 0 THEN 0 ELSE CAST(file_no AS INT) END AS page_number, '' AS section_title, filename AS pdf_filename, language FROM files")
+def ingest_defaults(s, d):
+    n = F.col("file_no")
+    rows = X.files(s, d).select(
+        F.when(n % 3 != 0, F.concat(F.lit("id"), n.cast("string"))).alias("id"), F.when(n % 5 != 0, F.col("stem")).alias("text"), F.when(n % 2 == 0, F.lit("x")).otherwise(n.cast("string")).alias("page"),
+        F.lit(None).cast("string").alias("section_title"), "file_path", "language", "stem", n.alias("position"),
+    )
+    return I.ingest_defaults(rows)
+
+
+@query("SELECT filename AS id, language, CAST(file_no AS VARCHAR) AS extra_no, '[\"' || stem || '\",1]' AS extra_list, 3 AS n FROM files")
+def flatten_metadata(s, d):
+    f = X.files(s, d)
+    rows = f.select(
+        F.col("filename").alias("id"), F.create_map(F.lit("language"), F.col("language")).alias("reserved"),
+        F.create_map(F.lit("language"), F.lit("ignored"), F.lit("no"), F.col("file_no").cast("string"), F.lit("list"), F.concat(F.lit('["'), "stem", F.lit('",1]'))).alias("extra"),
+    )
+    m = F.col("metadata")
+    return I.flatten_metadata(rows).select("id", m["language"].alias("language"), m["no"].alias("extra_no"), m["list"].alias("extra_list"), F.size(m).alias("n"))
+
+
+@query("SELECT file_path, doc_id FROM files WHERE doc_id % 3 <> 0")
+def incremental_files(s, d):
+    f = X.files(s, d).select("file_path", "doc_id")
+    return I.unprocessed(f, f.where("doc_id % 3 = 0"))
+
+
+# Embeddings
+
+
+@query("SELECT doc_id, CAST(i - 1 AS INT) AS place, round(vector[i], 6) AS value FROM (SELECT doc_id, vector, unnest(range(1, 65)) AS i FROM document_vectors) WHERE vector[i] <> 0")
+def embed_text(s, d):
+    v = I.embed_text(X.table(s, d, "documents").select("doc_id", "text"))
+    return v.select("doc_id", F.posexplode("vector").alias("place", "value")).where("value <> 0").select("doc_id", "place", F.round("value", 6).alias("value"))
+
+
+@query("SELECT vec_id, round(sqrt(list_sum(list_transform(v, lambda x: (x / n) * (x / n)))), 6) AS norm, round(v[1] / n, 6) AS first FROM (SELECT vec_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS n FROM (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE) * 3) AS v FROM embeddings))")
+def normalize_vectors(s, d):
+    v = X.table(s, d, "embeddings").select("vec_id", V.normalized(F.transform("embedding", lambda x: x.cast("double") * 3)).alias("v"))
+    return v.select("vec_id", F.round(V.norm(F.col("v")), 6).alias("norm"), F.round(F.get("v", F.lit(0)), 6).alias("first"))
+
+
+@query("SELECT d.doc_id, round(list_sum(list_transform(vector, lambda x: abs(x))), 6) AS weight FROM document_vectors d")
+def embed_dedup(s, d):
+    v = I.embed_distinct(X.table(s, d, "documents").select("doc_id", "text"))
+    return v.select("doc_id", F.round(F.aggregate("vector", F.lit(0.0), lambda acc, x: acc + F.abs(x)), 6).alias("weight"))
+
+
+@query("SELECT count(*) AS n, CAST(sum(CASE WHEN vec_id % 10 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS empty, count(DISTINCT CASE WHEN vec_id % 10 <> 0 THEN len(embedding) END) AS dimensions, count(DISTINCT CASE WHEN vec_id % 10 <> 0 THEN len(embedding) END) = 1 AS ok FROM embeddings")
+def vector_dim_check(s, d):
+    return I.vector_dim_check(X.table(s, d, "embeddings").select(F.when(F.col("vec_id") % 10 != 0, F.col("embedding")).alias("vector")))
+
+
+@query("SELECT * FROM section_index")
+def section_index(s, d):
+    return index_table(s, d)
+
+
+@query("SELECT filename, section_no, section_title, round(list_sum(list_transform(vector, lambda x: abs(x))), 6) AS weight FROM section_vectors")
+def section_vectors(s, d):
+    return I.section_vectors(index_table(s, d)).select("filename", "section_no", "section_title", F.round(F.aggregate("vector", F.lit(0.0), lambda acc, x: acc + F.abs(x)), 6).alias("weight"))
+
+
+# Matching
+
+
+@query("SELECT id FROM chunks WHERE language = 'English' AND page_number >= 2 AND page_number <= 5 AND (chunk_index = 0 OR section_title = '')")
+def metadata_filter(s, d):
+    where = {"$and": [{"language": {"$eq": "English"}}, {"page_number": {"$gte": 2, "$lte": 5}}, {"$or": [{"chunk_index": 0}, {"section_title": ""}]}]}
+    return chunk_table(s, d).where(R.predicate(where)).select("id")
+
+
+@query(f"SELECT doc_id, regexp_extract_all(lower({strip('text')}), '[a-z0-9'']+') AS tokens FROM documents")
+def tokenize(s, d):
+    return X.table(s, d, "documents").select("doc_id", T.tokens(F.col("text")).alias("tokens"))
+
+
+@query("SELECT query_id, filename, round(overlap, 6) AS overlap FROM file_overlap")
+def token_overlap(s, d):
+    return R.token_overlap(asked(s, d), R.file_tokens(X.files(s, d)), ["filename"]).withColumn("overlap", F.round("overlap", 6))
+
+
+@query(f"SELECT filename, section_title, regexp_matches({strip('section_title')}, '[一-鿿A-Za-z]') AND length(regexp_replace({strip('section_title')}, '{FILLER}', '', 'g')) > 0 AS valid FROM section_index")
+def valid_section_titles(s, d):
+    return index_table(s, d).select("filename", "section_title", T.valid_section_title(F.col("section_title")).alias("valid"))
+
+
+@query("SELECT * FROM matches")
+def match_files_sections(s, d):
+    return R.match_files_sections(asked(s, d), X.files(s, d), index_table(s, d))
+
+
+@query("SELECT query_id, first_page, last_page FROM parsed_queries")
+def parse_page_range(s, d):
+    return asked(s, d).select("query_id", "first_page", "last_page")
+
+
+@query("SELECT query_id, plain_query, filter_pdf FROM parsed_queries")
+def parse_file_filter(s, d):
+    return asked(s, d).select("query_id", "plain_query", "filter_pdf")
+
+
+@query("SELECT item_id AS query_id, length(text) BETWEEN 1 AND 1000 AS valid FROM benchmark")
+def validate_queries(s, d):
+    return R.validate_queries(X.passage_queries(s, d))
+
+
+@query("SELECT query_id, id FROM allowed")
+def candidate_filter(s, d):
+    q = asked(s, d)
+    return R.candidate_filter(q, R.match_files_sections(q, X.files(s, d), index_table(s, d)), chunk_table(s, d))
+
+
+@query("""SELECT query_id, rank, filename, overlap FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY overlap DESC, file_no) AS INT) AS rank FROM (
+  SELECT q.query_id, f.filename, f.file_no, round(coalesce(o.overlap, 0.0), 6) AS overlap FROM parsed_queries q CROSS JOIN files f LEFT JOIN file_overlap o ON o.query_id = q.query_id AND o.filename = f.filename)) WHERE rank <= 3""")
+def rank_files(s, d):
+    return R.rank_files(asked(s, d), X.files(s, d))
+
+
+@query("SELECT section_title, arg_min(i.filename, file_no) AS filename FROM section_index i JOIN files f ON i.filename = f.filename GROUP BY section_title")
+def section_owner(s, d):
+    return R.section_owner(index_table(s, d), X.files(s, d))
+
+
+# Search
+
+
+def chunk_vectors(s: SparkSession, d: str) -> DataFrame:
+    return I.embed_text(chunk_table(s, d)).select("id", "vector", "text", "filename", "section_title", "page_number", "language")
+
+
+def short(s: SparkSession, d: str) -> DataFrame:
+    """Short queries with the file they name put in front, and their vectors."""
+    q = asked(s, d)
+    text = F.when(F.col("filter_pdf").isNull(), F.col("query")).otherwise(F.concat(F.lit("在"), "filter_pdf", F.lit("中，"), "plain_query"))
+    return I.embed_text(q.withColumn("query", text), "query").withColumnRenamed("vector", "q_vector")
+
+
+def passages(s: SparkSession, d: str) -> DataFrame:
+    return I.embed_text(X.passage_queries(s, d), "query").withColumnRenamed("vector", "q_vector")
+
+
+def matched(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    q = asked(s, d)
+    m = R.match_files_sections(q, X.files(s, d), index_table(s, d))
+    return m, R.candidate_filter(q, m, chunk_table(s, d))
+
+
+HIT = ["query_id", "id", "score", "rank"]
+
+
+@query("SELECT query_id, id AS chunk_id, score, rank FROM (" + ranked(f"SELECT item_id AS query_id, id, {dotted('p.vector', 'c.vector')} AS score FROM passage_vectors p, chunk_vectors c", 10) + ")")
+def vector_topk(s, d):
+    return S.vector_topk(passages(s, d), chunk_vectors(s, d), 10).select("query_id", F.col("id").alias("chunk_id"), "score", "rank")
+
+
+@query()
+def vector_topk_lsh(s, d):
+    return S.vector_topk_lsh(passages(s, d), chunk_vectors(s, d), 10)
+
+
+@query("SELECT query_id, id, score, rank FROM (" + ranked("SELECT * FROM allowed_pairs", 10) + ")")
+def vector_topk_filtered(s, d):
+    return S.filtered_topk(short(s, d), chunk_vectors(s, d), matched(s, d)[1], 10)
+
+
+@query("SELECT query_id, filename, file_score FROM near_files")
+def match_filename_vec(s, d):
+    files = I.file_vectors(X.files(s, d))
+    near = S.vector_topk(short(s, d).where("filter_pdf IS NULL"), files, 1, "file_no")
+    return near.join(files.select("file_no", "filename"), "file_no").select("query_id", "filename", F.col("score").alias("file_score"))
+
+
+def hits30(s: SparkSession, d: str) -> DataFrame:
+    q, c = short(s, d), chunk_vectors(s, d)
+    return S.with_texts(S.vector_topk(q, c, 30), q, c)
+
+
+HITS30 = ranked("SELECT * FROM all_pairs", 30)
+
+
+@query("SELECT query_id, id, score, rank FROM (" + ranked(f"SELECT query_id, id, {lexical('query', 'text')} AS score FROM ({HITS30})", 10) + ")")
+def rerank_lexical(s, d):
+    return S.rerank(hits30(s, d), 10).select(*HIT)
+
+
+@query()
+def rerank_model(s, d):
+    """A model's scores on (query, text) pairs, in Arrow batches; a character-overlap scorer stands in for one."""
+
+    @F.pandas_udf("double")
+    def model(q, t):
+        return (q.str.len() / (t.str.len() + 1)).clip(0, 1)
+
+    return S.rerank(hits30(s, d), 10, model("query", "text")).select(*HIT)
+
+
+@query("SELECT query_id, id, score, rank FROM (" + blended(HITS30, 10) + ")")
+def rerank_blend(s, d):
+    return S.blend(hits30(s, d), 10).select(*HIT)
+
+
+@query(f"SELECT query_id, id, round(CASE WHEN max(score) OVER w > min(score) OVER w THEN (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) ELSE 0.5 END, 6) AS score FROM ({HITS30}) WINDOW w AS (PARTITION BY query_id)")
+def minmax_scores(s, d):
+    return S.minmax(S.vector_topk(short(s, d), chunk_vectors(s, d), 30))
+
+
+@query("SELECT * FROM accepted_sections")
+def section_match(s, d):
+    q = short(s, d)
+    files = I.file_vectors(X.files(s, d))
+    near = S.vector_topk(q.where("filter_pdf IS NULL"), files, 1, "file_no").join(files.select("file_no", "filename"), "file_no").select("query_id", "filename")
+    target = near.union(q.where("filter_pdf IS NOT NULL").select("query_id", F.col("filter_pdf").alias("filename")))
+    return S.section_match(q.join(target, "query_id"), I.section_vectors(index_table(s, d)))
+
+
+@query("SELECT query_id, id, score, rank FROM (" + blended(HITS30, 10, True) + ")")
+def search_vector_only(s, d):
+    return S.search_vector_only(short(s, d), chunk_vectors(s, d)).select(*HIT)
+
+
+_share = f"round(len(list_intersect(list_distinct({words('lower(query)')}), list_distinct({words('lower(text)')}))) / CAST(greatest(len(list_distinct({words('lower(query)')})), 1) AS DOUBLE), 6)"
+
+
+@query("SELECT query_id, id, score, rank FROM (" + blended(ranked(f"SELECT query_id, id, query, text, CASE WHEN most = 0 THEN score ELSE share END AS score FROM (SELECT *, max(share) OVER (PARTITION BY query_id) AS most FROM (SELECT * EXCLUDE (rank), {_share} AS share FROM ({ranked('SELECT * FROM all_pairs', 90)}))) WHERE most = 0 OR share > 0", 30), 10, True) + ")")
+def search_keyword(s, d):
+    return S.search_keyword(short(s, d), chunk_vectors(s, d)).select(*HIT)
+
+
+@query("SELECT query_id, id, score, rank FROM hybrid_hits")
+def search_hybrid(s, d):
+    return S.search_hybrid(short(s, d), chunk_vectors(s, d), *matched(s, d)).select(*HIT)
+
+
+@query(f"SELECT query_id, id, score, rank FROM ({blended(ranked('SELECT * FROM allowed_pairs', 100), 100)}) UNION ALL SELECT query_id, id, score, rank FROM ({hybrid(60, True)})")
+def search_smart(s, d):
+    return S.search_smart(short(s, d), chunk_vectors(s, d), *matched(s, d)).select(*HIT)
+
+
+def smart_hits(s: SparkSession, d: str) -> DataFrame:
+    return S.smart_retrieval(short(s, d), chunk_vectors(s, d), I.file_vectors(X.files(s, d)), I.section_vectors(index_table(s, d)))
+
+
+@query("SELECT query_id, id, score, rank, smart_mode FROM smart_hits")
+def smart_retrieval(s, d):
+    return smart_hits(s, d).select(*HIT, "smart_mode")
+
+
+@query("SELECT query_id, id, score, rank FROM (" + ranked(f"SELECT h.query_id, h.id, {lexical('s.query', 'c.text')} AS score FROM ({hybrid(20)}) h JOIN short_vectors s ON h.query_id = s.query_id JOIN chunks c ON h.id = c.id", 10) + ")")
+def search_service(s, d):
+    return S.search_service(short(s, d), chunk_vectors(s, d), *matched(s, d)).select(*HIT)
+
+
+@query("SELECT query_id, id, score, rank, 0 AS plan FROM smart_hits UNION ALL SELECT query_id, id, score, rank, 1 FROM hybrid_hits WHERE query_id NOT IN (SELECT query_id FROM smart_hits)")
+def search_first_nonempty(s, d):
+    return S.first_nonempty(smart_hits(s, d), search_hybrid(s, d)).select(*HIT, "plan")
+
+
+# What is shown
+
+
+def shown(s: SparkSession, d: str) -> DataFrame:
+    c = chunk_vectors(s, d)
+    return S.vector_topk(short(s, d), c, 12).join(c.drop("vector"), "id")
+
+
+@query("SELECT query_id, rank, translate(substr(text, 1, 800), chr(10), ' ') AS text_preview, section_title, page_number, score, filename AS pdf_filename FROM shown_hits")
+def format_hits(s, d):
+    return P.format_hits(shown(s, d))
+
+
+@query("SELECT query_id, string_agg(rank || '. 文件: ' || filename || ', 章节: ' || section_title || ', 页码: ' || page_number || chr(10) || translate(substr(text, 1, 800), chr(10), ' ') || chr(10), chr(10) ORDER BY rank) AS context FROM shown_hits WHERE rank <= 10 GROUP BY query_id")
+def context_text(s, d):
+    return P.context_text(shown(s, d))
+
+
+@query("SELECT query_id, rank, '[' || rank || '] ' || filename || ' | ' || CASE WHEN section_title = '' THEN '未知章节' ELSE section_title END || ' | 页 ' || page_number AS citation, round(least(score * 100, 100.0), 1) AS percent FROM shown_hits")
+def citations(s, d):
+    return P.citations(shown(s, d))
+
+
+@query("""SELECT q.query_id, coalesce('【检索结果】共找到 ' || n || ' 条相关内容：' || chr(10) || chr(10) || body || chr(10) || '【回答要求】' || chr(10) || '请基于以上检索结果回答用户的问题。' || chr(10) || '如果检索结果不足以回答问题，请明确说明。', '未检索到与「' || query || '」相关的内容。') AS answer
+FROM short_vectors q LEFT JOIN (SELECT query_id, count(*) AS n, string_agg('--- 相关文档 ' || rank || ' (相似度:' || printf('%.2f', round(score + 1e-9, 2)) || ') ---' || chr(10) || '来源：' || filename || ' / ' || CASE WHEN section_title = '' THEN '未知章节' ELSE section_title END || '，第 ' || page_number || ' 页' || chr(10) || '内容：' || text || chr(10), chr(10) ORDER BY rank) AS body
+  FROM shown_hits WHERE query_id % 2 = 0 GROUP BY query_id) h ON q.query_id = h.query_id""")
+def hits_text(s, d):
+    return P.hits_text(short(s, d), shown(s, d).where("query_id % 2 = 0"))
+
+
+@query("SELECT query_id, rank, CASE WHEN length(text) > 150 THEN substr(text, 1, 150) || '...' ELSE text END AS text_preview, section_title, page_number, score, filename AS pdf_filename FROM shown_hits WHERE rank <= 5")
+def references(s, d):
+    return P.references(shown(s, d))
+
+
+@query("SELECT query_id, rank, filename AS pdf_filename, CASE WHEN section_title = '' THEN '未知章节' ELSE section_title END AS section_title, page_number, score, CASE WHEN length(text) > 200 THEN substr(text, 1, 200) || '...' ELSE text END AS text, TRUE AS matched FROM shown_hits WHERE rank <= 10")
+def retrieved_docs(s, d):
+    return P.retrieved_docs(shown(s, d))
+
+
+@query("SELECT count(*) AS total_chunks, count(DISTINCT filename) AS total_files, list_sort(list_distinct(list(language))) AS languages FROM chunks")
+def corpus_stats(s, d):
+    return P.corpus_stats(chunk_table(s, d))
+
+
+@query("SELECT query_id, CASE WHEN query_id IN (SELECT query_id FROM smart_hits) THEN 'retrieval' WHEN query_id IN (SELECT conv_id FROM conversations) THEN 'history' ELSE 'none' END AS route FROM short_vectors")
+def answer_route(s, d):
+    return P.answer_route(short(s, d), smart_hits(s, d), X.messages(s, d).select(F.col("conv_id").alias("query_id")))
+
+
+# Dialogs and streams
+
+
+@query("SELECT conv_id, '对话 ' || substr(CAST(conv_id AS VARCHAR), 1, 8) AS title, count(*) AS message_count, max(turn) AS last_turn FROM conversations GROUP BY conv_id")
+def dialog_list(s, d):
+    return D.dialog_list(X.messages(s, d))
+
+
+@query("SELECT conv_id, turn, CASE role WHEN 'user' THEN 'human' WHEN 'assistant' THEN 'ai' ELSE 'assistant' END AS role, text FROM conversations")
+def dialog_history(s, d):
+    return D.dialog_history(X.messages(s, d))
+
+
+@query("SELECT conv_id, turn, role, text FROM conversations WHERE conv_id % 7 <> 0")
+def dialog_delete(s, d):
+    m = X.messages(s, d)
+    return D.delete_dialogs(m, m.where("conv_id % 7 = 0").select("conv_id"))
+
+
+@query("SELECT conv_id, arg_max(substr(text, 1, 20), turn) AS title FROM conversations WHERE role = 'user' GROUP BY conv_id")
+def dialog_titles(s, d):
+    m = X.messages(s, d)
+    return D.latest_titles(m.where("role = 'user'").select("conv_id", F.col("turn").alias("changed_at"), F.substring("text", 1, 20).alias("title")), m)[0]
+
+
+@query("SELECT conv_id, string_agg('- ' || role || ': ' || substr(text, 1, 200), chr(10) ORDER BY turn) AS context FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM conversations) WHERE back <= 5 GROUP BY conv_id")
+def dialog_context(s, d):
+    return D.dialog_context(X.messages(s, d), last=5)
+
+
+@query("SELECT conv_id, arg_max(text, turn) AS text FROM conversations WHERE role = 'assistant' GROUP BY conv_id")
+def last_assistant(s, d):
+    return D.last_assistant(X.messages(s, d))
+
+
+@query("SELECT conv_id, role, count(*) AS messages FROM conversations GROUP BY ALL")
+def conversation_counts(s, d):
+    return D.conversation_counts(X.messages(s, d))
+
+
+def _stream(s: SparkSession, d: str, name: str) -> DataFrame:
+    """The table as a stream of its files."""
+    schema = X.table(s, d, name).schema
+    return s.readStream.schema(schema).parquet(f"{d}/{name}.parquet*")
+
+
+@query("SELECT doc_id, chunk_index, text, substr(md5(text), 1, 16) AS text_hash FROM doc_chunks")
+def stream_ingest(s, d):
+    folder = streams.shared_folder(s)
+    streams.stream_ingest(_stream(s, d, "documents"), f"{folder}/store", f"{folder}/checkpoint")
+    return s.read.parquet(f"{folder}/store")
+
+
+@query("SELECT conv_id, count(*) AS message_count, max(turn) AS last_turn FROM conversations GROUP BY conv_id")
+def stream_dialogs(s, d):
+    folder = streams.shared_folder(s)
+    streams.stream_counts(_stream(s, d, "conversations"), f"{folder}/counts", f"{folder}/checkpoint")
+    return s.read.parquet(f"{folder}/counts")
+
+
+# Scalar helpers
+
+
+@query("""
+SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, round(len(list_intersect(a.ws, b.ws)) / CAST(len(list_distinct(list_concat(a.ws, b.ws))) AS DOUBLE), 6) AS similarity
+FROM first_words a JOIN first_words b ON a.first_word = b.first_word AND a.doc_id < b.doc_id WHERE a.doc_id % 10 = 0""")
+def jaccard_pairs(s, d):
+    """Word-set similarity of short documents that begin with the same word, over their first 40 words."""
+    head = F.array_join(F.slice(T.words(F.col("text")), 1, 40), " ")
+    w = X.table(s, d, "documents").where(F.length("text") < 2000).select("doc_id", head.alias("head")).withColumn("first", F.get(T.words(F.lower("head")), F.lit(0)))
+    a, b = w.where("doc_id % 10 = 0").select(F.col("doc_id").alias("doc_a"), F.col("head").alias("head_a"), "first"), w.select(F.col("doc_id").alias("doc_b"), F.col("head").alias("head_b"), "first")
+    return a.join(b, "first").where("doc_a < doc_b").select("doc_a", "doc_b", F.round(T.jaccard(F.col("head_a"), F.col("head_b")), 6).alias("similarity"))
+
+
+@query("""
+SELECT event_id, CASE WHEN length(props) <= 20 THEN props ELSE substr(props, 1, 17) || '...' END AS short_props, CASE WHEN event_id % 4 = 0 THEN 0.0 ELSE round(value / (event_id % 4), 6) END AS ratio, strftime(ts, '%Y-%m-%d %H:%M:%S') AS at, 'json' AS extension
+FROM events""")
+def scalar_helpers(s, d):
+    e = X.table(s, d, "events")
+    name = F.concat(F.col("event_type"), F.lit(".x.JSON"))
+    return e.select("event_id", T.truncated(F.col("props"), 20).alias("short_props"), F.round(T.safe_divide(F.col("value"), F.col("event_id") % 4), 6).alias("ratio"), T.timestamp_text(F.col("ts")).alias("at"), T.extension(name).alias("extension"))
+
+
 def oracle_sql() -> dict[str, str]:
     return {name: build(sql) for name, sql in _SQL.items()}

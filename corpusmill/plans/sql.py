@@ -168,3 +168,76 @@ SELECT h.query_id, h.id FROM (
   SELECT DISTINCT m.query_id, c.id, c.page_number FROM chunks c JOIN (SELECT DISTINCT query_id, filename FROM matches) m ON c.filename = m.filename
   UNION SELECT DISTINCT m.query_id, c.id, c.page_number FROM chunks c JOIN (SELECT DISTINCT query_id, section_title FROM matches WHERE section_title IS NOT NULL) m ON c.section_title = m.section_title) h
 JOIN parsed_queries q ON h.query_id = q.query_id WHERE first_page IS NULL OR h.page_number BETWEEN first_page AND last_page""")
+
+
+# Vectors: token codes first, so that they are computed once a text
+
+
+def _vectors(name: str, source: str, keys: str, text: str) -> None:
+    step(f"{name}_codes", f"SELECT {keys}, list_transform(regexp_extract_all(lower({text}), '[a-z0-9'']+'), lambda t: CAST('0x' || substr(md5(t), 1, 8) AS BIGINT)) AS codes FROM {source}")
+    step(f"{name}_counts", f"SELECT {keys}, list_transform(range(0, 64), lambda b: CAST(len(list_filter(codes, lambda h: h % 64 = b AND (h // 64) % 2 = 0)) - len(list_filter(codes, lambda h: h % 64 = b AND (h // 64) % 2 = 1)) AS DOUBLE)) AS v FROM {name}_codes")
+    step(f"{name}_norms", f"SELECT {keys}, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS n FROM {name}_counts")
+    step(f"{name}_vectors", f"SELECT {keys}, CASE WHEN n > 0 THEN list_transform(v, lambda x: x / n) ELSE v END AS vector FROM {name}_norms")
+
+
+_vectors("chunk", "chunks", "id, filename, section_title, page_number, text", "text")
+_vectors("passage", "benchmark", "item_id", "text")
+_vectors("short", "augmented", "query_id, query, filter_pdf, first_page, last_page", "query")
+_vectors("file", "files", "file_no, filename", "filename")
+_vectors("section", "valid_sections", "filename, section_no, section_title", "section_title")
+_vectors("document", "documents", "doc_id", "text")
+step("augmented", "SELECT query_id, CASE WHEN filter_pdf IS NULL THEN query ELSE '在' || filter_pdf || '中，' || plain_query END AS query, filter_pdf, first_page, last_page FROM parsed_queries")
+FILLER = r"[\s\-\._，。,、：:\d一二三四五六七八九十百千零壹贰叁肆伍陆柒捌玖]"
+step("valid_sections", f"""
+SELECT filename, CAST(row_number() OVER (PARTITION BY filename ORDER BY section_title) - 1 AS INT) AS section_no, section_title FROM section_index
+WHERE regexp_matches({strip('section_title')}, '[一-鿿A-Za-z]') AND length(regexp_replace({strip('section_title')}, '{FILLER}', '', 'g')) > 0""")
+
+
+def lexical(q: str, t: str) -> str:
+    qs, ds = f"list_distinct({words(f'lower({q})')})", words(f"lower({t})")
+    return f"round(len(list_intersect({qs}, list_distinct({ds}))) / CAST(greatest(len({qs}), 1) AS DOUBLE) / (1 + len({ds}) / 100), 6)"
+
+
+def ranked(sql: str, k: int, item: str = "id") -> str:
+    return f"SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, {item}) AS INT) AS rank FROM ({sql})) WHERE rank <= {k}"
+
+
+def dotted(a: str, b: str) -> str:
+    return f"round(list_inner_product({a}, {b}), 6) + 0.0"
+
+
+def blended(hits: str, k: int, only_if_over: bool = False) -> str:
+    """hits: (query_id, id, score, query, text)."""
+    mixed = "round(0.3::DOUBLE * score + 0.7::DOUBLE * lex + 1e-9::DOUBLE, 6)"
+    score = f"CASE WHEN n > {k} THEN {mixed} ELSE score END" if only_if_over else mixed
+    return ranked(f"SELECT query_id, id, {score} AS score FROM (SELECT *, {lexical('query', 'text')} AS lex, count(*) OVER (PARTITION BY query_id) AS n FROM ({hits}))", k)
+
+
+step("all_pairs", f"SELECT query_id, id, query, text, {dotted('s.vector', 'c.vector')} AS score FROM short_vectors s, chunk_vectors c")
+step("allowed_pairs", "SELECT p.* FROM all_pairs p JOIN allowed a ON p.query_id = a.query_id AND p.id = a.id")
+step("page_pairs", "SELECT p.* FROM all_pairs p JOIN parsed_queries q ON p.query_id = q.query_id JOIN chunks c ON p.id = c.id WHERE c.page_number BETWEEN q.first_page AND q.last_page AND p.query_id NOT IN (SELECT query_id FROM matches)")
+step("free_pairs", "SELECT p.* FROM all_pairs p JOIN parsed_queries q ON p.query_id = q.query_id WHERE first_page IS NULL AND p.query_id NOT IN (SELECT query_id FROM matches)")
+
+
+def hybrid(k: int, only_unmatched: bool = False) -> str:
+    first = max(120, 3 * k)
+    parts = ([] if only_unmatched else ["allowed_pairs"]) + ["page_pairs", "free_pairs"]
+    return blended(" UNION ALL ".join(f"SELECT query_id, id, score, query, text FROM ({ranked(f'SELECT * FROM {p}', first)})" for p in parts), k, True)
+
+
+step("near_files", f"SELECT query_id, filename, score AS file_score FROM ({ranked('SELECT query_id, file_no, filename, ' + dotted('s.vector', 'f.vector') + ' AS score FROM short_vectors s, file_vectors f WHERE s.filter_pdf IS NULL', 1, 'file_no')})")
+step("targets", "SELECT query_id, filename, file_score FROM near_files UNION ALL SELECT query_id, filter_pdf, 1.0::DOUBLE FROM short_vectors WHERE filter_pdf IS NOT NULL")
+step("near_sections", ranked(f"SELECT s.query_id, query, t.filename, section_no, section_title, {dotted('s.vector', 'v.vector')} AS score FROM short_vectors s JOIN targets t ON s.query_id = t.query_id JOIN section_vectors v ON t.filename = v.filename", 5, "section_no"))
+step("fused_sections", f"""
+SELECT *, round((1 - 0.5::DOUBLE) * scaled + 0.5::DOUBLE / (1 + exp(-lex)), 6) AS fused FROM (
+  SELECT *, CASE WHEN max(score) OVER w > min(score) OVER w THEN (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) ELSE 0.5 END AS scaled, {lexical('query', 'section_title')} AS lex
+  FROM near_sections WINDOW w AS (PARTITION BY query_id))""")
+step("accepted_sections", """
+SELECT query_id, filename, section_title, fused AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY fused DESC, score DESC, section_no) AS nth FROM fused_sections) WHERE nth = 1 AND fused >= 0.65""")
+step("smart_plan", """
+SELECT t.query_id, t.filename, a.section_title, CASE WHEN a.section_title IS NOT NULL THEN 'precise_by_section' WHEN file_score >= 0.7 THEN 'precise_by_file' END AS smart_mode FROM targets t LEFT JOIN accepted_sections a ON t.query_id = a.query_id""")
+step("smart_hits", ranked("SELECT p.query_id, p.id, p.score, smart_mode FROM all_pairs p JOIN chunks c ON p.id = c.id JOIN smart_plan m ON p.query_id = m.query_id AND c.filename = m.filename WHERE smart_mode IS NOT NULL AND (m.section_title IS NULL OR m.section_title = c.section_title)", 60))
+step("hybrid_hits", hybrid(60))
+step("shown_hits", "SELECT h.query_id, h.rank, h.score, c.id, c.text, c.section_title, c.page_number, c.filename FROM (" + ranked("SELECT query_id, id, score FROM all_pairs", 12) + ") h JOIN chunks c ON h.id = c.id")
+step("hashed_chunks", "SELECT doc_id, chunk_index, substr(md5(text), 1, 16) AS text_hash FROM doc_chunks")
+step("first_words", f"""SELECT doc_id, list_distinct({words("lower(array_to_string(" + words("text") + "[1:40], ' '))")}) AS ws, lower({words("text")}[1]) AS first_word FROM documents WHERE length(text) < 2000""")
