@@ -61,8 +61,11 @@ def dedup(docs: DataFrame, run: int = RUN) -> DataFrame:
     joined = joined.select("_row", "_lines", gone.alias("_gone"))
     kept = F.filter("_lines", lambda x, i: ~F.array_contains("_gone", i))
     runs = F.size(F.filter("_gone", lambda x, i: ~x.eqNullSafe(F.get("_gone", i - 1) + 1)))
-    columns = [F.when(F.size("_gone") == 0, F.col("_row.text")).otherwise(F.array_join(kept, "\n")).alias(c) if c == "text" else F.col("_row")[c].alias(c) for c in docs.columns if c not in ("n_lines", "n_removed", "n_runs")]
-    return joined.select(*columns, F.size("_lines").cast("long").alias("n_lines"), F.size("_gone").cast("long").alias("n_removed"), runs.cast("long").alias("n_runs"))
+    done = joined.select(
+        "_row", F.when(F.size("_gone") > 0, F.array_join(kept, "\n")).alias("__text"), F.size("_lines").cast("long").alias("__lines"), F.size("_gone").cast("long").alias("__gone"), runs.cast("long").alias("__runs")
+    )
+    columns = [F.coalesce("__text", F.col("_row")[c]).alias(c) if c == "text" else F.col("_row")[c].alias(c) for c in docs.columns if c not in ("n_lines", "n_removed", "n_runs")]
+    return done.select(*columns, F.col("__lines").alias("n_lines"), F.col("__gone").alias("n_removed"), F.col("__runs").alias("n_runs"))
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
