@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -96,10 +99,9 @@ def embed_distinct(rows: DataFrame, text: str = "text") -> DataFrame:
 
 def predict_embeddings(rows: DataFrame, make_predict_fn, batch_size: int = 32, text: str = "text") -> DataFrame:
     """A model's vectors, in batches, loaded once a Python worker; a failed batch is tried one by one, failed rows are null."""
-    import pandas as pd
 
     @F.pandas_udf("array<float>")
-    def encode(it):
+    def encode(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
         predict = make_predict_fn()
         for texts in it:
             out = []
@@ -115,7 +117,6 @@ def predict_embeddings(rows: DataFrame, make_predict_fn, batch_size: int = 32, t
                             out.append(None)
             yield pd.Series(out)
 
-    encode.func.__annotations__ = {}
     return rows.withColumn("vector", encode(text))
 
 
