@@ -37,7 +37,7 @@ from corpusmill.llm.common import documents
 LENGTH = 100
 GRAM = 32
 LEFT = LENGTH - GRAM
-BATCH = 6_000_000
+BATCH = 4_000_000
 BYTES = np.random.default_rng(5).integers(0, 1 << 63, 256, dtype=np.uint64)
 BYTES2 = np.random.default_rng(6).integers(0, 1 << 63, 256, dtype=np.uint64)
 CONTEXT = np.dtype([("doc", "<i8"), ("at", "<u4"), ("left_n", "u1"), ("right_n", "u1"), ("text", "u1", (LEFT + LENGTH,))])
