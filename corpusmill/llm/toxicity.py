@@ -139,7 +139,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, size: int =
     odds = F.log((F.col("a") + 0.5) / (n["a"] + 1)) - F.log((F.col("b") + 0.5) / (n["b"] + 1))
     sure = odds - CAUTION * F.sqrt(1 / (F.col("a") + 0.5) + 1 / (F.col("b") + 0.5))
     found = (
-        entry.groupBy("entry").agg(toxic, clean).where(F.col("a") >= max(4, round(0.004 * n["a"])))
+        entry.groupBy("entry").agg(toxic, clean).where(F.col("a") >= max(4, round(0.02 * n["a"])))
         .select("entry", sure.alias("weight")).where(F.col("weight") >= LEAST_WEIGHT).orderBy(F.desc("weight"), "entry").limit(size).collect()
     )
     prior = math.log((n["a"] + 1) / (n["b"] + 9))
