@@ -12,10 +12,11 @@ Texts that are equal are one text from the start. Sketch buckets of up to `SMALL
 pairs; larger ones each text's pair with two leading texts, one of them that whose sketches
 most other texts share. Before texts are fetched, pairs are compared by a
 `BINS`-byte one-permutation minhash, which lets pass all but about one in 10^5 of those at the threshold.
-What large buckets still hold in different components is then compared exactly in blocks: their texts are
-bucketed anew by pairs of sketches, and every text outside a bucket's main component meets all others of the
-bucket, in groups of at most some hundred a side. So no bucket is gathered in one task, whatever its size,
-and a group of copies costs a few rows a text.
+What large buckets still hold in different components is then compared in blocks: every text outside a
+bucket's main component meets all others of the bucket, in groups of at most some hundred a side. All
+sketches count, so a large bucket loses no pair that a small one would give. No bucket is gathered in one
+task, whatever its size, and a group of copies costs a few rows a text; many dissimilar texts in one bucket
+cost the product of its size and of what is outside its main component.
 
 Defined results: null text counts as empty; texts without words, and texts of fewer than SHINGLE words
 (whose one shingle is the whole text), are linked to equal ones only; null ids come first; rows with one id
@@ -35,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.llm import rolling
-from corpusmill.llm.common import cut, documents
+from corpusmill.llm.common import cut, documents, salted_join
 from corpusmill.llm.substring_dedup import Words
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -43,8 +44,8 @@ SKETCHES, PICKED = 16, 2
 SMALL = 6
 #: Bytes of the two minhashes: the first filters pairs, the finer one what large buckets hold.
 BINS, FINE = 128, 512
-#: Standard errors that an estimate may lie under the threshold; texts a side in a block; other sketches that refine a large bucket.
-SLACK, SIDE, REFINE = 4.5, 800, 2
+#: Standard errors that an estimate may lie under the threshold; texts a side in a block.
+SLACK, SIDE = 4.5, 800
 #: Edges that one task of a component step holds.
 EDGES_A_TASK = 300_000
 #: Texts that are sent to one place with the text they are compared with.
@@ -209,7 +210,7 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def verified(pairs: DataFrame, plain: DataFrame) -> DataFrame:
     """Those pairs (a, b) whose texts (_id, text) are similar: the partners b of each a, in groups of some `GROUP`, are sent to one place a group."""
     sizes = pairs.groupBy("a").agg(F.ceil(F.count("*") / GROUP).alias("groups"))
-    placed = pairs.join(sizes, "a").select("a", "b", F.xxhash64("a", F.pmod(F.xxhash64("b"), F.col("groups"))).alias("g"))
+    placed = cut(pairs.join(sizes, "a").select("a", "b", F.xxhash64("a", F.pmod(F.xxhash64("b"), F.col("groups"))).alias("g")))
     parts = placed.select(F.col("b").alias("_doc"), F.col("g").alias("member"), F.lit(None).cast("long").alias("leads"))
     led = placed.select("a", "g").distinct().select(F.col("a").alias("_doc"), F.lit(None).cast("long").alias("member"), F.col("g").alias("leads"))
     wanted = parts.union(led).groupBy("_doc").agg(F.collect_list("member").alias("member"), F.collect_list("leads").alias("leads"))
@@ -274,16 +275,12 @@ def _cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def remaining_pairs(marks: DataFrame, bucket: DataFrame, reps: DataFrame, roots: DataFrame) -> DataFrame:
-    """Promising pairs of different components within large buckets, bucketed anew by pairs of sketches."""
-    large = marks.where("nth % 2 = 0").join(bucket.where(F.col("n") > SMALL).select("sketch"), "sketch").select("_rep", "nth")  # half of the sketches: a link shares five of these eight
-    own = large.join(reps.select("_rep", "sketches"), "_rep").join(roots, "_rep", "left").select("_rep", F.coalesce("root", "_rep").alias("root"), "nth", "sketches")
-    pairs = F.explode(F.sequence(F.lit(1), F.lit(REFINE)))
-    fine = own.select("_rep", "root", "nth", "sketches", pairs.alias("j")).select(
-        "_rep", "root", F.xxhash64("nth", "j", F.get("sketches", F.col("nth")), F.get("sketches", (F.col("nth") + F.col("j")) % SKETCHES)).alias("key")
-    )
-    by_root = fine.groupBy("key", "root").agg(F.count("*").alias("c"))
+    """Promising pairs of different components within large buckets, whichever sketch they share."""
+    large = marks.join(bucket.where(F.col("n") > SMALL).select("sketch"), "sketch").select("_rep", F.col("sketch").alias("key"))
+    own = large.join(roots, "_rep", "left").select("_rep", F.coalesce("root", "_rep").alias("root"), "key")
+    by_root = own.groupBy("key", "root").agg(F.count("*").alias("c"))
     mixed = by_root.groupBy("key").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.sum("c").alias("n"), F.max("c").alias("most")).where("n > most")
-    members = fine.join(mixed, "key").select("key", "_rep", "root", (F.col("root") != F.col("main")).alias("outside"), F.ceil(F.col("n") / SIDE).cast("int").alias("blocks"), F.ceil((F.col("n") - F.col("most")) / SIDE).cast("int").alias("outs"))
+    members = salted_join(own, mixed, "key", F.col("_rep"), "inner").select("key", "_rep", "root", (F.col("root") != F.col("main")).alias("outside"), F.ceil(F.col("n") / SIDE).cast("int").alias("blocks"), F.ceil((F.col("n") - F.col("most")) / SIDE).cast("int").alias("outs"))
     mine = F.pmod(F.xxhash64("_rep"), F.lit(1 << 40))
     every = members.select("key", (mine % F.col("blocks")).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.col("outs") - 1)).alias("out"), "_rep", "root", F.lit(False).alias("outside"))
     outside = members.where("outside").select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), (mine % F.col("outs")).cast("int").alias("out"), "_rep", "root", F.lit(True).alias("outside"))

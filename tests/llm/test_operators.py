@@ -219,6 +219,21 @@ def test_near_dedup(spark):
     assert near_dedup.keep_one(d).count() == len(set(got.values()))
 
 
+def test_large_bucket_whose_leader_is_unrelated(spark):
+    rng = np.random.default_rng(4)
+    bins = {size: rng.integers(1, 256, (10, size), dtype=np.uint8) for size in (near_dedup.BINS, near_dedup.FINE)}
+    for own in bins.values():
+        own[9] = own[8]  # only these two are alike; they share one odd sketch with all others and nothing else
+    sketches = [[100 + i * near_dedup.SKETCHES + k if k != 3 else 7 for k in range(near_dedup.SKETCHES)] for i in range(10)]
+    reps = spark.createDataFrame([(i, sketches[i], *[bytearray(own[i].tobytes()) for own in bins.values()]) for i in range(10)], "_rep long, sketches array<long>, bins binary, fine binary")
+    marks = reps.select("_rep", F.posexplode("sketches").alias("nth", "sketch"))
+    bucket = spark.createDataFrame([(7, 10, 0, 0)], "sketch long, n long, first long, second long")
+    led = {(r.a, r.b) for r in near_dedup.candidate_pairs(marks, bucket).collect()}
+    assert led == {(0, i) for i in range(1, 10)}
+    roots = spark.createDataFrame([(i, 0) for i in range(1, 6)], "_rep long, root long")
+    assert [tuple(r) for r in near_dedup.remaining_pairs(marks, bucket, reps, roots).collect()] == [(8, 9)]
+
+
 def test_alignment_similarity():
     rng = random.Random(5)
     for _ in range(200):
