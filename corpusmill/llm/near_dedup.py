@@ -19,9 +19,10 @@ task, whatever its size, and a group of copies costs a few rows a text; many dis
 cost the product of its size and of what is outside its main component.
 
 Defined results: null text counts as empty; texts without words, and texts of fewer than SHINGLE words
-(whose one shingle is the whole text), are linked to equal ones only; null ids come first; rows with one id
-get a row each (if their texts differ, a link of one counts for the other); an empty table gives no rows; other columns pass through
-`keep_one`, and are ignored by `classes`.
+(whose one shingle is the whole text), are linked to equal ones only; texts are told apart by a hash of their
+content, and ids only order them and name the classes; null ids come first; rows with one id get a row each,
+and if their texts differ each is linked for itself; an empty table gives no rows; other columns pass through
+`keep_first` and `keep_one`, and are ignored by `classes`.
 """
 
 from __future__ import annotations
@@ -114,7 +115,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[list] = [[None] * batch.num_rows for _ in range(3)]
         for d, row, own, fine in zip(has.tolist(), sketches.view(np.int64).tolist(), *bins):
             out[0][d], out[1][d], out[2][d] = row, own.tobytes(), fine.tobytes()
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(out[0], pa.list_(pa.int64())), pa.array(out[1], pa.binary()), pa.array(out[2], pa.binary())], names=["_id", "_key", "sketches", "bins", "fine"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(out[0], pa.list_(pa.int64())), pa.array(out[1], pa.binary()), pa.array(out[2], pa.binary())], names=["_id", "_name", "sketches", "bins", "fine"])
 
 
 def promising(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -207,14 +208,15 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
 
-def verified(pairs: DataFrame, plain: DataFrame) -> DataFrame:
-    """Those pairs (a, b) whose texts (_id, text) are similar: the partners b of each a, in groups of some `GROUP`, are sent to one place a group."""
+def verified(pairs: DataFrame, plain: DataFrame, reps: DataFrame) -> DataFrame:
+    """Those pairs (a, b) whose texts (_id, text, _name; one row of each by reps) are similar: the partners b of each a, in groups of some `GROUP`, are sent to one place a group."""
     sizes = pairs.groupBy("a").agg(F.ceil(F.count("*") / GROUP).alias("groups"))
     placed = cut(pairs.join(sizes, "a").select("a", "b", F.xxhash64("a", F.pmod(F.xxhash64("b"), F.col("groups"))).alias("g")))
     parts = placed.select(F.col("b").alias("_doc"), F.col("g").alias("member"), F.lit(None).cast("long").alias("leads"))
     led = placed.select("a", "g").distinct().select(F.col("a").alias("_doc"), F.lit(None).cast("long").alias("member"), F.col("g").alias("leads"))
     wanted = parts.union(led).groupBy("_doc").agg(F.collect_list("member").alias("member"), F.collect_list("leads").alias("leads"))
-    rows = plain.select("_id", "text").join(wanted, F.col("_id") == F.col("_doc")).select("_id", "text", "member", "leads")
+    named = wanted.join(reps.select(F.col("_rep").alias("_doc"), "least"), "_doc")
+    rows = plain.join(named, (F.col("_id") == F.col("_doc")) & (F.col("_name") == F.col("least"))).dropDuplicates(["_id", "_name"]).select("_id", "text", "member", "leads")
     dests = rolling.destinations(plain)
     return rows.mapInArrow(lambda b: _send_sequences(b, dests), rolling.PACKED).repartition("dest").mapInArrow(_verify, "a long, b long").distinct()
 
@@ -228,7 +230,7 @@ def components(links: DataFrame) -> DataFrame:
     state = None
     while True:
         # few edges need few tasks: each step would else write a file for every pair of partitions
-        now = edges.agg(F.count("*"), F.sum("v"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        now = edges.agg(F.count("*"), F.sum(F.col("v").cast("decimal(38,0)")), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state or not now[0]:
             return edges.groupBy(F.col("u").alias("_rep")).agg(F.min("v").alias("root"))
         state, tasks = now, -(-now[0] // EDGES_A_TASK)
@@ -288,39 +290,59 @@ def remaining_pairs(marks: DataFrame, bucket: DataFrame, reps: DataFrame, roots:
     return dealt.groupBy("key", "block", "out").agg(F.collect_list(F.struct("_rep", "root", "fine", "outside")).alias("members")).select("members").mapInArrow(_cross, "a long, b long").distinct()
 
 
-def classes(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text) -> doc_id, class_id (the least id of the class), text_id (the least id with an equal text)."""
+def _plain(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, text) -> (_id: a hash of the text, text, _name: its document's id)."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    plain = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(rolling.NO_ID)).alias("_id"), text.alias("text"), F.unhex(F.md5(text)).alias("_key"))
-    sketched = cut(plain.mapInArrow(_sketch, "_id long, _key binary, sketches array<long>, bins binary, fine binary"))
-    reps = cut(sketched.groupBy("_key").agg(F.min("_id").alias("_rep"), F.first("sketches").alias("sketches"), F.first("bins").alias("bins"), F.first("fine").alias("fine")))
-    known = reps.where("sketches IS NOT NULL").dropDuplicates(["_rep"])
+    return docs.select(F.xxhash64(text).alias("_id"), text.alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(rolling.NO_ID)).alias("_name"))
+
+
+def classed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """docs (doc_id, text) -> rows (_id, _name, ...) and texts (_rep, least: the least id with it, head: (least, _rep) of the first text of its class)."""
+    plain = _plain(docs)
+    sketched = cut(plain.mapInArrow(_sketch, "_id long, _name long, sketches array<long>, bins binary, fine binary"))
+    reps = cut(sketched.groupBy(F.col("_id").alias("_rep")).agg(F.min("_name").alias("least"), F.first("sketches").alias("sketches"), F.first("bins").alias("bins"), F.first("fine").alias("fine")))
+    known = reps.where("sketches IS NOT NULL")
     marks = known.select("_rep", F.posexplode("sketches").alias("nth", "sketch"))
     sizes = marks.groupBy("sketch").agg(F.count("*").alias("n")).where("n > 1")
     # the text whose sketches most others share leads: the original of a group of edited copies
     shared = marks.join(sizes, "sketch").groupBy("_rep").agg(F.sum("n").alias("shared"))
     ranked = marks.join(shared, "_rep").select("sketch", "_rep", F.struct("shared", F.bitwise_not("_rep").alias("order")).alias("by"))
     bucket = cut(ranked.groupBy("sketch").agg(F.count("*").alias("n"), F.max_by("_rep", "by").alias("first"), F.min("_rep").alias("second")).where("n > 1"))
-    links = cut(verified(cut(filtered(candidate_pairs(marks, bucket), known)), plain))
+    links = cut(verified(cut(filtered(candidate_pairs(marks, bucket), known)), plain, known))
     roots = components(links)
     rest = cut(remaining_pairs(marks, bucket, known, roots))
     if not rest.isEmpty():
-        links = links.union(verified(rest, plain))
+        links = links.union(verified(rest, plain, known))
         roots = components(links)
-    rooted = reps.join(roots, "_rep", "left").select("_key", "_rep", F.coalesce("root", "_rep").alias("root"))
-    out = sketched.select("_id", "_key").join(rooted, "_key")
+    # only texts of classes of several meet their class's name, dealt out, as a class may be large
+    linked = cut(roots.union(roots.select("root", "root").distinct()).join(reps.select("_rep", F.struct("least", "_rep").alias("own")), "_rep"))
+    heads = salted_join(linked, linked.groupBy("root").agg(F.min("own").alias("head")), "root", F.col("_rep"), "inner").select("_rep", "head")
+    return sketched, reps.join(heads, "_rep", "left").select("_rep", "least", F.coalesce("head", F.struct("least", "_rep")).alias("head"))
+
+
+def classes(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, text) -> doc_id, class_id (the least id of the class), text_id (the least id with an equal text)."""
+    rows, texts = classed(docs)
+    out = rows.select("_id", "_name").join(texts, F.col("_id") == F.col("_rep"))
 
     def shown(c: str):
         return F.nullif(F.col(c), F.lit(rolling.NO_ID))
 
-    return out.select(shown("_id").alias("doc_id"), shown("root").alias("class_id"), shown("_rep").alias("text_id"))
+    return out.select(shown("_name").alias("doc_id"), shown("head.least").alias("class_id"), shown("least").alias("text_id"))
+
+
+def keep_first(docs: DataFrame) -> DataFrame:
+    """docs with one document of each class: a row of its least id, also where classes share that id or have none."""
+    first = classed(docs)[1].where("head._rep = _rep").select(F.col("_rep").alias("_id"), F.col("least").alias("_name"))
+    text = F.coalesce(F.col("text"), F.lit(""))
+    rows = docs.select(F.struct("*").alias("_row"), F.xxhash64(text).alias("_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(rolling.NO_ID)).alias("_name"))
+    return rows.join(first, ["_id", "_name"], "left_semi").dropDuplicates(["_id", "_name"]).select("_row.*")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs with one document of each class: the one with the least id (of rows with that id, one)."""
-    first = classes(docs).where("doc_id <=> class_id").select(F.coalesce("doc_id", F.lit(rolling.NO_ID)).alias("_kept")).distinct()
-    rows = docs.select(F.struct("*").alias("_row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(rolling.NO_ID)).alias("_kept"))
-    return rows.join(first, "_kept", "left_semi").dropDuplicates(["_kept"]).select("_row.*")
+    """keep_first with one row of each id: for tables whose ids are a key."""
+    rows = keep_first(docs).select(F.struct("*").alias("_row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(rolling.NO_ID)).alias("_kept"))
+    return rows.dropDuplicates(["_kept"]).select("_row.*")
 
 
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

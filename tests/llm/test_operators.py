@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+import corpus_pipeline
 from corpusmill.llm import licenses, line_dedup, mixing, near_dedup, packing, quality, search, substring_dedup, suffix_dedup, toxicity
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -234,6 +235,17 @@ def test_large_bucket_whose_leader_is_unrelated(spark):
     assert [tuple(r) for r in near_dedup.remaining_pairs(marks, bucket, reps, roots).collect()] == [(8, 9)]
 
 
+def test_near_dedup_tells_texts_of_one_id_apart(spark):
+    alone = [" ".join(f"t{i}w{k}" for k in range(60)) for i in range(5)]
+    near = alone[4].replace("t4w30", "changed")
+    given = [(None, alone[0]), (None, alone[1]), (None, alone[1]), (7, alone[2]), (7, alone[3]), (8, alone[4]), (7, near), (9, alone[3])]
+    d = spark.createDataFrame(given, "doc_id long, text string").repartition(3)
+    kept = collections.Counter((r.doc_id, r.text) for r in corpus_pipeline.drop_near_copies(spark, d, "").collect())
+    assert kept == collections.Counter([(None, alone[0]), (None, alone[1]), (7, alone[2]), (7, alone[3]), (7, near)])
+    got = collections.Counter((r.doc_id, r.class_id, r.text_id) for r in near_dedup.classes(d).collect())
+    assert got == collections.Counter({(None, None, None): 3, (7, 7, 7): 3, (8, 7, 8): 1, (9, 7, 7): 1})
+
+
 def test_alignment_similarity():
     rng = random.Random(5)
     for _ in range(200):
