@@ -2,37 +2,40 @@
 
 A document's k-mers are its shingles of `SHINGLE` words, each labelled with how often it stood before in the
 text. Each of `SKETCHES` hash functions picks the `PICKED` least labelled k-mers, and keeps them in text
-order: documents that share k-mers in another order get another sketch. Documents with an equal sketch are
-candidates. A candidate pair is aligned over its shingle sequences within the band of diagonals that the
-threshold allows; with L aligned shingles of n and m its similarity is L / (n + m - L), the Jaccard
-similarity of shingles that stand in the same order. Pairs of `THRESHOLD` or more are links, and the
-connected components are the classes.
-
-Texts that are equal are one text from the start. Sketch buckets of up to `SMALL` texts give all their
-pairs; larger ones each text's pair with two leading texts, one of them that whose sketches
-most other texts share. Before texts are fetched, pairs are compared by a
-`BINS`-byte one-permutation minhash, which lets pass all but about one in 10^5 of those at the threshold.
-What large buckets still hold in different components is then compared in blocks: every text outside a
-bucket's main component meets all others of the bucket, in groups of at most some hundred a side. All
-sketches count, so a large bucket loses no pair that a small one would give. No bucket is gathered in one
-task, whatever its size, and a group of copies costs a few rows a text; many dissimilar texts in one bucket
-cost the product of its size and of what is outside its main component.
+order: documents that share k-mers in another order get another sketch. Texts with an equal sketch are
+candidates. A candidate pair's words are aligned within the band of diagonals that the threshold allows; with
+L aligned words of n and m its similarity is L / (n + m - L), the Jaccard similarity of words that stand in
+the same order. Pairs of `THRESHOLD` or more are links, and the connected components are the classes.
+
+Texts that are equal are one text from the start. The rest goes in rounds, so that a group of n copies costs
+about n pairs and not n * n:
+
+1. Each text meets one text: of the leaders of its sketch buckets the one whose sketches most others share
+   (the original of a group of edited copies). What links makes components.
+2. `ROUNDS` times, components that meet in a bucket are compared by their leading members there.
+3. In buckets that still hold several components, every text outside the largest meets all texts of other
+   components, in blocks of at most some `SIDE` texts a side. The others are aligned.
+
+Before texts are fetched, pairs are compared by a minhash of `BINS` bytes over their words, each labelled with
+how often it stood before. Aligned words are common words, so the similarity of the labelled words is at
+least that of the alignment; about one in 10^5 pairs at the threshold is lost.
+
+No candidate is left out for the size of its bucket. A bucket is never gathered in one task; many dissimilar
+texts in one bucket cost the product of its size and of what is outside its largest component.
 
 Defined results: null text counts as empty; texts without words, and texts of fewer than SHINGLE words
 (whose one shingle is the whole text), are linked to equal ones only; texts are told apart by a hash of their
 content, and ids only order them and name the classes; null ids come first; rows with one id get a row each,
-and if their texts differ each is linked for itself; an empty table gives no rows; other columns pass through
-`keep_first` and `keep_one`, and are ignored by `classes`.
+and if their texts differ each is linked for itself; very long texts are read whole; an empty table gives no
+rows; other columns, whatever their names, pass through `keep_first`, and are ignored by `classes`.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,11 +45,12 @@ from corpusmill.llm.substring_dedup import Words
 
 SHINGLE, THRESHOLD = 5, 0.8
 SKETCHES, PICKED = 16, 2
-SMALL = 6
-#: Bytes of the two minhashes: the first filters pairs, the finer one what large buckets hold.
-BINS, FINE = 128, 512
+#: Rounds of leading pairs before buckets are compared whole.
+ROUNDS = 2
+#: Bytes of the minhash that filters pairs.
+BINS = 512
 #: Standard errors that an estimate may lie under the threshold; texts a side in a block.
-SLACK, SIDE = 4.5, 800
+SLACK, SIDE = 4.5, 500
 #: Edges that one task of a component step holds.
 EDGES_A_TASK = 300_000
 #: Texts that are sent to one place with the text they are compared with.
@@ -54,9 +58,9 @@ GROUP = 1000
 BATCH = 4_000_000
 
 
-def shingles(w: Words) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes of all shingles in order, bounds by document); a shorter document is one shingle, an empty one none."""
-    words, counts = w.hashes(), np.diff(w.bounds)
+def shingles(w: Words, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """words: the hashes of w -> (hashes of all shingles in order, bounds by document); a shorter document is one shingle, an empty one none."""
+    counts = np.diff(w.bounds)
     h = rolling.grams(words, SHINGLE)
     ok = rolling.fits(w.bounds, SHINGLE)
     for d in np.flatnonzero((counts > 0) & (counts < SHINGLE)).tolist():
@@ -76,19 +80,24 @@ def labelled(h: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return rolling.mix(h + before * rolling.M2)
 
 
-def order_minhash(h: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """(documents with shingles, their sketches, their bins and fine bins): a row each."""
+def word_bins(words: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """One-permutation minhash of the labelled words: a row of BINS bytes a document, 0 for empty bins."""
+    n = len(bounds) - 1
+    doc = np.repeat(np.arange(n), np.diff(bounds))
+    label = labelled(words, doc) if len(words) else words
+    least = np.full(n * BINS, rolling.TOP)
+    np.minimum.at(least, doc * BINS + (label >> np.uint64(65 - BINS.bit_length())).astype(np.int64), label)
+    return np.where(least == rolling.TOP, 0, least % np.uint64(255) + np.uint64(1)).astype(np.uint8).reshape(-1, BINS)
+
+
+def order_minhash(h: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(documents with shingles, their sketches): a row each."""
     has = np.flatnonzero(np.diff(bounds) > 0)
     if not len(has):
-        return has, np.zeros((0, SKETCHES), np.uint64), [np.zeros((0, size), np.uint8) for size in (BINS, FINE)]
+        return has, np.zeros((0, SKETCHES), np.uint64)
     begin = bounds[has]
     doc = np.repeat(np.arange(len(has)), np.diff(bounds)[has])
     label = labelled(h, doc)
-    bins = []
-    for size in (BINS, FINE):
-        least = np.full(len(has) * size, rolling.TOP)
-        np.minimum.at(least, doc * size + (label >> np.uint64(65 - size.bit_length())).astype(np.int64), label)
-        bins.append(np.where(least == rolling.TOP, 0, least % np.uint64(255) + np.uint64(1)).astype(np.uint8).reshape(-1, size))
     out = np.empty((len(has), SKETCHES), np.uint64)
     factors = rolling.mix(np.arange(1, SKETCHES + 1, dtype=np.uint64)) | np.uint64(1)
     for k in range(SKETCHES):
@@ -106,54 +115,64 @@ def order_minhash(h: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nda
             at = place[nth == n]
             sketch[doc[at]] = rolling.mix(sketch[doc[at]] * rolling.M2 + label[at])
         out[:, k] = sketch
-    return has, out, bins
+    return has, out
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in rolling.chunks(batches, BATCH):
-        has, sketches, bins = order_minhash(*shingles(Words(batch)))
-        out: list[list] = [[None] * batch.num_rows for _ in range(3)]
-        for d, row, own, fine in zip(has.tolist(), sketches.view(np.int64).tolist(), *bins):
-            out[0][d], out[1][d], out[2][d] = row, own.tobytes(), fine.tobytes()
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(out[0], pa.list_(pa.int64())), pa.array(out[1], pa.binary()), pa.array(out[2], pa.binary())], names=["_id", "_name", "sketches", "bins", "fine"])
+        w = Words(batch)
+        words = w.hashes()
+        has, sketches = order_minhash(*shingles(w, words))
+        bins = word_bins(words, w.bounds)
+        out: list[list] = [[None] * batch.num_rows for _ in range(2)]
+        for d, row in zip(has.tolist(), sketches.view(np.int64).tolist()):
+            out[0][d], out[1][d] = row, bins[d].tobytes()
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(out[0], pa.list_(pa.int64())), pa.array(out[1], pa.binary())], names=["_id", "_name", "sketches", "bins"])
 
 
 def promising(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Whether rows of bins may belong to texts of the threshold's similarity.
 
-    The share of equal bins estimates it; bins that hold most of the shingles leave little to chance.
+    The share of equal bins estimates it; bins that hold most of the words leave little to chance.
     """
     size = a.shape[-1]
     used = np.minimum(np.maximum(((a > 0) | (b > 0)).sum(axis=-1), 1), size - 0.5)
-    shingle_count = -size * np.log1p(-used / size)
-    error = np.sqrt(THRESHOLD * (1 - THRESHOLD) / used * np.maximum(1 - used / shingle_count, 0))
+    word_count = -size * np.log1p(-used / size)
+    error = np.sqrt(THRESHOLD * (1 - THRESHOLD) / used * np.maximum(1 - used / word_count, 0))
     return ((a == b) & (a > 0)).sum(axis=-1) / used >= THRESHOLD - SLACK * error - 0.02
 
 
 def similar(a: list[int], b: list[int], threshold: float = THRESHOLD) -> bool:
-    """Whether two shingle sequences align to the threshold: furthest-reaching paths on the diagonals that it allows."""
+    """Whether two word sequences align to the threshold.
+
+    Bit i of `open_` is unset where an alignment of the words of b so far gains a word at a[i]; the bits held are
+    those of the diagonals on which a path can still keep to the insertions and deletions allowed.
+    """
     n, m = len(a), len(b)
-    need = threshold * (n + m) / (1 + threshold)  # least aligned shingles
-    most = int(n + m - 2 * need + 1e-9)  # most insertions and deletions
-    if abs(n - m) > most or (a != b and sum((Counter(a) & Counter(b)).values()) + 1e-9 < need):
+    need = threshold * (n + m) / (1 + threshold) - 1e-9  # least aligned words
+    most = int(n + m - 2 * need)  # most insertions and deletions
+    if abs(n - m) > most:
         return False
-    reach = {1: 0}
-    for edits in range(most + 1):
-        for k in range(-edits, edits + 1, 2):
-            if k < n - m - (most - edits) or k > n - m + (most - edits):
-                continue  # too far from the end's diagonal for the edits left
-            down, right = reach.get(k + 1, -1), reach.get(k - 1, -2) + 1
-            x = max(down, right) if edits else 0
-            y = x - k
-            if x < 0 or y < 0 or x > n or y > m:
-                continue
-            while x < n and y < m and a[x] == b[y]:
-                x += 1
-                y += 1
-            if x == n and y == m:
-                return True
-            reach[k] = x
-    return False
+    low, high = -((most - n + m) // 2), (most + n - m) // 2  # of i - j
+    places: dict[int, int] = {}
+    for i, x in enumerate(a):
+        places[x] = places.get(x, 0) | 1 << i
+    width = high - low + 1
+    mask, top = (1 << width) - 1, 1 << (width - 1)
+    open_, aligned, missed = mask, 0, m - need
+    for j, y in enumerate(b):
+        first = j + low
+        if j:
+            aligned += not open_ & 1
+            open_ = open_ >> 1 | top
+        at = places.get(y)
+        if at is None:
+            missed -= 1
+            if missed < 0:
+                return False
+        elif gain := open_ & (at >> first if first > 0 else at << -first):
+            open_ = (open_ + gain | open_ - gain) & mask
+    return aligned + width - open_.bit_count() >= need
 
 
 def _promising_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,62 +182,38 @@ def _promising_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(promising(x, y)))
 
 
-HEAD = np.dtype([("group", "<i8"), ("id", "<i8"), ("size", "<i8"), ("leads", "<i8")])
-
-
-def _send_sequences(batches: Iterator[pa.RecordBatch], dests: int) -> Iterator[pa.RecordBatch]:
-    """rows (_id, text, groups it is in, groups it leads) -> packed by group: how many, a HEAD each, and their shingles."""
+def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """rows (_id, text, g, leads) by g, the leading text of each first -> (a, b) of links with it."""
+    group, leader, lead = None, None, []
     for batch in rolling.chunks(batches, BATCH):
-        (row, group), (row2, led) = rolling.numbers(batch.column(2)), rolling.numbers(batch.column(3))
-        leads = np.repeat([0, 1], [len(row), len(row2)])
-        row, group = np.concatenate([row, row2]), np.concatenate([group, led])
-        if not len(row):
-            continue
         w = Words(batch)
-        h, bounds = shingles(w)
-        heads = np.empty(len(row), HEAD)
-        heads["group"], heads["id"], heads["size"], heads["leads"] = group, w.ids[row], np.diff(bounds)[row], leads
-        dest = rolling._dest(rolling.mix(group.astype(np.uint64)), dests)
-        squeeze = zstandard.ZstdCompressor(level=1).compress
-        to, blobs = np.unique(dest), []
-        for t in to.tolist():
-            mine = np.flatnonzero(dest == t)
-            blobs.append(squeeze(b"".join([np.int64(len(mine)).tobytes(), heads[mine].tobytes(), *[h[bounds[r] : bounds[r + 1]].tobytes() for r in row[mine].tolist()]])))
-        yield pa.RecordBatch.from_arrays([pa.array(to.astype(np.int32)), pa.array(np.zeros(len(to), np.int32)), pa.array(blobs, pa.binary())], names=["dest", "kind", "blob"])
-
-
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Packed sequences -> (a, b) of links: each text of a group against the one that leads it."""
-    leaders: dict[int, tuple[int, np.ndarray]] = {}
-    texts: list[tuple[int, int, np.ndarray]] = []
-    expand = zstandard.ZstdDecompressor().decompress
-    for batch in batches:
-        for blob in batch.column(2).to_pylist():
-            data = expand(blob)
-            n = int(np.frombuffer(data, np.int64, 1)[0])
-            heads = np.frombuffer(data, HEAD, n, 8)
-            body = np.frombuffer(data, np.uint64, -1, 8 + n * HEAD.itemsize)
-            ends = np.cumsum(heads["size"])
-            for group, own, leads, x, y in zip(*(heads[c].tolist() for c in ("group", "id", "leads")), (ends - heads["size"]).tolist(), ends.tolist()):
-                if leads:
-                    leaders[group] = own, body[x:y]
-                else:
-                    texts.append((group, own, body[x:y]))
-    found = [(leaders[g][0], own) for g, own, sequence in texts if g in leaders and similar(sequence.tolist(), leaders[g][1].tolist())]
-    yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+        h, found = w.hashes(), []
+        for row, (own, g, leads) in enumerate(zip(w.ids.tolist(), batch.column(2).to_pylist(), batch.column(3).to_pylist())):
+            words = h[w.bounds[row] : w.bounds[row + 1]].tolist()
+            if leads:
+                group, leader, lead = g, own, words
+            elif g == group and similar(words, lead):
+                found.append((leader, own))
+        yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+
+def texts_of(plain: DataFrame, named: DataFrame) -> DataFrame:
+    """The texts (_id, text) of named (_doc, least), a row each."""
+    return plain.join(named.select("_doc", "least").distinct(), (F.col("_id") == F.col("_doc")) & (F.col("_name") == F.col("least")), "left_semi").dropDuplicates(["_id", "_name"])
 
 
 def verified(pairs: DataFrame, plain: DataFrame, reps: DataFrame) -> DataFrame:
-    """Those pairs (a, b) whose texts (_id, text, _name; one row of each by reps) are similar: the partners b of each a, in groups of some `GROUP`, are sent to one place a group."""
+    """Those pairs (a, b) whose texts are similar: the partners b of each a, in groups of some `GROUP`, are sent to one place a group.
+
+    plain has the texts (_id, text, _name); one row of each is taken, that whose name reps holds.
+    """
     sizes = pairs.groupBy("a").agg(F.ceil(F.count("*") / GROUP).alias("groups"))
     placed = cut(pairs.join(sizes, "a").select("a", "b", F.xxhash64("a", F.pmod(F.xxhash64("b"), F.col("groups"))).alias("g")))
-    parts = placed.select(F.col("b").alias("_doc"), F.col("g").alias("member"), F.lit(None).cast("long").alias("leads"))
-    led = placed.select("a", "g").distinct().select(F.col("a").alias("_doc"), F.lit(None).cast("long").alias("member"), F.col("g").alias("leads"))
-    wanted = parts.union(led).groupBy("_doc").agg(F.collect_list("member").alias("member"), F.collect_list("leads").alias("leads"))
-    named = wanted.join(reps.select(F.col("_rep").alias("_doc"), "least"), "_doc")
-    rows = plain.join(named, (F.col("_id") == F.col("_doc")) & (F.col("_name") == F.col("least"))).dropDuplicates(["_id", "_name"]).select("_id", "text", "member", "leads")
-    dests = rolling.destinations(plain)
-    return rows.mapInArrow(lambda b: _send_sequences(b, dests), rolling.PACKED).repartition("dest").mapInArrow(_verify, "a long, b long").distinct()
+    parts = placed.select(F.col("b").alias("_doc"), "g", F.lit(False).alias("leads"))
+    led = placed.select("a", "g").distinct().select(F.col("a").alias("_doc"), "g", F.lit(True).alias("leads"))
+    named = parts.union(led).join(reps.select(F.col("_rep").alias("_doc"), "least"), "_doc")
+    rows = texts_of(plain, named).join(named, F.col("_id") == F.col("_doc")).select("_id", "text", "g", "leads")
+    return rows.repartition("g").sortWithinPartitions("g", F.desc("leads")).mapInArrow(_align, "a long, b long").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -243,13 +238,22 @@ def components(links: DataFrame) -> DataFrame:
         edges = cut(small.coalesce(tasks).distinct().coalesce(tasks))
 
 
-def candidate_pairs(marks: DataFrame, bucket: DataFrame) -> DataFrame:
-    """(sketch, _rep) -> distinct (a, b), a < b: all pairs of small buckets, two leaders' pairs of large ones."""
-    placed = marks.join(bucket, "sketch")
-    led = placed.where(F.col("n") > SMALL).select("_rep", F.explode(F.array("first", "second")).alias("other"))
-    few = placed.where(F.col("n") <= SMALL).groupBy("sketch").agg(F.array_sort(F.collect_list("_rep")).alias("all"))
-    pairs = few.select(F.explode("all").alias("_rep"), "all").select("_rep", F.explode(F.filter("all", lambda x: x > F.col("_rep"))).alias("other"))
-    return led.union(pairs).where("_rep <> other").select(F.least("_rep", "other").alias("a"), F.greatest("_rep", "other").alias("b")).distinct()
+def leading_pairs(crowded: DataFrame) -> DataFrame:
+    """(_rep, sketch, rank) -> (a, b): each text b with the best leader a of its buckets."""
+    leaders = crowded.groupBy("sketch").agg(F.max(F.struct("rank", F.col("_rep").alias("a"))).alias("lead"))
+    best = crowded.join(leaders, "sketch").groupBy("_rep").agg(F.max("lead").alias("lead"))
+    return best.select(F.col("lead.a").alias("a"), F.col("_rep").alias("b")).where("a <> b")
+
+
+def with_roots(crowded: DataFrame, roots: DataFrame) -> DataFrame:
+    return crowded.join(roots, "_rep", "left").select("sketch", "_rep", "rank", F.coalesce("root", "_rep").alias("root"))
+
+
+def component_pairs(own: DataFrame) -> DataFrame:
+    """(sketch, _rep, rank, root) -> distinct (a, b): in each bucket the leading member of every component with that of the largest."""
+    by_root = own.groupBy("sketch", "root").agg(F.count("*").alias("c"), F.max(F.struct("rank", "_rep")).alias("head"))
+    main = by_root.groupBy("sketch").agg(F.max(F.struct("c", "root", "head")).alias("main"), F.count("*").alias("roots")).where("roots > 1")
+    return by_root.join(main, "sketch").where("root <> main.root").select(F.col("main.head._rep").alias("a"), F.col("head._rep").alias("b")).distinct()
 
 
 def filtered(pairs: DataFrame, reps: DataFrame) -> DataFrame:
@@ -259,35 +263,90 @@ def filtered(pairs: DataFrame, reps: DataFrame) -> DataFrame:
     return both.mapInArrow(_promising_pairs, "a long, b long").distinct()
 
 
+def _block_pairs(members: list) -> tuple[np.ndarray, np.ndarray, Iterator[tuple[int, np.ndarray]]]:
+    """Members (_rep, root, bins, sketches, outside, ...) of one block of bucket `key` -> ids, roots, (outside member, its promising partners of other components).
+
+    A pair that shares several sketches belongs to the bucket of the first.
+    """
+    ids, roots = (np.array([m[c] for m in members], np.int64) for c in ("_rep", "root"))
+    key = members[0]["key"]
+    bins = np.frombuffer(b"".join(m["bins"] for m in members), np.uint8).reshape(-1, BINS)
+    sketches = np.array([m["sketches"] for m in members], np.int64)
+    outside = np.array([m["outside"] for m in members], bool)
+    rest = np.flatnonzero(~outside)
+
+    def partners() -> Iterator[tuple[int, np.ndarray]]:
+        for i in np.flatnonzero(outside).tolist():
+            other = rest[roots[rest] != roots[i]]
+            other = other[promising(bins[other], bins[i])]
+            if len(other):
+                shared = sketches[other] == sketches[i]
+                yield i, other[sketches[i][shared.argmax(axis=1)] == key]
+
+    return ids, roots, partners()
+
+
+def _wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """rows (members) -> the members (their struct) that have a promising partner in their block."""
+    for batch in batches:
+        keep = []
+        for at, members in enumerate(batch.column(0).to_pylist()):
+            found = np.zeros(len(members), bool)
+            for i, other in _block_pairs(members)[2]:
+                found[i] |= len(other) > 0
+                found[other] = True
+            keep.append(found)
+        flat = batch.column(0).flatten()
+        yield pa.RecordBatch.from_arrays([flat.filter(pa.array(np.concatenate(keep) if keep else np.zeros(0, bool)))], names=["member"])
+
+
 def _cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """rows (members: list of (_rep, root, fine, outside)) -> promising (a, b) of different roots, one of them outside."""
+    """rows (members with their texts) -> links (a, b) between components: enough of them to join all that are linked within the block."""
     for batch in batches:
         found: list[tuple[int, int]] = []
         for members in batch.column(0).to_pylist():
-            ids, roots = (np.array([m[c] for m in members], np.int64) for c in ("_rep", "root"))
-            bins = np.frombuffer(b"".join(m["fine"] for m in members), np.uint8).reshape(-1, FINE)
-            outside = np.array([m["outside"] for m in members], bool)
-            rest = np.flatnonzero(~outside)
-            for i in np.flatnonzero(outside).tolist():
-                other = rest[roots[rest] != roots[i]]
-                other = other[promising(bins[other], bins[i])]
-                found += [(min(int(ids[i]), x), max(int(ids[i]), x)) for x in ids[other].tolist()]
-        found = list(set(found))
+            ids, roots, partners = _block_pairs(members)
+            joined = {r: r for r in roots.tolist()}
+
+            def root(x: int, joined=joined) -> int:
+                while joined[x] != x:
+                    joined[x] = x = joined[joined[x]]
+                return x
+
+            w = Words(pa.RecordBatch.from_arrays([pa.array(ids), pa.array([m["text"] for m in members])], names=["_id", "text"]))
+            h = w.hashes()
+            words = [h[x:y].tolist() for x, y in zip(w.bounds.tolist(), w.bounds[1:].tolist())]
+            for i, other in partners:
+                for k in other.tolist():
+                    x, y = root(int(roots[i])), root(int(roots[k]))
+                    if x != y and similar(words[i], words[k]):
+                        joined[max(x, y)] = min(x, y)
+                        found.append((min(int(ids[i]), int(ids[k])), max(int(ids[i]), int(ids[k]))))
         yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
 
-def remaining_pairs(marks: DataFrame, bucket: DataFrame, reps: DataFrame, roots: DataFrame) -> DataFrame:
-    """Promising pairs of different components within large buckets, whichever sketch they share."""
-    large = marks.join(bucket.where(F.col("n") > SMALL).select("sketch"), "sketch").select("_rep", F.col("sketch").alias("key"))
-    own = large.join(roots, "_rep", "left").select("_rep", F.coalesce("root", "_rep").alias("root"), "key")
+MEMBER = "struct<key: long, block: int, out: int, _rep: long, root: long, bins: binary, sketches: array<long>, outside: boolean>"
+
+
+def remaining_links(own: DataFrame, plain: DataFrame, reps: DataFrame) -> DataFrame:
+    """(sketch, _rep, root) -> links (a, b) between components that meet in a bucket, whatever the bucket's size.
+
+    Blocks first find by their members' bins which texts they need, then align those.
+    """
+    own = own.select("_rep", "root", F.col("sketch").alias("key"))
     by_root = own.groupBy("key", "root").agg(F.count("*").alias("c"))
     mixed = by_root.groupBy("key").agg(F.max_by("root", F.struct("c", "root")).alias("main"), F.sum("c").alias("n"), F.max("c").alias("most")).where("n > most")
     members = salted_join(own, mixed, "key", F.col("_rep"), "inner").select("key", "_rep", "root", (F.col("root") != F.col("main")).alias("outside"), F.ceil(F.col("n") / SIDE).cast("int").alias("blocks"), F.ceil((F.col("n") - F.col("most")) / SIDE).cast("int").alias("outs"))
     mine = F.pmod(F.xxhash64("_rep"), F.lit(1 << 40))
     every = members.select("key", (mine % F.col("blocks")).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.col("outs") - 1)).alias("out"), "_rep", "root", F.lit(False).alias("outside"))
     outside = members.where("outside").select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), (mine % F.col("outs")).cast("int").alias("out"), "_rep", "root", F.lit(True).alias("outside"))
-    dealt = every.union(outside).join(reps.select("_rep", "fine"), "_rep")
-    return dealt.groupBy("key", "block", "out").agg(F.collect_list(F.struct("_rep", "root", "fine", "outside")).alias("members")).select("members").mapInArrow(_cross, "a long, b long").distinct()
+    dealt = every.union(outside).join(reps.select("_rep", "bins", "sketches"), "_rep").select(F.struct("key", "block", "out", "_rep", "root", "bins", "sketches", "outside").alias("m"))
+    place = ["m.key", "m.block", "m.out"]
+    wanted = cut(dealt.groupBy(*place).agg(F.collect_list("m").alias("members")).select("members").mapInArrow(_wanted, f"member {MEMBER}").select("member.*"))
+    named = wanted.join(reps.select("_rep", "least"), "_rep")
+    texts = texts_of(plain, named.select(F.col("_rep").alias("_doc"), "least"))
+    full = named.join(texts.select(F.col("_id").alias("_rep"), "text"), "_rep").select(F.struct("key", "block", "out", "_rep", "root", "bins", "sketches", "outside", "text").alias("m"))
+    return full.groupBy(*place).agg(F.collect_list("m").alias("members")).select("members").mapInArrow(_cross, "a long, b long").distinct()
 
 
 def _plain(docs: DataFrame) -> DataFrame:
@@ -299,21 +358,30 @@ def _plain(docs: DataFrame) -> DataFrame:
 def classed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """docs (doc_id, text) -> rows (_id, _name, ...) and texts (_rep, least: the least id with it, head: (least, _rep) of the first text of its class)."""
     plain = _plain(docs)
-    sketched = cut(plain.mapInArrow(_sketch, "_id long, _name long, sketches array<long>, bins binary, fine binary"))
-    reps = cut(sketched.groupBy(F.col("_id").alias("_rep")).agg(F.min("_name").alias("least"), F.first("sketches").alias("sketches"), F.first("bins").alias("bins"), F.first("fine").alias("fine")))
+    sketched = cut(plain.mapInArrow(_sketch, "_id long, _name long, sketches array<long>, bins binary"))
+    reps = cut(sketched.groupBy(F.col("_id").alias("_rep")).agg(F.min("_name").alias("least"), F.first("sketches").alias("sketches"), F.first("bins").alias("bins")))
     known = reps.where("sketches IS NOT NULL")
-    marks = known.select("_rep", F.posexplode("sketches").alias("nth", "sketch"))
+    marks = known.select("_rep", F.explode("sketches").alias("sketch"))
     sizes = marks.groupBy("sketch").agg(F.count("*").alias("n")).where("n > 1")
-    # the text whose sketches most others share leads: the original of a group of edited copies
-    shared = marks.join(sizes, "sketch").groupBy("_rep").agg(F.sum("n").alias("shared"))
-    ranked = marks.join(shared, "_rep").select("sketch", "_rep", F.struct("shared", F.bitwise_not("_rep").alias("order")).alias("by"))
-    bucket = cut(ranked.groupBy("sketch").agg(F.count("*").alias("n"), F.max_by("_rep", "by").alias("first"), F.min("_rep").alias("second")).where("n > 1"))
-    links = cut(verified(cut(filtered(candidate_pairs(marks, bucket), known)), plain, known))
+    placed = cut(marks.join(sizes, "sketch"))  # of the marks only those that several texts have
+    # the text whose sketches most others share ranks first: the original of a group of edited copies
+    shared = placed.groupBy("_rep").agg(F.struct(F.sum("n").alias("shared"), F.bitwise_not("_rep").alias("order")).alias("rank"))
+    crowded = cut(placed.select("_rep", "sketch").join(shared, "_rep"))
+    tried = cut(leading_pairs(crowded))
+    links = cut(verified(cut(filtered(tried, known)), plain, known))
     roots = components(links)
-    rest = cut(remaining_pairs(marks, bucket, known, roots))
-    if not rest.isEmpty():
-        links = links.union(verified(rest, plain, known))
+    for _ in range(ROUNDS):
+        again = cut(component_pairs(with_roots(crowded, roots)).join(tried, ["a", "b"], "left_anti"))
+        if again.isEmpty():
+            break
+        tried, found = tried.union(again), cut(verified(cut(filtered(again, known)), plain, known))
+        if found.isEmpty():
+            break
+        links = links.union(found)
         roots = components(links)
+    rest = cut(remaining_links(with_roots(crowded, roots), plain, known))
+    if not rest.isEmpty():
+        roots = components(links.union(rest))
     # only texts of classes of several meet their class's name, dealt out, as a class may be large
     linked = cut(roots.union(roots.select("root", "root").distinct()).join(reps.select("_rep", F.struct("least", "_rep").alias("own")), "_rep"))
     heads = salted_join(linked, linked.groupBy("root").agg(F.min("own").alias("head")), "root", F.col("_rep"), "inner").select("_rep", "head")
@@ -339,11 +407,5 @@ def keep_first(docs: DataFrame) -> DataFrame:
     return rows.join(first, ["_id", "_name"], "left_semi").dropDuplicates(["_id", "_name"]).select("_row.*")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """keep_first with one row of each id: for tables whose ids are a key."""
-    rows = keep_first(docs).select(F.struct("*").alias("_row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(rolling.NO_ID)).alias("_kept"))
-    return rows.dropDuplicates(["_kept"]).select("_row.*")
-
-
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes(documents(spark, sf_dir))
