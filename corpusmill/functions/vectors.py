@@ -12,10 +12,21 @@ def hash_embedding(text: Column, dimensions: int = DIMENSIONS) -> Column:
     """Signed token counts by hash bucket, not normalised: an embedder that needs no model."""
     found = F.regexp_extract_all(F.lower(text), F.lit(r"([a-z0-9']+)"))
     h = F.transform(found, lambda t: F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("bigint"))
-    codes = F.transform(h, lambda x: (F.when(F.pmod(F.floor(x / dimensions), F.lit(2)) == 0, 1).otherwise(-1) * (F.pmod(x, F.lit(dimensions)) + 1)).cast("int"))
+    if not 0 < dimensions <= 90:
+        raise ValueError("a bucket and its sign are one of 180 characters")
+
+    def letter(bucket, sign: int):
+        return bucket + (33 if sign > 0 else 161)
+
+    # one character a token: its bucket and sign; a bucket's count is what its removal shortens the text by
+    codes = F.array_join(F.transform(h, lambda x: F.chr(F.when(F.pmod(F.floor(x / dimensions), F.lit(2)) == 0, letter(F.pmod(x, F.lit(dimensions)), 1)).otherwise(letter(F.pmod(x, F.lit(dimensions)), -1)))), "")
+
+    def times(c: Column, code: int) -> Column:
+        return F.length(c) - F.length(F.replace(c, F.lit(chr(code)), F.lit("")))
+
     # bind the codes once: a lambda's argument is computed a single time
-    counts = F.transform(F.array(codes), lambda c: F.transform(F.sequence(F.lit(1), F.lit(dimensions)), lambda b: (F.size(F.filter(c, lambda x: x == b)) - F.size(F.filter(c, lambda x: x == -b))).cast("double")))
-    return F.get(counts, F.lit(0))
+    counts = F.transform(F.array(codes), lambda c: F.array(*[(times(c, letter(b, 1)) - times(c, letter(b, -1))).cast("double") for b in range(dimensions)]))
+    return F.when(text.isNotNull(), F.get(counts, F.lit(0)))
 
 
 def norm(v: Column) -> Column:

@@ -11,34 +11,53 @@ SIZE, OVERLAP = 512, 50
 DOC = ["doc_id", "page_number"]
 
 
-def chunk_spans(text: Column, size: int = SIZE, overlap: int = OVERLAP) -> Column:
-    """Array of (start, end), 0-based, of the windows of a text: a fold in the JVM, as many steps as the least advance needs."""
-    n = F.length(text)
+def _segments(text: Column, size: int) -> Column:
+    """The text in parts of `size` characters: a window is then cut from two of them, however long the text is."""
+    return F.regexp_extract_all(text, F.lit(f"(?s)(.{{1,{size}}})"))
+
 
+def _window(segments: Column, start: Column, length: Column, size: int) -> Column:
+    """`length` characters, at most `size`, from `start`."""
+    i = F.floor(start / size).cast("int")
+    return F.substring(F.concat(F.coalesce(F.get(segments, i), F.lit("")), F.coalesce(F.get(segments, i + 1), F.lit(""))), (start % size + 1).cast("int"), length)
+
+
+def _spans(segments: Column, n: Column, size: int, overlap: int) -> Column:
     def end_of(start: Column) -> Column:
-        window = F.substring(text, start + 1, F.lit(size))
+        window = _window(segments, start, F.lit(size), size)
         back = F.least(*[F.coalesce(F.nullif(F.locate(stop, F.reverse(window)), F.lit(0)), F.lit(size + 1)) for stop in ("。", ".")])
-        stop = start + F.length(window) - back  # of the last full stop; before start if there is none
+        stop = start + F.least(n - start, F.lit(size)) - back  # of the last full stop; before start if there is none
         return F.when((start + size < n) & (stop > start + size // 2), stop + 1).otherwise(start + size)
 
     steps = F.sequence(F.lit(0), F.ceil(n / (size // 2 + 2 - overlap)).cast("int") + 1)
-    none = F.array().cast("array<struct<start:int,end:int>>")
+    none = F.array().cast("array<int>")
 
     def step(acc: Column, _: Column) -> Column:
         def go(end: Column) -> Column:
-            span = F.struct(acc["at"].cast("int").alias("start"), F.least(end, n).cast("int").alias("end"))
-            return F.struct(F.when(end < n, end - overlap).otherwise(n).cast("int").alias("at"), F.concat(acc["spans"], F.array(span)).alias("spans"))
+            return F.struct(F.when(end < n, end - overlap).otherwise(n).cast("int").alias("at"), F.concat(acc["ends"], F.array(F.least(end, n).cast("int"))).alias("ends"))
 
         return F.when(acc["at"] >= n, acc).otherwise(F.get(F.transform(F.array(end_of(acc["at"])), go), F.lit(0)))
 
-    return F.aggregate(steps, F.struct(F.lit(0).cast("int").alias("at"), none.alias("spans")), step)["spans"]
+    ends = F.aggregate(steps, F.struct(F.lit(0).cast("int").alias("at"), none.alias("ends")), step)["ends"]
+    return F.transform(F.array(ends), lambda e: F.transform(e, lambda end, i: F.struct(F.when(i == 0, 0).otherwise(F.get(e, i - 1) - overlap).cast("int").alias("start"), end.alias("end"))))
+
+
+def chunk_spans(text: Column, size: int = SIZE, overlap: int = OVERLAP) -> Column:
+    """Array of (start, end), 0-based, of the windows of a text: a fold in the JVM, as many steps as the least advance needs."""
+    bound = F.array(F.struct(_segments(text, size).alias("s"), F.length(text).alias("n")))
+    return F.when(text.isNotNull(), F.get(F.transform(bound, lambda x: F.get(_spans(x["s"], x["n"], size, overlap), F.lit(0))), F.lit(0)))
 
 
 def chunk_text(rows: DataFrame, least: int = 1, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
     """Rows with a text -> a row a chunk with chunk_index, and text the stripped chunk of `least` characters or more; numbered after the drop."""
     others = [c for c in rows.columns if c != "text"]
-    cut = F.transform(chunk_spans(F.col("text"), size, overlap), lambda s: T.strip(F.substring(F.col("text"), s["start"] + 1, s["end"] - s["start"])))
-    kept = F.filter(cut, lambda x: F.length(x) >= least)
+
+    def cut(x: Column) -> Column:
+        spans = F.get(_spans(x["s"], x["n"], size, overlap), F.lit(0))
+        return F.filter(F.transform(spans, lambda s: T.strip(_window(x["s"], s["start"], s["end"] - s["start"], size))), lambda c: F.length(c) >= least)
+
+    bound = F.array(F.struct(_segments(F.col("text"), size).alias("s"), F.length("text").alias("n")))
+    kept = F.get(F.transform(bound, cut), F.lit(0))
     return rows.where("text IS NOT NULL AND text <> ''").select(*others, kept.alias("all")).select(*others, F.size("all").alias("total_chunks_in_page"), F.posexplode("all").alias("chunk_index", "text"))
 
 

@@ -22,9 +22,10 @@ FIRST_PAGES = 10
 NO_WIDTH = 612.0
 
 
-def length_ok(text):
-    w = T.words(text)
-    return F.when(text.rlike(T.CJK), F.length(text) <= LIMITS["Chinese"]).when(text.rlike(T.KANA), F.length(text) <= LIMITS["Japanese"]).when(text.rlike("[A-Za-z]"), F.size(w) <= LIMITS["English"]).otherwise(F.length(text) <= LIMITS["Chinese"])
+def length_ok(text, doc_language):
+    """By characters, but by words for texts without CJK characters or kana in English documents."""
+    by_words = F.size(T.words(text)) <= LIMITS["English"]
+    return F.when(text.rlike(T.CJK), F.length(text) <= LIMITS["Chinese"]).when(text.rlike(T.KANA), F.length(text) <= LIMITS["Japanese"]).when(doc_language == "English", by_words).otherwise(F.length(text) <= LIMITS["Chinese"])
 
 
 def title_candidates(blocks: DataFrame) -> DataFrame:
@@ -39,7 +40,7 @@ def title_candidates(blocks: DataFrame) -> DataFrame:
     for language, ws in KEYWORDS.items():
         keyword = keyword | ((F.col("doc_language") == language) & text.rlike("|".join(map(re.escape, ws))))
     named = keyword | centre.between(F.col("width") * 0.4, F.col("width") * 0.6)
-    return seen.where((text != "") & ~text.rlike(PUNCTUATION_CLASS) & named & length_ok(text)).select("doc_id", "page_number", "block_no", text.alias("title"), "page_pos", "last_page")
+    return seen.where((text != "") & ~text.rlike(PUNCTUATION_CLASS) & named & length_ok(text, F.col("doc_language"))).select("doc_id", "page_number", "block_no", text.alias("title"), "page_pos", "last_page")
 
 
 def titles(candidates: DataFrame) -> DataFrame:

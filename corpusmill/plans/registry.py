@@ -602,14 +602,13 @@ def stream_dialogs(s, d):
 
 
 @query("""
-SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, round(len(list_intersect(a.ws, b.ws)) / CAST(len(list_distinct(list_concat(a.ws, b.ws))) AS DOUBLE), 6) AS similarity
-FROM first_words a JOIN first_words b ON a.first_word = b.first_word AND a.doc_id < b.doc_id WHERE a.doc_id % 10 = 0""")
+SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, CASE WHEN len(a.ws) + len(b.ws) = 0 THEN 1.0::DOUBLE ELSE round(len(list_intersect(a.ws, b.ws)) / CAST(len(list_distinct(list_concat(a.ws, b.ws))) AS DOUBLE), 6) END AS similarity
+FROM word_sets a JOIN word_sets b ON b.doc_id = a.doc_id + 1""")
 def jaccard_pairs(s, d):
-    """Word-set similarity of short documents that begin with the same word, over their first 40 words."""
-    head = F.array_join(F.slice(T.words(F.col("text")), 1, 40), " ")
-    w = X.table(s, d, "documents").where(F.length("text") < 2000).select("doc_id", head.alias("head")).withColumn("first", F.get(T.words(F.lower("head")), F.lit(0)))
-    a, b = w.where("doc_id % 10 = 0").select(F.col("doc_id").alias("doc_a"), F.col("head").alias("head_a"), "first"), w.select(F.col("doc_id").alias("doc_b"), F.col("head").alias("head_b"), "first")
-    return a.join(b, "first").where("doc_a < doc_b").select("doc_a", "doc_b", F.round(T.jaccard(F.col("head_a"), F.col("head_b")), 6).alias("similarity"))
+    """Word-set similarity of every document with the next one by id, over whole texts."""
+    docs = X.table(s, d, "documents").where("text IS NOT NULL")
+    a, b = docs.select(F.col("doc_id").alias("doc_a"), F.col("text").alias("text_a")), docs.select(F.col("doc_id").alias("doc_b"), F.col("text").alias("text_b"))
+    return a.join(b, F.col("doc_b") == F.col("doc_a") + 1).select("doc_a", "doc_b", F.round(T.jaccard(F.col("text_a"), F.col("text_b")), 6).alias("similarity"))
 
 
 @query("""

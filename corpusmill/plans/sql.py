@@ -103,7 +103,7 @@ FROM blocks""")
 step("candidates", f"""
 SELECT doc_id, page_number, block_no, text AS title, CAST(page_pos AS INT) AS page_pos, last_page FROM seen_blocks
 WHERE NOT regexp_matches(text, {quoted(PUNCTUATION_CLASS)}) AND ({_keywords} OR (x0 + x1) / 2 BETWEEN width * 0.4::DOUBLE AND width * 0.6::DOUBLE)
-  AND CASE WHEN regexp_matches(text, '[A-Za-z]') THEN len({words('text')}) <= 7 ELSE length(text) <= 7 END""")
+  AND CASE WHEN regexp_matches(text, '[\\x{{4e00}}-\\x{{9fff}}]') THEN length(text) <= 7 WHEN regexp_matches(text, '[\\x{{3040}}-\\x{{30ff}}]') THEN length(text) <= 8 WHEN doc_language = 'English' THEN len({words('text')}) <= 7 ELSE length(text) <= 7 END""")
 step("ranked_candidates", """
 SELECT *, max(times) OVER (PARTITION BY doc_id) AS most FROM (
   SELECT *, max(CASE WHEN page_pos <= 10 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id) AS early, row_number() OVER (PARTITION BY doc_id, page_number ORDER BY block_no) AS on_page,
@@ -240,4 +240,4 @@ step("smart_hits", ranked("SELECT p.query_id, p.id, p.score, smart_mode FROM all
 step("hybrid_hits", hybrid(60))
 step("shown_hits", "SELECT h.query_id, h.rank, h.score, c.id, c.text, c.section_title, c.page_number, c.filename FROM (" + ranked("SELECT query_id, id, score FROM all_pairs", 12) + ") h JOIN chunks c ON h.id = c.id")
 step("hashed_chunks", "SELECT doc_id, chunk_index, substr(md5(text), 1, 16) AS text_hash FROM doc_chunks")
-step("first_words", f"""SELECT doc_id, list_distinct({words("lower(array_to_string(" + words("text") + "[1:40], ' '))")}) AS ws, lower({words("text")}[1]) AS first_word FROM documents WHERE length(text) < 2000""")
+step("word_sets", f"""SELECT doc_id, list_distinct({words("lower(text)")}) AS ws FROM documents WHERE text IS NOT NULL""")

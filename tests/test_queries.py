@@ -85,7 +85,14 @@ def test_asian_layout_rules(spark):
 def test_title_shapes(spark):
     texts = {"第一章": True, "第一章 あいうえお": False, "あいうえおかきく": True, "あいうえおかきくけ": False, "One two three four five six seven": True, "One two three four five six seven eight": False}
     df = spark.createDataFrame([(t,) for t in texts], "t string")
-    assert {r.t: r.ok for r in df.select("t", TI.length_ok(F.col("t")).alias("ok")).collect()} == texts
+    assert {r.t: r.ok for r in df.select("t", TI.length_ok(F.col("t"), F.lit("English")).alias("ok")).collect()} == texts
+    # the word rule is for English documents only: Latin text of others may have 7 characters
+    latin = {"Un deux": True, "Un deux trois": False, "第一章": True, "あいうえおかきく": True}
+    for language in ("French", None):
+        df = spark.createDataFrame([(t,) for t in latin], "t string")
+        assert {r.t: r.ok for r in df.select("t", TI.length_ok(F.col("t"), F.lit(language).cast("string")).alias("ok")).collect()} == latin
+    centred = spark.createDataFrame([(1, "French", 1, 0, "Un deux trois quatre", 250.0, 0.0, 350.0, 5.0), (1, "French", 1, 1, "Un deux", 250.0, 6.0, 350.0, 9.0), (1, "French", 1, 2, "x" * 9, 0.0, 9.0, 600.0, 12.0)], "doc_id long, language string, page_number int, block_no int, text string, x0 double, y0 double, x1 double, y1 double")
+    assert [r.title for r in TI.title_candidates(centred).collect()] == ["Un deux"]
     rows = [(1, "English", 1, 0, "chapter one", 0.0, 0.0, 10.0, 5.0), (1, "English", 1, 1, "Chapter one", 0.0, 6.0, 100.0, 9.0), (1, "English", 2, 2, "Chapter：two", 0.0, 0.0, 100.0, 5.0)]
     blocks = spark.createDataFrame(rows, "doc_id long, language string, page_number int, block_no int, text string, x0 double, y0 double, x1 double, y1 double")
     assert [r.title for r in TI.title_candidates(blocks).collect()] == ["Chapter one"]
@@ -184,3 +191,40 @@ def test_stream_keeps_the_last_messages(spark, tmp_path):
     query = stream.writeStream.outputMode("update").format("memory").queryName("last_messages").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
     query.awaitTermination()
     assert spark.table("last_messages").first().context == "\n".join(f"- user: t{i}" for i in range(2, 12))
+
+
+def test_windows_and_embeddings_against_plain_python(spark):
+    """Spans cut from segments, and bucket counts, are those of a loop over the text."""
+    import hashlib
+    import random
+    import re
+
+    from corpusmill.functions import vectors as V
+    from corpusmill.operators import chunks as C
+
+    rng = random.Random(3)
+    texts = ["", "a", "x" * 1200, ". " * 700, "né 😀. " * 400, None, *["".join(rng.choice("ab c.。é😀\n") for _ in range(rng.randrange(3000))) for _ in range(12)]]
+
+    def spans(t):
+        out, start = [], 0
+        while start < len(t):
+            end, w = start + 512, t[start : start + 512]
+            stop = start + max(w.rfind("."), w.rfind("。"))
+            if end < len(t) and stop > start + 256:
+                end = stop + 1
+            out.append((start, min(end, len(t))))
+            start = end - 50 if end < len(t) else len(t)
+        return out
+
+    def vector(t):
+        v = [0.0] * 64
+        for w in re.findall("[a-z0-9']+", t.lower()):
+            h = int(hashlib.md5(w.encode()).hexdigest()[:8], 16)
+            v[h % 64] += 1.0 if h // 64 % 2 == 0 else -1.0
+        return v
+
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    for r in df.select("i", C.chunk_spans(F.col("t")).alias("s"), V.hash_embedding(F.col("t")).alias("v")).collect():
+        t = texts[r.i]
+        assert r.s == (None if t is None else spans(t)) or [tuple(x) for x in r.s] == spans(t)
+        assert r.v == (None if t is None else vector(t))
