@@ -12,7 +12,8 @@ each, counted with partial sums.
 
 Defined results: null or blank text has no lines; texts of fewer than RUN lines are left alone; rows with
 one id and the same text are one document and are treated alike, rows with one id and different texts are
-ordered by a hash of the text; null ids come first; an empty table gives no rows; other columns pass through.
+ordered by a hash of the text; null ids come first; very long texts are read whole; an empty table gives no
+rows; other columns, whatever their names, pass through.
 """
 
 from __future__ import annotations
@@ -50,9 +51,10 @@ def repeated_windows(docs: DataFrame, run: int = RUN) -> DataFrame:
 
 
 def dedup(docs: DataFrame, run: int = RUN) -> DataFrame:
-    """docs with text reduced to the lines kept, and n_lines, n_removed, n_runs beside all columns.
+    """docs with text reduced to the lines kept, and a last column line_stats (n_lines, n_removed, n_runs).
 
-    A text that loses nothing keeps its blank lines and white space as they were.
+    A text that loses nothing keeps its blank lines and white space as they were. Where docs has a column
+    line_stats, the new one's name gets a line at its end.
     """
     found = repeated_windows(docs.select("doc_id", "text"), run)
     joined = docs.select(F.struct("*").alias("_row"), F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_hash"), lines_of(F.col("text")).alias("_lines"))
@@ -64,13 +66,16 @@ def dedup(docs: DataFrame, run: int = RUN) -> DataFrame:
     done = joined.select(
         "_row", F.when(F.size("_gone") > 0, F.array_join(kept, "\n")).alias("__text"), F.size("_lines").cast("long").alias("__lines"), F.size("_gone").cast("long").alias("__gone"), runs.cast("long").alias("__runs")
     )
-    columns = [F.coalesce("__text", F.col("_row")[c]).alias(c) if c == "text" else F.col("_row")[c].alias(c) for c in docs.columns if c not in ("n_lines", "n_removed", "n_runs")]
-    return done.select(*columns, F.col("__lines").alias("n_lines"), F.col("__gone").alias("n_removed"), F.col("__runs").alias("n_runs"))
+    columns = [F.coalesce("__text", F.col("_row")[c]).alias(c) if c == "text" else F.col("_row")[c].alias(c) for c in docs.columns]
+    name = "line_stats"
+    while name in docs.columns:
+        name += "_"
+    return done.select(*columns, F.struct(F.col("__lines").alias("n_lines"), F.col("__gone").alias("n_removed"), F.col("__runs").alias("n_runs")).alias(name))
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = dedup(documents(spark, sf_dir).select("doc_id", "text"))
-    return done.select("doc_id", "n_lines", "n_removed", "n_runs", F.sha2(F.array_join(lines_of(F.col("text")), "\n"), 256).alias("kept_sha256"))
+    return done.select("doc_id", "line_stats.*", F.sha2(F.array_join(lines_of(F.col("text")), "\n"), 256).alias("kept_sha256"))
 
 
 OP2_SQL = r"""

@@ -14,6 +14,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusmill.llm.common import cut
+
 #: An anchor that one batch holds this often is hot: it is known to repeat, and is not gathered by its key.
 HOT = 32
 NO_ID = -(1 << 63)
@@ -181,9 +183,20 @@ def copies(docs: DataFrame) -> DataFrame:
     return keys.join(first, "key").where("_id > first").select(F.col("_id").alias("_doc"), F.array(F.lit(ALL).cast("long")).alias("found"))
 
 
+def told_apart(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, text) -> _id, text, _own: _id orders documents as doc_id does, null first, and is _own, the id, where
+    that is enough. Where one id has several texts, _id is a number for each (id, text), in order of id and a hash of the text."""
+    hashed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_own"), "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("_th"))
+    texts = hashed.select("_own", "_th").groupBy("_own").agg(F.min("_th").alias("least"), F.max("_th").alias("most"))
+    if texts.where("least <> most").isEmpty():
+        return hashed.select(F.col("_own").alias("_id"), "text", "_own")
+    pairs = cut(hashed.select("_own", "_th").distinct().orderBy("_own", "_th").withColumn("_id", F.monotonically_increasing_id()))
+    return hashed.join(pairs, ["_own", "_th"]).select("_id", "text", "_own")
+
+
 def with_found(docs: DataFrame, found: DataFrame) -> DataFrame:
     """docs (_id, text) with the found numbers of each; every use of it with the same docs shares one exchange of the texts."""
-    return docs.join(found, docs["_id"] == found["_doc"], "left").select("_id", "text", "found")
+    return docs.join(found, docs["_id"] == found["_doc"], "left").select("_id", "text", "found", *[c for c in ("_own",) if c in docs.columns])
 
 
 # Anchors: places selected by winnowing whose gram occurs again somewhere.

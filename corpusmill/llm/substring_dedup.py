@@ -15,9 +15,10 @@ Windows are judged on the input.
 Equal texts are found first, by their hash, and count as repeated whole. Each batch decides first what it can by itself: a block content that is live within a batch, or a window
 that a batch holds twice, costs one row a batch at the exchange, however many documents share it.
 
-Defined results: null text has no words; null ids come first and count as one document; rows with one id
-are taken as one document; repeated rows do not remove each other; an empty table gives no rows; other
-columns are ignored.
+Defined results: null text has no words; null ids come first; rows with one id (or none) and different texts are
+documents of their own, in order of a hash of the text, and the later one counts as of a larger id; repeated rows
+(one id and text) are one document and do not remove each other; very long texts are read whole; an empty table
+gives no rows; other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -204,8 +205,8 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def dedup(docs: DataFrame, hot_at: int = rolling.HOT) -> DataFrame:
     """docs (doc_id, text) -> doc_id, n_words, n_removed, kept (the words left, joined by a space, as UTF-8)."""
-    plain = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(rolling.NO_ID)).alias("_id"), "text")
-    return removed_spans(plain, hot_at).mapInArrow(_remove, "doc_id long, n_words long, n_removed long, kept binary")
+    found = removed_spans(rolling.told_apart(docs), hot_at).select("_own", "text", "found")
+    return found.mapInArrow(_remove, "doc_id long, n_words long, n_removed long, kept binary")
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,9 +17,10 @@ Equal texts are found first, by their hash, and count as repeated whole. Groups
 anchors that one batch holds `HOT` times or more are not gathered at all: their windows are dealt out one by
 one, by content, after the batch has kept only the first of each.
 
-Defined results: null text is empty; null ids come first and count as one document; rows with one id are
-taken as one document (if their texts differ, what is found in any is cut from all, within its length);
-repeated rows do not make each other later; an empty table gives no rows; other columns are ignored.
+Defined results: null text is empty; null ids come first; rows with one id (or none) and different texts are
+documents of their own, in order of a hash of the text; repeated rows (one id and text) are one document and do not
+make each other later; very long texts are read whole; an empty table gives no rows; other columns, whatever
+their names, are ignored.
 """
 
 from __future__ import annotations
@@ -249,8 +250,8 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def dedup(docs: DataFrame, hot_at: int = rolling.HOT) -> DataFrame:
     """docs (doc_id, text) -> doc_id, n_bytes, n_removed, n_spans, kept (the remaining bytes)."""
-    plain = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(rolling.NO_ID)).alias("_id"), "text")
-    return removed_spans(plain, hot_at).mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    found = removed_spans(rolling.told_apart(docs), hot_at).select("_own", "text", "found")
+    return found.mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,7 +18,7 @@ from corpusmill.llm import licenses, line_dedup, mixing, near_dedup, packing, qu
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("lang", T.StringType()), T.StructField("source", T.StringType()), T.StructField("n_chars", T.LongType())])
-CLASHING = ["size", "target", "copies", "found", "_doc", "_id", "_row", "_kept", "_key", "bins", "sketch", "score", "rank", "n", "h", "w", "windows", "_gone", "level", "_copies"]
+CLASHING = ["size", "target", "copies", "found", "_doc", "_id", "_row", "_kept", "_key", "bins", "sketch", "score", "rank", "n", "h", "w", "windows", "_gone", "level", "_copies", "n_lines", "n_removed", "n_runs", "line_stats", "root", "members", "taken", "_own", "kept", "start"]
 
 
 def sentence(rng, n=12):
@@ -72,7 +73,7 @@ def operators(spark):
         "toxicity": lambda d: toxicity.with_score(d, toxicity.Grammar({}, -2.0)),
         "suffix_dedup": suffix_dedup.dedup,
         "near_dedup": near_dedup.classes,
-        "keep_one": near_dedup.keep_one,
+        "keep_first": near_dedup.keep_first,
         "substring_dedup": substring_dedup.dedup,
         "plan_mix": mixing.plan_mix,
         "mix": mixing.mix,
@@ -81,7 +82,7 @@ def operators(spark):
     }
 
 
-@pytest.mark.parametrize("name", ["search", "line_dedup", "licenses", "toxicity", "suffix_dedup", "near_dedup", "keep_one", "substring_dedup", "plan_mix", "mix", "pack", "quality"])
+@pytest.mark.parametrize("name", ["search", "line_dedup", "licenses", "toxicity", "suffix_dedup", "near_dedup", "keep_first", "substring_dedup", "plan_mix", "mix", "pack", "quality"])
 def test_odd_and_empty_tables(spark, name):
     op = operators(spark)[name]
     d = odd(spark)
@@ -89,11 +90,51 @@ def test_odd_and_empty_tables(spark, name):
     per_row = {"line_dedup", "toxicity", "suffix_dedup", "near_dedup", "substring_dedup", "plan_mix", "pack", "quality"}
     if name in per_row:
         assert len(got) == 6
-    if name == "keep_one":
-        assert [r.doc_id for r in got] == [None]  # the least id, of both texts' classes
+    if name == "keep_first":
+        assert [r.doc_id for r in got] == [None, None]  # the least id, of both texts' classes
+    if name == "line_dedup":
+        assert all(r.n_lines == 7 and r["line_stats"] == 7 and r["line_stats_"].n_removed == 0 for r in got)
     assert op(d.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("name", ["line_dedup", "licenses", "toxicity", "suffix_dedup", "near_dedup", "substring_dedup", "plan_mix", "pack", "quality"])
+def test_very_long_texts(spark, name):
+    rng = random.Random(8)
+    text = "\n".join(sentence(rng) for _ in range(3000))
+    end = "\nan idiot you are, scum.\nReleased under the MIT License."
+    d = spark.createDataFrame([(1, text + end, "en", "a", 0), (2, "start " + text + end, "en", "a", 0), (3, text, "en", "b", 0)], SCHEMA)
+    got = {r.doc_id: r for r in operators(spark)[name](d).collect()}
+    n = len(text.split())
+    if name == "line_dedup":
+        assert [got[i].line_stats.n_removed for i in (1, 2, 3)] == [0, 3001, 3000]
+    elif name == "licenses":
+        assert set(got) == {1, 2}
+    elif name == "toxicity":
+        assert got[1].score == got[2].score > got[3].score
+    elif name == "suffix_dedup":
+        assert got[1].n_removed == 0 and got[2].n_removed == len((text + end).encode()) and got[3].n_removed == len(text.encode())
+    elif name == "near_dedup":
+        assert {r.class_id for r in got.values()} == {1}
+    elif name == "substring_dedup":
+        assert [got[i].n_removed for i in (1, 2, 3)] == [0, n + len(end.split()), n]
+    elif name == "plan_mix":
+        assert got[3].size == n
+    elif name == "quality":
+        assert got[3].n_words == n
+    else:
+        assert set(got) == {1, 2, 3}
+
+
+@pytest.mark.parametrize("op", [suffix_dedup, substring_dedup])
+def test_texts_of_one_id_are_told_apart(spark, op):
+    a, b = " ".join(f"a{i}" for i in range(120)), " ".join(f"b{i}" for i in range(120))
+    d = spark.createDataFrame([(0, a), (1, a), (1, b), (2, f"start {b} end"), (None, f"x {a}"), (None, b[:90])], "doc_id long, text string")
+    got = sorted(((r.doc_id, bytes(r.kept).decode()) for r in op.dedup(d).collect()), key=repr)
+    assert [k for i, k in got if i == 1 and k] == [b] and len(got) == 6
+    assert [k.split() for i, k in got if i == 2] == [["start", "end"]]
+    assert [k for i, k in got if i == 0] == [""] and sorted(k.split() for i, k in got if i is None) == sorted([b[:90].split(), f"x {a}".split()])
+
+
 def brute_bytes(rows, length=100):
     seen, out = set(), {}
     for d, t in sorted(rows):
@@ -159,10 +200,10 @@ def test_line_dedup(docs, rows):
         for s in range(len(ls) - 2):
             if windows[tuple(ls[s : s + 3])] != (d, s):
                 gone |= {s, s + 1, s + 2}
-        assert (got[d].n_lines, got[d].n_removed) == (len(ls), len(gone))
+        assert (got[d].line_stats.n_lines, got[d].line_stats.n_removed) == (len(ls), len(gone))
         if gone:
             assert got[d].text == "\n".join(x for i, x in enumerate(ls) if i not in gone)
-    assert any(r.n_removed for r in got.values())
+    assert any(r.line_stats.n_removed for r in got.values())
 
 
 def test_licenses(spark):
@@ -190,6 +231,15 @@ def test_search_is_exact(docs, rows):
         assert np.allclose([s for _, s in got[q]], [s for _, s in want], atol=1e-5)
 
 
+def in_order(a, b):
+    """Aligned words over all: the whole table."""
+    table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
+    return table[-1][-1] / max(len(a) + len(b) - table[-1][-1], 1)
+
+
 def test_near_dedup(spark):
     rng = random.Random(3)
     texts, want = [], []
@@ -201,7 +251,7 @@ def test_near_dedup(spark):
             w[rng.randrange(len(w))] = "changed"
             texts.append(" ".join(w))
     texts += [texts[0], texts[5], "short one", "short one", "another short", "", None]
-    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} or {tuple(w)} for w in ((t or "").split() for t in texts)]
+    words = [(t or "").split() for t in texts]
     parent = list(range(len(texts)))
 
     def root(x):
@@ -211,28 +261,48 @@ def test_near_dedup(spark):
 
     for i in range(len(texts)):
         for j in range(i):
-            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+            if words[i] == words[j] or min(len(words[i]), len(words[j])) >= 5 and in_order(words[i], words[j]) >= 0.8:
                 a, b = sorted((root(i), root(j)))
                 parent[b] = a
     d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     got = {r.doc_id: r.class_id for r in near_dedup.classes(d).collect()}
     assert got == {i: root(i) for i in range(len(texts))}
-    assert near_dedup.keep_one(d).count() == len(set(got.values()))
-
-
-def test_large_bucket_whose_leader_is_unrelated(spark):
-    rng = np.random.default_rng(4)
-    bins = {size: rng.integers(1, 256, (10, size), dtype=np.uint8) for size in (near_dedup.BINS, near_dedup.FINE)}
-    for own in bins.values():
-        own[9] = own[8]  # only these two are alike; they share one odd sketch with all others and nothing else
+    assert near_dedup.keep_first(d).count() == len(set(got.values()))
+
+
+def test_near_dedup_finds_short_texts_with_several_edits(spark):
+    rng = random.Random(12)
+    texts, pairs = [], []
+    for _ in range(150):
+        w = [f"w{rng.randrange(4000)}" for _ in range(rng.randrange(20, 61))]
+        edited = list(w)
+        for _ in range(rng.randrange(1, 4)):
+            k = rng.randrange(len(edited))
+            edited[k : k + 1] = rng.choice([["other"], [], [edited[k], "more"]])
+        if in_order(w, edited) >= 0.8:
+            pairs.append((len(texts), len(texts) + 1))
+            texts += [" ".join(w), " ".join(edited)]
+    got = {r.doc_id: r.class_id for r in near_dedup.classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)).collect()}
+    assert sum(got[a] == got[b] for a, b in pairs) >= 0.95 * len(pairs) > 100
+    assert all(got[i] in (i, i - i % 2) for i in got)  # nothing else is linked
+
+
+@pytest.mark.parametrize("side", [2, 500])
+def test_large_bucket_whose_leader_is_unrelated(spark, monkeypatch, side):
+    monkeypatch.setattr(near_dedup, "SIDE", side)
+    texts = [" ".join(f"t{i}w{k}" for k in range(60)) for i in range(9)]
+    texts.append(texts[8].replace("t8w30", "changed"))  # only these two are alike
+    plain = spark.createDataFrame([(i, t, i) for i, t in enumerate(texts)], "_id long, text string, _name long")
+    words = near_dedup.Words(pa.RecordBatch.from_arrays([pa.array(range(10), pa.int64()), pa.array(texts)], names=["_id", "text"]))
+    bins = near_dedup.word_bins(words.hashes(), words.bounds)
+    # they share one sketch with all others, and nothing else
     sketches = [[100 + i * near_dedup.SKETCHES + k if k != 3 else 7 for k in range(near_dedup.SKETCHES)] for i in range(10)]
-    reps = spark.createDataFrame([(i, sketches[i], *[bytearray(own[i].tobytes()) for own in bins.values()]) for i in range(10)], "_rep long, sketches array<long>, bins binary, fine binary")
-    marks = reps.select("_rep", F.posexplode("sketches").alias("nth", "sketch"))
-    bucket = spark.createDataFrame([(7, 10, 0, 0)], "sketch long, n long, first long, second long")
-    led = {(r.a, r.b) for r in near_dedup.candidate_pairs(marks, bucket).collect()}
-    assert led == {(0, i) for i in range(1, 10)}
-    roots = spark.createDataFrame([(i, 0) for i in range(1, 6)], "_rep long, root long")
-    assert [tuple(r) for r in near_dedup.remaining_pairs(marks, bucket, reps, roots).collect()] == [(8, 9)]
+    reps = spark.createDataFrame([(i, i, sketches[i], bytearray(bins[i].tobytes())) for i in range(10)], "_rep long, least long, sketches array<long>, bins binary")
+    crowded = spark.createDataFrame([(i, 7, (10 - i, i)) for i in range(10)], "_rep long, sketch long, rank struct<shared: long, order: long>")
+    assert {tuple(r) for r in near_dedup.leading_pairs(crowded).collect()} == {(0, i) for i in range(1, 10)}
+    own = near_dedup.with_roots(crowded, spark.createDataFrame([(i, 0) for i in range(1, 6)], "_rep long, root long"))
+    assert {tuple(r) for r in near_dedup.component_pairs(own).collect()} == {(0, i) for i in range(6, 10)}
+    assert [tuple(r) for r in near_dedup.remaining_links(own, plain, reps).collect()] == [(8, 9)]
 
 
 def test_near_dedup_tells_texts_of_one_id_apart(spark):
@@ -254,12 +324,7 @@ def test_alignment_similarity():
         for _ in range(rng.randrange(0, 6)):
             k = rng.randrange(len(b) + 1)
             b[k : k + rng.randrange(2)] = [rng.randrange(30)] * rng.randrange(2)
-        table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-        for i, x in enumerate(a):
-            for j, y in enumerate(b):
-                table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
-        aligned = table[-1][-1]
-        assert near_dedup.similar(a, b) == (aligned >= 0.8 * (len(a) + len(b) - aligned) - 1e-9)
+        assert near_dedup.similar(a, b) == (in_order(a, b) >= 0.8 - 1e-9)
 
 
 def test_mixing(docs, rows):
@@ -371,8 +436,104 @@ def test_toxicity_held_out(spark):
     assert set(got) == {i for i in range(600) if zlib.crc32(str(i).encode()) % 4 == 2}
 
 
+def test_toxicity_transducers():
+    near, within, ever, opened = (m(toxicity.INSULT) for m in (toxicity.near, toxicity.within, toxicity.ever, lambda x: toxicity.opened(x, (toxicity.TARGET,))))
+
+    def run(table, symbols):
+        state, seen = 0, []
+        for x in symbols:
+            state = table[state, x]
+            seen.append(state)
+        return seen
+
+    i, o, t, b = toxicity.INSULT, toxicity.OTHER, toxicity.TARGET, toxicity.BREAK
+    assert run(near, [o, i, o, o, o, i, b]) == [0, 3, 2, 1, 0, 3, 0]
+    assert run(within, [o, i, o, o, b, o]) == [0, 1, 1, 1, 0, 0]
+    assert run(ever, [o, i, b, o]) == [0, 1, 1, 1]
+    assert run(opened, [i, o, t, i, b]) == [3, 2, 0, 3, 0]
+    assert len(toxicity.ARCS) == 4**5 * 2 * 2 and all(len(row) == len(toxicity.SYMBOLS) for row in toxicity.ARCS)
+
+
 def test_toxicity_grammar():
-    g = toxicity.Grammar({}, -2.0)
-    plain, aimed, denied, told = (g.score(t) for t in ("what an idiot there", "you idiot", "she is not an idiot", "he said idiot"))
-    assert aimed > plain > max(denied, told) > g.score("a fine day")
-    assert g.score("i will kill you") > g.score("they kill time") == g.score("")
+    g = toxicity.Grammar({"zork*": 3.0}, -2.0)
+    w, th, no, said = toxicity.LISTED_WEIGHT, toxicity.THREAT_WEIGHT, toxicity.NEGATION_FACTOR, toxicity.REPORT_FACTOR
+    for text, want in {
+        "trash": [0, 0, 0, 0], "a fine day": [0, 0, 0, 0], "kill that process": [0, 0, 0, 0], "they kill time": [0, 0, 0, 0], "": [0, 0, 0, 0],
+        "you idiot": [w, 0, 0, 0], "idiot, you": [w, 0, 0, 0], "idiot. you": [0, 0, 0, 0], "you one two three idiot": [0, 0, 0, 0],
+        "the idiot": [0, w, 0, 0], "idiot one. two three four five moron": [0, 0, w, 0], "zorkish you": [3.0, 0, 0, 0], "zork you": [0, 0, 0, 0],
+        "she is not an idiot": [w * no, 0, 0, 0] if toxicity.REACH > 4 else [0, w * no, 0, 0], "said you idiot": [w * said, 0, 0, 0],
+        "i will kill you": [0, 0, 0, th], "kill idiot you": [w, 0, 0, th], "you kill idiot them": [w, 0, 0, th], "never kill you": [0, 0, 0, th * no],
+    }.items():
+        assert np.allclose(g.read(text), want), (text, g.read(text), want)
+    assert g.score("you idiot") > toxicity.CUT and g.score("you idiot") > g.score("said you idiot") and g.score("trash") == g.score("") == g.score(None)
+
+
+def test_toxicity_weights_are_fitted():
+    rng = np.random.default_rng(1)
+    x = rng.choice([0.0, 4.0], (4000, 4), p=[0.8, 0.2])
+    y = (rng.random(4000) < 1 / (1 + np.exp(-(-3 + x @ np.array([1.5, 0.0, 0.75, 1.0]))))).astype(float)
+    prior, weights = toxicity.fitted(x, y, hold=0.0)
+    assert abs(prior + 3) < 0.3 and np.allclose(weights, [1.5, 0.0, 0.75, 1.0], atol=0.2)
+    assert toxicity.fitted(np.zeros((5, 4)), np.zeros(5))[1] == toxicity.STANDARD
+
+
+def test_quality_verdict(spark):
+    """Distances and verdicts against plain Python, over texts of three languages and junk."""
+    import unicodedata
+
+    rng = random.Random(15)
+    rows = []
+    for i in range(60):
+        lang = ["en", "de", "fr", "xx", None][i % 5]
+        common = quality.COMMON_WORDS.get(lang or "", ["zzz"])
+        w = [rng.choice(common) if rng.random() < 0.4 else "".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(rng.randrange(30, 260))]
+        text = " ".join(w).capitalize() + ("." if i % 3 else " #$% 12, 34 &&" * 30)
+        rows.append((i, text if i % 11 else text.upper(), lang))
+    got = {r.doc_id: r for r in quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)).collect()}
+
+    def kind(c):
+        k = unicodedata.category(c)
+        if k == "Lu":
+            return 0
+        if k[0] == "L":
+            return 1
+        return 5 if c in "#*$%&|<>" else 2 if k == "Nd" else 3 if c in " \t\n\v\f\r" else 4 if k[0] == "P" else 6
+
+    shares = {}
+    for d, text, _ in rows:
+        w = WORD.findall(text)
+        chars = collections.Counter(map(kind, text))
+        listed = collections.Counter(x.lower().rstrip(".,;:!?") for x in w)
+        common = [listed[x] for x in quality.LISTED]
+        shares[d] = [chars[k] / len(text) for k in range(7)], [x / len(w) for x in [*common, len(w) - sum(common)]]
+    refs = {}
+    for d, _, lang in rows:
+        if lang in quality.COMMON_WORDS and not got[d].base_failed:
+            refs.setdefault(lang, []).append(d)
+    means = {lang: [np.mean([shares[d][side] for d in ds], axis=0) for side in (0, 1)] for lang, ds in refs.items()}
+
+    def distance(p, q):
+        p, m = np.array(p), (np.array(p) + q) / 2
+        with np.errstate(divide="ignore", invalid="ignore"):
+            return math.sqrt(max(0.0, sum(np.where(x > 0, x * np.log2(x / m), 0).sum() for x in (p, q)) / 2))
+
+    for d, text, _ in rows:
+        n, r = len(WORD.findall(text)), got[d]
+        each = [min(distance(shares[d][side], m[side]) for m in means.values()) for side in (0, 1)]
+        limits = [math.sqrt(a * a + b / n) for a, b in (quality.CLASS_LIMIT, quality.COMMON_LIMIT)]
+        want = [x if n >= least else None for x, least in zip(each, (50, 100))]
+        for x, y in zip((r.class_distance, r.common_distance), want):
+            assert (x is None) == (y is None) and (x is None or abs(x - y) < 1e-9)
+        assert r.kept == (not r.base_failed and all(x is None or x <= limit for x, limit in zip(want, limits)))
+    assert {r.kept for r in got.values()} == {True, False}
+
+
+def test_mix_comes_near_its_targets(spark):
+    rng = random.Random(21)
+    rows = [(i, " ".join(["w"] * rng.randrange(20, 60)), "en", rng.choice(["a", "a", "a", "b", "c", "d"]), 0) for i in range(6000)]
+    planned = {r.doc_id: r for r in mixing.plan_mix(spark.createDataFrame(rows, SCHEMA)).collect()}
+    for source in "abcd":
+        own = [planned[i] for i, _, _, name, _ in rows if name == source]
+        part = own[0].target / own[0].source_size % 1
+        chance = math.sqrt(part * (1 - part) * sum(r.size**2 for r in own))  # standard deviation of the Bernoulli copies
+        assert abs(sum(r.taken for r in own) - own[0].target) <= 4 * chance + 1 and chance < 0.05 * own[0].target
