@@ -2,6 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written and read again as the next
 one's docs. All but the last return the columns of documents; run() applies them to documents.
+
+Defined results, for every stage: an empty table gives no rows; columns beyond those a stage reads pass through
+all but the last, whatever their names; texts are read whole, however long. Null or empty texts are kept by
+the first two stages, are one class of near-duplicates (one stays), have size 0 in the mix and pack to the id 0. Null
+ids are ordered first and stay null. Repeated rows are scored and mixed alike, do not remove each other's lines,
+and one of them stays as a near-duplicate. Ties between equal texts go to the least id.
 """
 
 from __future__ import annotations
@@ -21,9 +27,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without runs of lines that stand earlier; documents of which nothing is left go, n_chars follows the text."""
-    done = line_dedup.dedup(docs).where("n_removed = 0 OR n_removed < n_lines")
-    columns = [F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
-    return done.select(*columns)
+    done = line_dedup.dedup(docs)
+    removed, lines = (F.col(done.columns[-1])[c] for c in ("n_removed", "n_lines"))
+    columns = [F.when(removed > 0, F.length("text")).otherwise(F.col(c)).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
+    return done.where((removed == 0) | (removed < lines)).select(*columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,7 +56,7 @@ STAGES = [
     ("pack", pack_sequences),
 ]
 
-#: Order MinHash, the learned grammar and the tokenizer are beyond SQL; tests hold run() against a brute-force version.
+#: Order MinHash, the learned grammar and the tokenizer are beyond SQL; tests hold each stage against its definition.
 ORACLE_SQL = None
 
 
