@@ -16,7 +16,7 @@ about n pairs and not n * n:
 3. In buckets that still hold several components, every text outside the largest meets all texts of other
    components, in blocks of at most some `SIDE` texts a side. The others are aligned.
 
-Before texts are fetched, pairs are compared by a minhash of `BINS` bytes over their words, each labelled with
+From step 2 on, before texts are fetched, pairs are compared by a minhash of `BINS` bytes over their words, each labelled with
 how often it stood before. Aligned words are common words, so the similarity of the labelled words is at
 least that of the alignment; about one in 10^5 pairs at the threshold is lost.
 
@@ -46,7 +46,7 @@ from corpusmill.llm.substring_dedup import Words
 SHINGLE, THRESHOLD = 5, 0.8
 SKETCHES, PICKED = 16, 2
 #: Rounds of leading pairs before buckets are compared whole.
-ROUNDS = 2
+ROUNDS = 1
 #: Bytes of the minhash that filters pairs.
 BINS = 512
 #: Standard errors that an estimate may lie under the threshold; texts a side in a block.
@@ -358,7 +358,7 @@ def _plain(docs: DataFrame) -> DataFrame:
 def classed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """docs (doc_id, text) -> rows (_id, _name, ...) and texts (_rep, least: the least id with it, head: (least, _rep) of the first text of its class)."""
     plain = _plain(docs)
-    sketched = cut(plain.mapInArrow(_sketch, "_id long, _name long, sketches array<long>, bins binary"))
+    sketched = plain.mapInArrow(_sketch, "_id long, _name long, sketches array<long>, bins binary")
     reps = cut(sketched.groupBy(F.col("_id").alias("_rep")).agg(F.min("_name").alias("least"), F.first("sketches").alias("sketches"), F.first("bins").alias("bins")))
     known = reps.where("sketches IS NOT NULL")
     marks = known.select("_rep", F.explode("sketches").alias("sketch"))
@@ -368,7 +368,7 @@ def classed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     shared = placed.groupBy("_rep").agg(F.struct(F.sum("n").alias("shared"), F.bitwise_not("_rep").alias("order")).alias("rank"))
     crowded = cut(placed.select("_rep", "sketch").join(shared, "_rep"))
     tried = cut(leading_pairs(crowded))
-    links = cut(verified(cut(filtered(tried, known)), plain, known))
+    links = cut(verified(tried, plain, known))
     roots = components(links)
     for _ in range(ROUNDS):
         again = cut(component_pairs(with_roots(crowded, roots)).join(tried, ["a", "b"], "left_anti"))
@@ -385,7 +385,7 @@ def classed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     # only texts of classes of several meet their class's name, dealt out, as a class may be large
     linked = cut(roots.union(roots.select("root", "root").distinct()).join(reps.select("_rep", F.struct("least", "_rep").alias("own")), "_rep"))
     heads = salted_join(linked, linked.groupBy("root").agg(F.min("own").alias("head")), "root", F.col("_rep"), "inner").select("_rep", "head")
-    return sketched, reps.join(heads, "_rep", "left").select("_rep", "least", F.coalesce("head", F.struct("least", "_rep")).alias("head"))
+    return plain.select("_id", "_name"), reps.join(heads, "_rep", "left").select("_rep", "least", F.coalesce("head", F.struct("least", "_rep")).alias("head"))
 
 
 def classes(docs: DataFrame) -> DataFrame:
