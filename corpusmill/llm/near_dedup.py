@@ -55,6 +55,8 @@ SLACK, SIDE = 4.5, 500
 EDGES_A_TASK = 300_000
 #: Texts that are sent to one place with the text they are compared with.
 GROUP = 1000
+#: Names of texts that may be broadcast.
+FEW = 200_000
 BATCH = 4_000_000
 
 
@@ -198,8 +200,14 @@ def _align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def texts_of(plain: DataFrame, named: DataFrame) -> DataFrame:
-    """The texts (_id, text) of named (_doc, least), a row each."""
-    return plain.join(named.select("_doc", "least").distinct(), (F.col("_id") == F.col("_doc")) & (F.col("_name") == F.col("least")), "left_semi").dropDuplicates(["_id", "_name"])
+    """The texts (_id, text) of named (_doc, least), a row each.
+
+    Up to `FEW` names, two numbers each, are broadcast, so that only the texts wanted are shuffled; more are joined.
+    """
+    names = cut(named.select("_doc", "least").distinct())
+    if names.count() <= FEW:
+        names = F.broadcast(names)
+    return plain.join(names, (F.col("_id") == F.col("_doc")) & (F.col("_name") == F.col("least")), "left_semi").dropDuplicates(["_id", "_name"])
 
 
 def verified(pairs: DataFrame, plain: DataFrame, reps: DataFrame) -> DataFrame:
