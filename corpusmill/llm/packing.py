@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from corpusmill.llm.common import documents
 
 LENGTH = 1024
-GRID = 32
+GRID = 16
 SENTENCE_PENALTY, GRID_PENALTY, SEQUENCE_COST = 1.0, 4.0, 1.0
 #: Text characters tokenised and planned at once.
 CHUNK = 3_000_000
