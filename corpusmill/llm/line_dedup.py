@@ -1,17 +1,18 @@
 """Line deduplication by winnowing (operator 2): DataFrame functions only.
 
 Lines are the newline-separated parts of a text that are not blank, without outer white space. A run of
-`RUN` lines or more that also starts earlier (in a document with a smaller id, or further up) is deleted.
-
-In every window of RUN lines the one with the least hash is its fingerprint, so a run that two places
-share has a fingerprint in both. Fingerprints that occur once are dropped; around each of the others the
-windows it stands for are rebuilt from the neighbouring line hashes, the earliest place of each window's
-content is found by a minimum, and all later places are deleted: their union is the maximal later runs.
-Places are never paired with each other, so a line that a third of all documents share costs one row
-each, counted with partial sums.
-
-Defined results: null or blank text has no lines; texts of fewer than RUN lines are left alone; rows with
-one id and the same text are one document and are treated alike, rows with one id and different texts are
+`RUN` lines or more, or a line of `LONG` characters or more, that also stands earlier (in a document with a
+smaller id, or further up) is deleted.
+
+In every window of RUN lines the one with the least hash is its fingerprint, and a long line is its own, so what
+two places share has a fingerprint in both. A row is made for each place of a fingerprint, with the windows it
+stands for. Places of fingerprints that occur once are dropped; each of the others is extended to both sides, over
+the neighbouring line hashes, to the windows that hold it. The earliest place of each window's content is found
+by a minimum, and all later places are deleted: their union is the maximal later runs. Places are
+never paired with each other, so a line that a third of all documents share costs one row each.
+
+Defined results: null or blank text has no lines; shorter lines in texts of fewer than RUN lines are left alone;
+rows with one id and the same text are one document and are treated alike, rows with one id and different texts are
 ordered by a hash of the text; null ids come first; very long texts are read whole; an empty table gives no
 rows; other columns, whatever their names, pass through.
 """
@@ -23,7 +24,8 @@ from pyspark.sql import functions as F
 
 from corpusmill.llm.common import documents
 
-RUN = 3
+#: Lines of a run; characters of a line that is deleted alone.
+RUN, LONG = 3, 100
 
 
 def lines_of(text: Column) -> Column:
@@ -31,35 +33,46 @@ def lines_of(text: Column) -> Column:
     return F.when(text.isNull(), F.array().cast("array<string>")).otherwise(F.filter(trimmed, lambda x: x != ""))
 
 
-def fingerprints(docs: DataFrame, run: int = RUN) -> DataFrame:
-    """(_doc, _th, mark, windows): a row for each selected line; windows (at, hashes) are those whose minimum it is."""
-    hashed = docs.select(F.col("doc_id").alias("_doc"), F.xxhash64("text").alias("_th"), F.transform(lines_of(F.col("text")), lambda x: F.xxhash64(x)).alias("h")).where(F.size("h") >= run)
-    windows = F.transform(F.sequence(F.lit(1), F.size("h") - run + 1), lambda s: F.struct(F.array_min(F.slice("h", s, run)).alias("mark"), (s - 1).alias("at"), F.slice("h", s, run).alias("hashes")))
-    each = hashed.select("_doc", "_th", F.explode(windows).alias("w")).select("_doc", "_th", "w.*")
-    return each
+def fingerprints(docs: DataFrame, run: int = RUN, long: int = LONG) -> DataFrame:
+    """(_doc, _th, mark, windows): a row for each place of a fingerprint, with the windows (at, hashes) that it stands for."""
+    lines = F.transform(lines_of(F.col("text")), lambda x: F.struct(F.xxhash64(x).alias("h"), (F.length(x) >= long).alias("long")))
+    lined = docs.select(F.col("doc_id").alias("_doc"), F.xxhash64("text").alias("_th"), lines.alias("lines")).where((F.size("lines") >= run) | F.exists("lines", lambda x: x["long"]))
+    lined = lined.select("_doc", "_th", "lines", F.col("lines.h").alias("h"))
+    starts = F.when(F.size("h") >= run, F.sequence(F.lit(1), F.size("h") - run + 1)).otherwise(F.array().cast("array<int>"))
+    lined = lined.withColumn("least", F.transform(starts, lambda s: F.array_min(F.slice("h", s, run))))
+    none = F.array().cast("array<struct<at: int, hashes: array<bigint>>>")
+
+    def windows(line: Column, i: Column) -> Column:
+        around = F.sequence(F.greatest(i - run + 1, F.lit(0)), F.least(i, F.size("h") - run))
+        held = F.when(F.size("h") >= run, F.transform(F.filter(around, lambda s: F.get("least", s) == line["h"]), lambda s: F.struct(s.alias("at"), F.slice("h", s + 1, run).alias("hashes"))))
+        alone = F.when(line["long"], F.array(F.struct(i.alias("at"), F.array(line["h"]).alias("hashes"))))
+        return F.concat(F.coalesce(held, none), F.coalesce(alone, none))
+
+    each = F.transform("lines", lambda line, i: F.struct(line["h"].alias("mark"), windows(line, i).alias("windows")))
+    return lined.select("_doc", "_th", F.explode(F.filter(each, lambda x: F.size(x["windows"]) > 0)).alias("w")).select("_doc", "_th", "w.*")
 
 
-def repeated_windows(docs: DataFrame, run: int = RUN) -> DataFrame:
-    """(_doc, _th, starts): of each document, where windows start that occur earlier."""
-    marks = fingerprints(docs, run)
-    places = marks.groupBy("mark").agg(F.count("*").alias("n")).where("n > 1").select("mark")
-    hits = marks.join(places, "mark")  # places of fingerprints that occur again
+def repeated_windows(docs: DataFrame, run: int = RUN, long: int = LONG) -> DataFrame:
+    """(_doc, _th, found): of each document, the windows (at, size) that stand earlier too."""
+    marks = fingerprints(docs, run, long)
+    again = marks.groupBy("mark").agg(F.count("*").alias("n")).where("n > 1").select("mark")
+    hits = marks.join(again, "mark").select("_doc", "_th", F.explode("windows").alias("w")).select("_doc", "_th", "w.*")
     place = F.struct("_doc", "_th", "at")
     first = hits.groupBy("hashes").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("hashes", "first")
     later = hits.join(first, "hashes").where(place != F.col("first"))
-    return later.groupBy("_doc", "_th").agg(F.collect_set("at").alias("starts"))
+    return later.groupBy("_doc", "_th").agg(F.collect_set(F.struct("at", F.size("hashes").alias("size"))).alias("found"))
 
 
-def dedup(docs: DataFrame, run: int = RUN) -> DataFrame:
+def dedup(docs: DataFrame, run: int = RUN, long: int = LONG) -> DataFrame:
     """docs with text reduced to the lines kept, and a last column line_stats (n_lines, n_removed, n_runs).
 
     A text that loses nothing keeps its blank lines and white space as they were. Where docs has a column
     line_stats, the new one's name gets a line at its end.
     """
-    found = repeated_windows(docs.select("doc_id", "text"), run)
+    found = repeated_windows(docs.select("doc_id", "text"), run, long)
     joined = docs.select(F.struct("*").alias("_row"), F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_hash"), lines_of(F.col("text")).alias("_lines"))
     joined = joined.join(found, F.col("_id").eqNullSafe(F.col("_doc")) & (F.col("_hash") == F.col("_th")), "left")
-    gone = F.array_sort(F.array_distinct(F.flatten(F.transform(F.coalesce("starts", F.array().cast("array<int>")), lambda s: F.sequence(s, s + run - 1)))))
+    gone = F.array_sort(F.array_distinct(F.flatten(F.transform(F.coalesce("found", F.array().cast("array<struct<at: int, size: int>>")), lambda w: F.sequence(w["at"], w["at"] + w["size"] - 1)))))
     joined = joined.select("_row", "_lines", gone.alias("_gone"))
     kept = F.filter("_lines", lambda x, i: ~F.array_contains("_gone", i))
     runs = F.size(F.filter("_gone", lambda x, i: ~x.eqNullSafe(F.get("_gone", i - 1) + 1)))
@@ -84,9 +97,12 @@ WITH lined AS (
   FROM documents),
 windows AS (
   SELECT doc_id, unnest(range(1, len(lines) - 1)) AS s, lines FROM lined WHERE len(lines) >= 3),
-keyed AS (SELECT doc_id, s, lines[s:s + 2] AS w FROM windows),
-later AS (SELECT doc_id, s FROM (SELECT doc_id, s, row_number() OVER (PARTITION BY w ORDER BY doc_id, s) AS k FROM keyed) WHERE k > 1),
-gone AS (SELECT DISTINCT doc_id, s + d AS line FROM later, range(0, 3) AS t(d)),
+longs AS (SELECT doc_id, unnest(range(1, len(lines) + 1)) AS s, lines FROM lined),
+keyed AS (
+  SELECT doc_id, s, lines[s:s + 2] AS w FROM windows
+  UNION ALL SELECT doc_id, s, [lines[s]] AS w FROM longs WHERE length(lines[s]) >= 100),
+later AS (SELECT doc_id, s, len(w) AS size FROM (SELECT doc_id, s, w, row_number() OVER (PARTITION BY w ORDER BY doc_id, s) AS k FROM keyed) WHERE k > 1),
+gone AS (SELECT DISTINCT doc_id, s + d AS line FROM later, range(0, 3) AS t(d) WHERE d < size),
 runs AS (
   SELECT doc_id, count(*) AS n_removed, sum(CASE WHEN before IS DISTINCT FROM line - 1 THEN 1 ELSE 0 END) AS n_runs, list(line) AS gone
   FROM (SELECT doc_id, line, lag(line) OVER (PARTITION BY doc_id ORDER BY line) AS before FROM gone) GROUP BY doc_id)

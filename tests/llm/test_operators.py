@@ -192,20 +192,30 @@ def test_line_dedup(docs, rows):
     windows = {}
     lines = {d: [x for x in (y.strip(" \t\n\v\f\r") for y in (t or "").split("\n")) if x] for d, t, *_ in rows}
     for d in sorted(lines):
-        for s in range(len(lines[d]) - 2):
+        for s in range(len(lines[d])):
             windows.setdefault(tuple(lines[d][s : s + 3]), (d, s))
+            windows.setdefault(lines[d][s], (d, s))
     got = {r.doc_id: r for r in line_dedup.dedup(docs).collect()}
     for d, ls in lines.items():
         gone = set()
         for s in range(len(ls) - 2):
             if windows[tuple(ls[s : s + 3])] != (d, s):
                 gone |= {s, s + 1, s + 2}
+        gone |= {s for s, x in enumerate(ls) if len(x) >= 100 and windows[x] != (d, s)}
         assert (got[d].line_stats.n_lines, got[d].line_stats.n_removed) == (len(ls), len(gone))
         if gone:
             assert got[d].text == "\n".join(x for i, x in enumerate(ls) if i not in gone)
     assert any(r.line_stats.n_removed for r in got.values())
 
 
+def test_long_lines_of_short_texts(spark):
+    long, short = "a passage " * 11, "a passage"
+    texts = [long, f"{long}\n{short}", f"{short}\n{short}\n{long}x", f"{short}\nother\n{long}x\n{long}", None, ""]
+    got = line_dedup.dedup(spark.createDataFrame([(i, t, "en", "a", 0) for i, t in enumerate(texts)], SCHEMA)).orderBy("doc_id").collect()
+    assert [(r.line_stats.n_lines, r.line_stats.n_removed, r.line_stats.n_runs) for r in got] == [(1, 0, 0), (2, 1, 1), (3, 0, 0), (4, 2, 1), (0, 0, 0), (0, 0, 0)]
+    assert [r.text for r in got][1:4] == [short, texts[2], f"{short}\nother"]
+
+
 def test_licenses(spark):
     mit = licenses.TEMPLATES["MIT"]
     d = spark.createDataFrame([(1, "Foo bar baz.\nReleased under the MIT License.\nMore text here."), (2, mit.replace(" sublicense,", "")), (3, "MIT License"), (4, None)], "doc_id long, text string")
