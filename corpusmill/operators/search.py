@@ -15,7 +15,11 @@ from pyspark.sql import functions as F
 from corpusmill.functions import text as T
 from corpusmill.functions import vectors as V
 
-#: Queries that are sent to the tasks at once: at most this many vectors reach the driver together.
+#: Queries that may reach the tasks through the driver: so many vectors are fetched and sent with the code.
+FEW_QUERIES = 4096
+#: Queries and items that one cell of a larger search holds, about.
+CELL_QUERIES, CELL_ITEMS = 16_384, 262_144
+#: Queries that are multiplied with a batch of items at once.
 QUERY_BLOCK = 1024
 
 
@@ -28,32 +32,72 @@ def best(hits: DataFrame, k: int, item: str = "id") -> DataFrame:
 def vector_topk(queries: DataFrame, items: DataFrame, k: int, item: str = "id") -> DataFrame:
     """queries (query_id, q_vector), items (item, vector), unit vectors -> (query_id, item, score, rank).
 
-    Blocks of queries are multiplied with batches of items; each batch keeps what may be in the top k.
+    Blocks of queries are multiplied with batches of items; each batch keeps what may be in the top k. Up to
+    FEW_QUERIES queries go with the code and items stay where they are; more are dealt with the items over a grid
+    of cells, with the same result. Null and empty vectors have no hits.
     """
+    asked = queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("q_vector").cast("array<double>").alias("q")).where("size(q) > 0")
+    given = items.select(item, F.col("vector").cast("array<double>").alias("vector")).where("size(vector) > 0")
+    few = asked.limit(FEW_QUERIES + 1).collect()
+    if len(few) <= FEW_QUERIES:
+        return best(_topk_of_few([r[0] for r in few], np.array([r[1] for r in few], float), given, k, item), k, item)
+    return best(_topk_by_cells(asked, given, k, item), k, item)
+
+
+def _near(ids: np.ndarray, matrix: np.ndarray, batch_ids: pa.Array, vectors: pa.Array, k: int, item: str) -> Iterator[pa.RecordBatch]:
+    """What of a batch of items may be in the top k of each query."""
+    v = vectors.flatten().to_numpy(zero_copy_only=False).reshape(len(vectors), -1)
+    n = min(k, len(v))
+    for a in range(0, len(ids), QUERY_BLOCK):
+        scores = np.round(matrix[a : a + QUERY_BLOCK] @ v.T, 6) + 0.0
+        least = np.partition(scores, len(v) - n, axis=1)[:, -n]
+        q, i = np.nonzero(scores >= least[:, None])
+        yield pa.RecordBatch.from_arrays([pa.array(ids[a + q]), batch_ids.take(pa.array(i)), pa.array(scores[q, i])], names=["query_id", item, "score"])
+
+
+def _topk_of_few(ids: list, matrix: np.ndarray, items: DataFrame, k: int, item: str) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows and ids:
+                yield from _near(np.array(ids, np.int64), matrix, batch.column(0), batch.column(1), k, item)
+
+    return items.mapInArrow(run, f"query_id long, {item} {dict(items.dtypes)[item]}, score double")
+
+
+def _topk_by_cells(queries: DataFrame, items: DataFrame, k: int, item: str) -> DataFrame:
+    """Queries and items hashed to the rows and columns of a grid; each cell reads its queries first, then streams its items."""
     kind = dict(items.dtypes)[item]
-    found = None
-    rows = iter(queries.select("query_id", "q_vector").toLocalIterator())
-    while block := [r for _, r in zip(range(QUERY_BLOCK), rows)]:
-        one = _block_topk([r[0] for r in block], np.array([r[1] for r in block], float), items.select(item, "vector"), k, item, kind)
-        found = one if found is None else found.union(one)
-    if found is None:
-        found = items.sparkSession.createDataFrame([], f"query_id long, {item} {kind}, score double")
-    return best(found, k, item)
+    rows, columns = -(-queries.count() // CELL_QUERIES), max(1, -(-items.count() // CELL_ITEMS))
+
+    def cell(row, column):
+        return (row * columns + column).cast("long").alias("cell")
+
+    def every(n: int):
+        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
 
+    left = queries.withColumn("column", every(columns)).select(cell(F.pmod(F.xxhash64("query_id"), F.lit(rows)), F.col("column")), F.lit(False).alias("is_item"), "query_id", F.lit(None).cast(kind).alias(item), F.col("q").alias("vector"))
+    right = items.withColumn("row", every(rows)).select(cell(F.col("row"), F.pmod(F.xxhash64(item), F.lit(columns))), F.lit(True).alias("is_item"), F.lit(None).cast("long").alias("query_id"), item, "vector")
 
-def _block_topk(ids: list, matrix: np.ndarray, items: DataFrame, k: int, item: str, kind: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, ids, parts = None, [], []
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            v = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
-            scores = np.round(matrix @ v.T, 6) + 0.0
-            n = min(k, batch.num_rows)
-            least = np.partition(scores, batch.num_rows - n, axis=1)[:, -n]
-            q, i = np.nonzero(scores >= least[:, None])
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(ids)[q]), batch.column(0).take(pa.array(i)), pa.array(scores[q, i])], names=["query_id", item, "score"])
-
-    return items.mapInArrow(run, f"query_id long, {item} {kind}, score double")
+            at, items_from = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False)
+            cuts = np.flatnonzero((at[1:] != at[:-1]) | (items_from[1:] != items_from[:-1])) + 1
+            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(at)]):
+                if a == b:
+                    continue
+                if at[a] != now:
+                    now, ids, parts = at[a], [], []
+                part = batch.slice(a, b - a)
+                if not items_from[a]:
+                    ids.append(part.column(2).to_numpy(zero_copy_only=False))
+                    parts.append(part.column(4).flatten().to_numpy(zero_copy_only=False).reshape(len(part), -1))
+                elif ids:
+                    ids, parts = [np.concatenate(ids)], [np.concatenate(parts)]
+                    yield from _near(ids[0], parts[0], part.column(3), part.column(4), k, item)
+
+    dealt = left.union(right).repartition(rows * columns, "cell").sortWithinPartitions("cell", "is_item")
+    return dealt.mapInArrow(run, f"query_id long, {item} {kind}, score double")
 
 
 def filtered_topk(queries: DataFrame, items: DataFrame, allowed: DataFrame, k: int) -> DataFrame:

@@ -167,6 +167,22 @@ def test_scores(spark):
     assert abs(items.select(V.norm(F.col("vector")).alias("n")).first().n - 1) < 1e-9
 
 
+def test_grid_of_queries_and_items_gives_the_same_hits(spark, monkeypatch):
+    def unit(c):
+        return V.normalized(F.transform(F.sequence(F.lit(1), F.lit(4)), lambda i: (F.xxhash64(c, i) % 3).cast("double")))
+
+    q = spark.range(70).select(F.col("id").alias("query_id"), unit(F.col("id")).alias("q_vector"))
+    items = spark.range(300).withColumnRenamed("id", "n").select(F.concat(F.lit("i"), "n").alias("id"), unit(-F.col("n")).alias("vector")).union(spark.createDataFrame([("none", None), ("empty", [])], "id string, vector array<double>"))
+    want = sorted(map(tuple, S.vector_topk(q, items, 7).collect()))
+    assert len(want) == 70 * 7
+    for name, value in {"FEW_QUERIES": 10, "CELL_QUERIES": 16, "CELL_ITEMS": 64, "QUERY_BLOCK": 5}.items():
+        monkeypatch.setattr(S, name, value)
+    assert sorted(map(tuple, S.vector_topk(q, items, 7).collect())) == want
+    assert S.vector_topk(q, items.limit(0), 7).count() == 0
+    monkeypatch.undo()
+    assert S.vector_topk(q.limit(0), items, 7).count() == 0
+
+
 def test_predicates(spark):
     df = spark.createDataFrame([("a", 1), ("b", 5), (None, 5)], "t string, n int")
     assert df.where(R.predicate({"$or": [{"t": "a"}, {"$and": [{"t": {"$eq": "b"}}, {"n": {"$gte": 2, "$lte": 5}}]}]})).count() == 2
