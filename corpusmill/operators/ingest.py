@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import StorageLevel
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -46,17 +48,27 @@ def json_docs(parents: DataFrame, chunk_rows: DataFrame) -> DataFrame:
     return parents.join(nested, "doc_id").select(F.struct("filename", "file_path", "total_pages", "language", "total_chunks").alias("parent_document"), F.transform("cs", lambda x: x["c"]).alias("document_chunks"))
 
 
-def read_json_docs(spark: SparkSession, path: str) -> DataFrame:
-    """A row a chunk with its parent's columns; unreadable files and files without chunks are skipped."""
-    raw = spark.read.schema(DOCUMENT_SCHEMA).option("multiLine", True).option("recursiveFileLookup", True).option("mode", "PERMISSIVE").json(path)
+def read_json_docs(spark: SparkSession, path: str, one_a_file: bool = True) -> DataFrame:
+    """A row a chunk with its parent's columns; unreadable documents and those without chunks are skipped.
+
+    Each file under path is one document, or, without one_a_file, each of its lines is.
+    """
+    raw = spark.read.schema(DOCUMENT_SCHEMA).option("multiLine", one_a_file).option("recursiveFileLookup", True).option("mode", "PERMISSIVE").json(path)
     good = raw.where("_corrupt_record IS NULL AND document_chunks IS NOT NULL")
     return good.select("parent_document.filename", "parent_document.file_path", "parent_document.language", F.posexplode("document_chunks").alias("position", "c")).select("filename", "file_path", "language", "position", "c.*")
 
 
+def read_queries(spark: SparkSession, path: str) -> DataFrame:
+    """Text files of a query a line -> (query_id, query); blank lines are no queries. Ids ascend within a file, with gaps."""
+    lines = spark.read.text(path).withColumn("query_id", F.monotonically_increasing_id())
+    return lines.select("query_id", T.strip(F.col("value")).alias("query")).where("query <> ''")
+
+
 def ingest_dedup(new: DataFrame, stored: DataFrame) -> DataFrame:
     """New chunks whose hash is not stored; within the batch only the first file that has a hash keeps it (all its rows). Empty hashes stay."""
-    first = F.min("doc_id").over(Window.partitionBy("text_hash"))
-    hashed = new.where("text_hash <> ''").join(stored.select("text_hash").distinct(), "text_hash", "left_anti").withColumn("first_file", first).where("doc_id = first_file").drop("first_file")
+    # a hash that many files share is met by its file, so that its rows are spread
+    first = new.groupBy("text_hash").agg(F.min("doc_id").alias("doc_id"))
+    hashed = new.where("text_hash <> ''").join(first, ["text_hash", "doc_id"], "left_semi").join(stored.select("text_hash").distinct(), "text_hash", "left_anti").select(*new.columns)
     return hashed.unionByName(new.where("text_hash IS NULL OR text_hash = ''"))
 
 
@@ -144,6 +156,78 @@ def write_store(rows: DataFrame, path: str, mode: str = "append") -> None:
     rows.write.mode(mode).partitionBy("language").parquet(path)
 
 
+def append_vectors(rows: DataFrame, path: str, mode: str = "append") -> int:
+    """Rows with a vector are written to the store, by language; returns how many were skipped for having none.
+
+    Rows of unlike dimensions, or of another than the store's, are an error and nothing is written. mode
+    "overwrite" is the forced rebuild: what the store holds goes and sets no dimension.
+    """
+    rows = rows.persist(StorageLevel.DISK_ONLY)  # checked and written from one computation; a lost part is computed again
+    try:
+        return _checked_append(rows, path, mode)
+    finally:
+        rows.unpersist()
+
+
+def _checked_append(rows: DataFrame, path: str, mode: str) -> int:
+    one = vector_dim_check(rows).first()
+    if one.dimensions > 1:
+        raise ValueError(f"vectors of {one.dimensions} dimensions")
+    if one.dimensions:
+        old = None if mode == "overwrite" else saved(rows.sparkSession, path, {"vector": "array<double>"})
+        sizes = (storable(old).limit(1) if old else rows.limit(0)).select(F.size("vector").alias("d")).collect()
+        if sizes and storable(rows).where(F.size("vector") != sizes[0].d).limit(1).count():
+            raise ValueError(f"the store's vectors have {sizes[0].d} dimensions")
+        write_store(storable(rows), path, mode)
+    return one.empty or 0
+
+
+def saved(spark: SparkSession, path: str, columns: dict[str, str], keys: tuple[str, ...] = ()) -> DataFrame | None:
+    """The Parquet table at path; None if there is none, one of the columns is missing or of another type, or a key is null."""
+    try:
+        found = spark.read.parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
+    types = dict(found.dtypes)
+    if any(types.get(c) != t for c, t in columns.items()):
+        return None
+    blank = F.lit(False)
+    for key in keys:
+        blank |= F.col(key).isNull()
+    return None if keys and found.where(blank).limit(1).count() else found
+
+
+def saved_or_built(spark: SparkSession, path: str, built: DataFrame, keys: tuple[str, ...] = (), rebuild: bool = False) -> DataFrame:
+    """The table at path if it has built's columns and no null keys; else, or for a forced rebuild, built, written there first."""
+    found = None if rebuild else saved(spark, path, dict(built.dtypes), keys)
+    if found is None:
+        built.write.mode("overwrite").parquet(path)
+        found = spark.read.parquet(path)
+    return found.select(*built.columns)
+
+
+def build_store(spark: SparkSession, folder: str, documents: DataFrame | None = None, mode: str = "full", rebuild: bool = False) -> DataFrame | None:
+    """Nested documents to JSON ("json"), JSON chunks to stored vectors ("vectors"), or both ("full"): the store, None after "json".
+
+    Chunks whose hash the store has are not added again, unless it is rebuilt.
+    """
+    if mode not in ("json", "vectors", "full"):
+        raise ValueError(f"no mode {mode}")
+    docs, store = f"{folder}/json", f"{folder}/store"
+    if mode != "vectors":
+        documents.write.mode("overwrite").json(docs)
+    if mode == "json":
+        return None
+    new = read_json_docs(spark, docs, one_a_file=False)
+    old = None if rebuild else saved(spark, store, {"text_hash": "string"})
+    if old is not None:
+        new = new.join(old.select("text_hash").distinct(), "text_hash", "left_anti")
+    append_vectors(embed_distinct(new), store, "overwrite" if rebuild else "append")
+    return saved(spark, store, {"vector": "array<double>"})
+
+
 def section_index(chunk_rows: DataFrame) -> DataFrame:
     """(filename, section_title): its pages and its tokens, sorted; blank titles go, page 0 is no page."""
     t = chunk_rows.withColumn("section_title", F.col("section_title")).where(T.strip(F.col("section_title")) != "")

@@ -67,6 +67,11 @@ def clean_blocks_ja(blocks: DataFrame) -> DataFrame:
     return blocks.withColumn("text", text).where(~number & (F.col("y1") - F.col("y0") <= 200))
 
 
+def first_pages(rows: DataFrame, most: int | None) -> DataFrame:
+    """What stands on each document's first `most` pages; None is no limit."""
+    return rows if most is None else rows.where(F.col("page_number") <= most)
+
+
 def page_text(blocks: DataFrame, gap: float = 10.0) -> DataFrame:
     """Blocks by y0, a line break where the gap to the block before (blank ones count) exceeds `gap`, else a space."""
     order = Window.partitionBy(*PAGE).orderBy("y0", "block_no")

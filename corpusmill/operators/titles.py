@@ -43,6 +43,11 @@ def title_candidates(blocks: DataFrame) -> DataFrame:
     return seen.where((text != "") & ~text.rlike(PUNCTUATION_CLASS) & named & length_ok(text, F.col("doc_language"))).select("doc_id", "page_number", "block_no", text.alias("title"), "page_pos", "last_page")
 
 
+def punctuated(found: DataFrame) -> DataFrame:
+    """The titles that hold punctuation: none, as a last check."""
+    return found.where(F.col("title").rlike(PUNCTUATION_CLASS))
+
+
 def titles(candidates: DataFrame) -> DataFrame:
     """(doc_id, seq, title, start_page, last_page): the first candidate of each page if one is on the first pages;
     else all candidates, only repeated texts (once each) if any repeats."""

@@ -119,6 +119,12 @@ def page_text(s, d):
     return page_texts(s, d)
 
 
+@query("SELECT * FROM page_texts WHERE page_number <= 2")
+def page_text_limited(s, d):
+    """The first two pages of each document."""
+    return L.page_text(L.first_pages(X.blocks(s, d), 2))
+
+
 # Titles
 
 
@@ -132,6 +138,12 @@ def titles(s, d):
     return TI.titles(TI.title_candidates(X.blocks(s, d))).select("doc_id", "seq", "title", "start_page")
 
 
+@query("SELECT doc_id, seq, title, start_page FROM found_titles WHERE false")
+def titles_check(s, d):
+    """Titles that the last check would drop: none."""
+    return TI.punctuated(TI.titles(TI.title_candidates(X.blocks(s, d)))).select("doc_id", "seq", "title", "start_page")
+
+
 @query("SELECT * FROM ranges")
 def section_ranges(s, d):
     return TI.section_ranges(TI.titles(TI.title_candidates(X.blocks(s, d))))
@@ -194,7 +206,7 @@ def json_chunks(s, d):
     path = streams.shared_folder(s)
     table = chunk_table(s, d)
     I.json_docs(C.parent_documents(X.blocks(s, d), table, X.files(s, d)), table).write.json(path)
-    return s.read.schema(I.DOCUMENT_SCHEMA).json(path).where("document_chunks IS NOT NULL").select("parent_document.language", F.explode("document_chunks").alias("c")).select("c.id", "c.text", "c.section_title", "language")
+    return I.read_json_docs(s, path, one_a_file=False).select("id", "text", "section_title", "language")
 
 
 @query("SELECT filename, total_pages, total_chunks, n FROM parents p JOIN (SELECT doc_id, count(*) AS n FROM chunks GROUP BY doc_id) c ON p.doc_id = c.doc_id")
@@ -210,6 +222,17 @@ def store_roundtrip(s, d):
     return s.read.parquet(path).groupBy("language").agg(F.count("*").alias("n"), F.count_distinct("text_hash").alias("hashes"))
 
 
+@query("SELECT language, count(*) AS n, 64 AS dimensions, sum(file_no) AS numbers FROM files WHERE file_no % 7 <> 0 GROUP BY language")
+def store_vectors(s, d):
+    """File names with vectors, appended in two batches; every seventh vector is empty."""
+    path = streams.shared_folder(s)
+    files = X.files(s, d)
+    rows = I.file_vectors(files).join(files.select("file_no", "language"), "file_no").withColumn("vector", F.when(F.col("file_no") % 7 != 0, F.col("vector")).otherwise(F.array().cast("array<double>")))
+    for odd in (0, 1):
+        I.append_vectors(rows.where(F.col("file_no") % 2 == odd), path)
+    return s.read.parquet(path).groupBy("language").agg(F.count("*").alias("n"), F.max(F.size("vector")).alias("dimensions"), F.sum("file_no").alias("numbers"))
+
+
 @query("SELECT id, translate(substr(text, 1, 200), chr(10), ' ') AS preview FROM chunks ORDER BY id LIMIT 20")
 def store_preview(s, d):
     return I.store_preview(chunk_table(s, d))
@@ -293,6 +316,21 @@ def section_vectors(s, d):
     return I.section_vectors(index_table(s, d)).select("filename", "section_no", "section_title", F.round(F.aggregate("vector", F.lit(0.0), lambda acc, x: acc + F.abs(x)), 6).alias("weight"))
 
 
+@query("SELECT * FROM section_index")
+def section_index_saved(s, d):
+    """The index written, found valid and read again."""
+    path = streams.shared_folder(s)
+    I.saved_or_built(s, path, index_table(s, d), ("filename", "section_title"))
+    return I.saved_or_built(s, path, index_table(s, d), ("filename", "section_title"))
+
+
+@query("SELECT filename, section_no, section_title, round(list_sum(list_transform(vector, lambda x: abs(x))), 6) AS weight FROM section_vectors")
+def section_vectors_saved(s, d):
+    """The titles' vectors, read from where they were written."""
+    found = I.saved_or_built(s, streams.shared_folder(s), I.section_vectors(index_table(s, d)), ("filename", "section_title"))
+    return found.select("filename", "section_no", "section_title", F.round(F.aggregate("vector", F.lit(0.0), lambda acc, x: acc + F.abs(x)), 6).alias("weight"))
+
+
 # Matching
 
 
@@ -584,7 +622,8 @@ def _stream(s: SparkSession, d: str, name: str) -> DataFrame:
     return s.readStream.schema(schema).parquet(f"{d}/{name}.parquet*")
 
 
-@query("SELECT doc_id, chunk_index, text, substr(md5(text), 1, 16) AS text_hash FROM doc_chunks")
+@query("""SELECT doc_id, chunk_index, text, text_hash
+FROM (SELECT doc_id, chunk_index, text, substr(md5(text), 1, 16) AS text_hash, min(doc_id) OVER (PARTITION BY md5(text)) AS first_doc FROM doc_chunks) WHERE doc_id = first_doc""")
 def stream_ingest(s, d):
     folder = streams.shared_folder(s)
     streams.stream_ingest(_stream(s, d, "documents"), f"{folder}/store", f"{folder}/checkpoint")

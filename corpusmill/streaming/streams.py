@@ -3,25 +3,22 @@
 from __future__ import annotations
 
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.operators.chunks import chunk_text, text_hash
+from corpusmill.operators.ingest import ingest_dedup, saved
 
 
 def stream_ingest(documents: DataFrame, store: str, checkpoint: str) -> None:
-    """Streamed documents (doc_id, text): each batch is chunked, what the store has is dropped, the rest appended. Stops when all is read."""
+    """Streamed documents (doc_id, text): each batch is chunked, what the store or an earlier document of the batch has is dropped, the rest appended. Stops when all is read."""
 
     def add(batch: DataFrame, _: int) -> None:
-        new = chunk_text(batch.select("doc_id", "text")).withColumn("text_hash", text_hash(F.col("text"))).select("doc_id", "chunk_index", "text", "text_hash")
-        spark = batch.sparkSession
-        try:
-            stored = spark.read.schema("doc_id long, chunk_index int, text string, text_hash string").parquet(store).select("text_hash").distinct()
-            new = new.join(stored, "text_hash", "left_anti").select("doc_id", "chunk_index", "text", "text_hash")
-        except Exception as error:
-            if "PATH_NOT_FOUND" not in str(error):
-                raise
-        new.write.mode("append").parquet(store)
+        new = batch_ingest(batch).persist(StorageLevel.DISK_ONLY)
+        stored = saved(batch.sparkSession, store, {"text_hash": "string"})
+        ingest_dedup(new, new.limit(0) if stored is None else stored).write.mode("append").parquet(store)
+        new.unpersist()
 
     documents.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 

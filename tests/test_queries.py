@@ -40,7 +40,7 @@ def duck():
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
-@pytest.mark.parametrize("name", ["merge_paragraphs", "words_to_lines", "page_text", "titles", "page_sections", "chunk_text", "chunks", "embed_text", "section_index", "candidate_filter", "vector_topk", "search_keyword", "smart_retrieval", "citations", "dialog_context", "stream_ingest", "stream_dialogs", "scalar_helpers"])
+@pytest.mark.parametrize("name", ["merge_paragraphs", "words_to_lines", "page_text", "titles", "page_sections", "chunk_text", "chunks", "embed_text", "section_index", "candidate_filter", "vector_topk", "search_keyword", "smart_retrieval", "citations", "dialog_context", "stream_ingest", "stream_dialogs", "scalar_helpers", "json_chunks", "ingest_dedup", "store_vectors", "section_index_saved", "section_vectors_saved", "page_text_limited", "titles_check"])
 def test_query_equals_sql(spark, duck, name):
     df = __spark_entry__.queries()[name](spark, SF)
     result = duck.execute(__spark_entry__.oracle_sql()[name])
@@ -183,6 +183,90 @@ def test_grid_of_queries_and_items_gives_the_same_hits(spark, monkeypatch):
     assert S.vector_topk(q.limit(0), items, 7).count() == 0
 
 
+VECTOR_ROWS = "id string, language string, vector array<double>"
+
+
+def test_store_takes_vectors_of_one_dimension(spark, tmp_path):
+    path = f"{tmp_path}/store"
+    rows = spark.createDataFrame([("a", "en", [1.0, 0.0]), ("b", "en", []), ("c", "fr", None)], VECTOR_ROWS)
+    assert I.append_vectors(rows, path) == 2
+    three = spark.createDataFrame([("d", "en", [1.0, 0.0, 0.0])], VECTOR_ROWS)
+    for bad in (three, three.union(rows)):
+        with pytest.raises(ValueError):
+            I.append_vectors(bad, path)
+    assert I.append_vectors(spark.createDataFrame([], VECTOR_ROWS), path) == 0
+    assert I.append_vectors(spark.createDataFrame([("e", "fr", [0.0, 1.0])], VECTOR_ROWS), path) == 0
+    assert sorted(r.id for r in spark.read.parquet(path).collect()) == ["a", "e"]
+    assert I.append_vectors(three, path, "overwrite") == 0
+    assert [r.id for r in spark.read.parquet(path).collect()] == ["d"]
+
+
+def test_saved_tables_are_valid_or_built_again(spark, tmp_path):
+    path, built = f"{tmp_path}/t", spark.createDataFrame([("a", 1)], "name string, n int")
+    assert I.saved(spark, path, {"name": "string"}) is None
+    assert I.saved_or_built(spark, path, built, ("name",)).collect() == built.collect()
+    other = spark.createDataFrame([("b", 2)], "name string, n int")
+    assert I.saved_or_built(spark, path, other, ("name",)).first().name == "a"
+    assert I.saved_or_built(spark, path, other, ("name",), rebuild=True).first().name == "b"
+    assert I.saved(spark, path, {"n": "bigint"}) is None
+    spark.createDataFrame([(None, 1)], "name string, n int").write.mode("overwrite").parquet(path)
+    assert I.saved(spark, path, {"name": "string"}, ("name",)) is None
+    assert I.saved_or_built(spark, path, built, ("name",)).first().name == "a"
+
+
+def test_json_documents_that_cannot_be_read_are_skipped(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    parent = '{"parent_document": {"filename": "f.pdf", "language": "English"}'
+    (tmp_path / "a.json").write_text(parent + ',\n "document_chunks": [{"id": "1", "text": "one", "text_hash": "h"},\n {"id": "2", "text": "two"}]}')
+    (tmp_path / "in" / "b.json").write_text(parent + "}")
+    (tmp_path / "in" / "c.json").write_text("{not json")
+    found = I.read_json_docs(spark, str(tmp_path)).collect()
+    assert sorted((r.filename, r.position, r.id, r.text) for r in found) == [("f.pdf", 0, "1", "one"), ("f.pdf", 1, "2", "two")]
+
+
+def test_build_modes(spark, tmp_path):
+    def docs(*texts):
+        rows = [(n, "f.pdf", f"data/{n}", 1, "English", 1, [(str(n), t, 1, "", 0, 1, t)]) for n, t in enumerate(texts)]
+        flat = spark.createDataFrame(rows, "n int, filename string, file_path string, total_pages int, language string, total_chunks long, document_chunks array<struct<id:string,text:string,page_number:int,section_title:string,chunk_index:int,total_chunks_in_page:int,text_hash:string>>")
+        return flat.select(F.struct("filename", "file_path", "total_pages", "language", "total_chunks").alias("parent_document"), "document_chunks")
+
+    folder = str(tmp_path)
+    assert I.build_store(spark, folder, docs("x", "y"), "json") is None
+    assert sorted(r.text for r in I.build_store(spark, folder, mode="vectors").collect()) == ["x", "y"]
+    assert sorted(r.text for r in I.build_store(spark, folder, docs("y", "z")).collect()) == ["x", "y", "z"]
+    assert sorted(r.text for r in I.build_store(spark, folder, docs("y"), rebuild=True).collect()) == ["y"]
+    with pytest.raises(ValueError):
+        I.build_store(spark, folder, mode="other")
+
+
+def test_files_and_query_files(spark, tmp_path):
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "sub" / "a.pdf").write_bytes(b"12345")
+    (tmp_path / "b.txt").write_text("first question\n\n  second 问题 \n")
+    assert [(r.filename, r.bytes) for r in I.list_files(spark, str(tmp_path)).collect()] == [("a.pdf", 5)]
+    assert [r["query"] for r in I.read_queries(spark, f"{tmp_path}/b.txt").orderBy("query_id").collect()] == ["first question", "second 问题"]
+
+
+def test_chapters_replace_a_page_and_checks_find_punctuation(spark):
+    pages = spark.createDataFrame([(1, 1, "page"), (1, 2, "kept")], "doc_id long, page_number int, text string")
+    chapters = spark.createDataFrame([(1, 1, 2, "", "Title"), (1, 1, 1, "body", "T")], "doc_id long, page_number int, chapter_no int, content string, title string")
+    assert sorted(map(tuple, L.with_chapters(pages, chapters).collect())) == [(1, 1, "body\nTitle"), (1, 2, "kept")]
+    assert L.first_pages(pages, 1).count() == 1 and L.first_pages(pages, None).count() == 2
+    assert [r.title for r in TI.punctuated(spark.createDataFrame([("a, b",), ("a b",)], "title string")).collect()] == ["a, b"]
+
+
+def test_stream_ingest_over_batches_keeps_the_first_of_a_hash(spark, tmp_path):
+    schema = "doc_id long, text string"
+    long, other = "The same sentence stands here again and again. " * 3, "Another text that nobody else has written down. " * 3
+    for n, rows in enumerate([[(1, long), (2, long)], [(3, long), (4, other)]]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    streams.stream_ingest(source, f"{tmp_path}/store", f"{tmp_path}/state")
+    found = spark.read.parquet(f"{tmp_path}/store").groupBy("text_hash").agg(F.count_distinct("doc_id").alias("docs")).collect()
+    assert found and all(r.docs == 1 for r in found)
+    assert {r.doc_id for r in spark.read.parquet(f"{tmp_path}/store").collect()} == {1, 4}
+
+
 def test_predicates(spark):
     df = spark.createDataFrame([("a", 1), ("b", 5), (None, 5)], "t string, n int")
     assert df.where(R.predicate({"$or": [{"t": "a"}, {"$and": [{"t": {"$eq": "b"}}, {"n": {"$gte": 2, "$lte": 5}}]}]})).count() == 2
