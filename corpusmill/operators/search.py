@@ -8,6 +8,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -122,6 +123,21 @@ def rerank(hits: DataFrame, k: int, score: Column | None = None) -> DataFrame:
     return best(hits.drop("rank").withColumn("score", F.round(s, 6)), k)
 
 
+def predict_scores(hits: DataFrame, make_predict_fn, batch_size: int = 32, name: str = "model_score") -> DataFrame:
+    """hits with query and text -> the same with a pair model's scores, in batches; the model is loaded once a Python worker."""
+
+    @F.pandas_udf("double")
+    def score(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        predict = make_predict_fn()
+        for q, t in pairs:
+            out: list[float] = []
+            for a in range(0, len(q), batch_size):
+                out += map(float, predict(q.iloc[a : a + batch_size].tolist(), t.iloc[a : a + batch_size].tolist()))
+            yield pd.Series(out, dtype="float64")
+
+    return hits.withColumn(name, score("query", "text"))
+
+
 def blend(hits: DataFrame, k: int, only_if_over: bool = False, score: Column | None = None) -> DataFrame:
     """0.3 of the vector's score and 0.7 of the reranker's; queries with at most k hits stay as they are if only_if_over."""
     s = F.round(lexical(F.col("query"), F.col("text")) if score is None else score, 6)
@@ -222,8 +238,11 @@ def first_nonempty(*hits: DataFrame) -> DataFrame:
     return union.withColumn("first", F.min("plan").over(Window.partitionBy("query_id"))).where("plan = first").drop("first")
 
 
-def vector_topk_lsh(queries: DataFrame, items: DataFrame, k: int, bucket: float = 0.5, tables: int = 8, most: float = 1.2) -> DataFrame:
-    """Approximate: random projections put near unit vectors in common buckets; distance d gives cosine 1 - d^2 / 2."""
+def vector_topk_lsh(queries: DataFrame, items: DataFrame, k: int, bucket: float = 0.5, tables: int = 8, most: float = 2.1) -> DataFrame:
+    """Approximate: random projections put near unit vectors in common buckets; distance d gives cosine 1 - d^2 / 2.
+
+    Unit vectors are at most 2 apart, so by default no hit is left out for its distance.
+    """
     from pyspark.ml.feature import BucketedRandomProjectionLSH
     from pyspark.ml.functions import array_to_vector
 

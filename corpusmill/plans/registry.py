@@ -454,15 +454,15 @@ def rerank_lexical(s, d):
     return S.rerank(hits30(s, d), 10).select(*HIT)
 
 
-@query()
+@query("SELECT query_id, id, score, rank FROM (" + ranked("SELECT query_id, id, round(len(list_intersect(list_distinct(string_split(query, '')), list_distinct(string_split(text, '')))) / len(list_distinct(string_split(query, ''))), 6) AS score FROM (" + HITS30 + ")", 10) + ")")
 def rerank_model(s, d):
-    """A model's scores on (query, text) pairs, in Arrow batches; a character-overlap scorer stands in for one."""
+    """A batch scorer's scores on (query, text) pairs: here the share of the query's characters that the text has."""
 
-    @F.pandas_udf("double")
-    def model(q, t):
-        return (q.str.len() / (t.str.len() + 1)).clip(0, 1)
+    def load():
+        return lambda queries, texts: [len(set(q) & set(t)) / len(set(q)) for q, t in zip(queries, texts)]
 
-    return S.rerank(hits30(s, d), 10, model("query", "text")).select(*HIT)
+    scored = S.predict_scores(hits30(s, d), load)
+    return S.rerank(scored.drop("score"), 10, F.col("model_score")).select(*HIT)
 
 
 @query("SELECT query_id, id, score, rank FROM (" + blended(HITS30, 10) + ")")
