@@ -222,7 +222,7 @@ def store_roundtrip(s, d):
     return s.read.parquet(path).groupBy("language").agg(F.count("*").alias("n"), F.count_distinct("text_hash").alias("hashes"))
 
 
-@query("SELECT language, count(*) AS n, 64 AS dimensions, sum(file_no) AS numbers FROM files WHERE file_no % 7 <> 0 GROUP BY language")
+@query("SELECT language, count(*) AS n, 64 AS dimensions, CAST(sum(file_no) AS BIGINT) AS numbers FROM files WHERE file_no % 7 <> 0 GROUP BY language")
 def store_vectors(s, d):
     """File names with vectors, appended in two batches; every seventh vector is empty."""
     path = streams.shared_folder(s)
