@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpusmill.llm import licenses, line_dedup, mixing, near_dedup, packing, quality, search, substring_dedup, suffix_dedup, toxicity
+from corpusmill.llm import licenses, line_dedup, merkle, mixing, near_dedup, packing, quality, search, substring_dedup, suffix_dedup, toxicity, url_rules, whitening
 
 QUERIES = {
     "op1_search": search.op1_search,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_mix_sources": mixing.op8_mix_sources,
     "op9_pack": packing.op9_pack,
     "op10_quality_rules": quality.op10_quality_rules,
+    "op11_url_filter": url_rules.op11_url_filter,
+    "op12_whitening": whitening.op12_whitening,
+    "op13_merkle_manifest": merkle.op13_merkle_manifest,
 }
 
 ORACLE_SQL = {
@@ -22,4 +25,6 @@ ORACLE_SQL = {
     "op2_line_dedup": line_dedup.OP2_SQL,
     "op3_license_scan": licenses.OP3_SQL,
     "op8_mix_sources": mixing.OP8_SQL,
+    "op11_url_filter": url_rules.OP11_SQL,
+    "op13_merkle_manifest": merkle.OP13_SQL,
 }
