@@ -2,31 +2,50 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 DIMENSIONS = 64
 
 
-def hash_embedding(text: Column, dimensions: int = DIMENSIONS) -> Column:
-    """Signed token counts by hash bucket, not normalised: an embedder that needs no model."""
-    found = F.regexp_extract_all(F.lower(text), F.lit(r"([a-z0-9']+)"))
-    h = F.transform(found, lambda t: F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("bigint"))
-    if not 0 < dimensions <= 90:
-        raise ValueError("a bucket and its sign are one of 180 characters")
+#: Tokens whose bucket a Python worker remembers.
+REMEMBERED = 1 << 18
 
-    def letter(bucket, sign: int):
-        return bucket + (33 if sign > 0 else 161)
 
-    # one character a token: its bucket and sign; a bucket's count is what its removal shortens the text by
-    codes = F.array_join(F.transform(h, lambda x: F.chr(F.when(F.pmod(F.floor(x / dimensions), F.lit(2)) == 0, letter(F.pmod(x, F.lit(dimensions)), 1)).otherwise(letter(F.pmod(x, F.lit(dimensions)), -1)))), "")
+def _token_code(token: str, known: dict[str, int]) -> int:
+    code = known.get(token)
+    if code is None:
+        if len(known) >= REMEMBERED:
+            known.clear()
+        code = known[token] = int(hashlib.md5(token.encode()).hexdigest()[:8], 16)
+    return code
 
-    def times(c: Column, code: int) -> Column:
-        return F.length(c) - F.length(F.replace(c, F.lit(chr(code)), F.lit("")))
 
-    # bind the codes once: a lambda's argument is computed a single time
-    counts = F.transform(F.array(codes), lambda c: F.array(*[(times(c, letter(b, 1)) - times(c, letter(b, -1))).cast("double") for b in range(dimensions)]))
-    return F.when(text.isNotNull(), F.get(counts, F.lit(0)))
+def hash_embedding(text: Column, dimensions: int = DIMENSIONS) -> Column:
+    """Signed token counts by hash bucket, not normalised: an embedder that needs no model.
+
+    A batch of texts is one array of token codes, counted at once; null gives null.
+    """
+
+    @F.pandas_udf("array<double>")
+    def counts(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        token, known = re.compile("[a-z0-9']+"), {}
+        for texts in it:
+            found = [token.findall(t) if t is not None else [] for t in texts]
+            codes = np.fromiter((_token_code(t, known) for ts in found for t in ts), np.int64)
+            rows = np.repeat(np.arange(len(found)), [len(ts) for ts in found])
+            signs = 1.0 - 2.0 * (codes // dimensions % 2)
+            flat = np.bincount(rows * dimensions + codes % dimensions, weights=signs, minlength=len(found) * dimensions)
+            table = flat.reshape(len(found), dimensions)
+            yield pd.Series([None if t is None else v for t, v in zip(texts, table)], dtype=object)
+
+    return counts(F.lower(text))
 
 
 def norm(v: Column) -> Column:
@@ -41,6 +60,3 @@ def normalized(v: Column) -> Column:
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda acc, x: acc + x)
 
-
-def cosine(a: Column, b: Column) -> Column:
-    return dot(a, b) / (norm(a) * norm(b))

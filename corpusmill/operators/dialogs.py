@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def default_title(conv_id: Column) -> Column:
+    return F.concat(F.lit("对话 "), F.substring(conv_id.cast("string"), 1, 8))
+
+
 def dialog_list(messages: DataFrame, titles: DataFrame | None = None) -> DataFrame:
     """title (by default from the id), message_count and last_turn of each dialog."""
-    default = F.concat(F.lit("对话 "), F.substring(F.col("conv_id").cast("string"), 1, 8))
+    default = default_title(F.col("conv_id"))
     base = messages.groupBy("conv_id").agg(F.count("*").alias("message_count"), F.max("turn").alias("last_turn"))
     if titles is None:
         return base.select("conv_id", default.alias("title"), "message_count", "last_turn")

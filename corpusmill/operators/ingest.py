@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark import StorageLevel
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions import text as T
@@ -21,9 +22,14 @@ DOCUMENT_SCHEMA = (
 
 
 def list_files(spark: SparkSession, directory: str, pattern: str = "*.pdf") -> DataFrame:
-    """filename, path, size of files under a directory, without reading them."""
+    """filename, path, relative_path, bytes of files under a directory, without reading them; a missing directory has none."""
+    if not exists(spark, directory):
+        return spark.createDataFrame([], "filename string, path string, relative_path string, bytes long")
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(directory)
-    return found.select(T.basename(F.col("path")).alias("filename"), "path", F.col("length").alias("bytes"))
+    # paths come back with their scheme, and with or without an empty authority
+    base = re.sub(r"^[a-z0-9+.-]+:(//[^/]*)?", "", directory).strip("/")
+    inside = F.regexp_replace(F.regexp_replace("path", r"^[a-z0-9+.-]+:(//[^/]*)?/*", ""), "^" + re.escape(base) + "/*", "")
+    return found.select(T.basename(F.col("path")).alias("filename"), "path", inside.alias("relative_path"), F.col("length").alias("bytes"))
 
 
 def file_language(paths: DataFrame) -> DataFrame:
@@ -83,19 +89,17 @@ def ingest_defaults(rows: DataFrame) -> DataFrame:
 RESERVED = ["page_number", "section_title", "pdf_path", "pdf_filename", "language", "coordinates", "chunk_id"]
 
 
+def json_values(columns: dict[str, Column]) -> Column:
+    """A map of values as metadata keeps them: strings, numbers and booleans as their text, lists, maps and structs as JSON; nulls are left out."""
+    entries = [F.struct(F.lit(k).alias("key"), F.get_json_object(F.to_json(F.struct(v.alias("v"))), "$.v").alias("value")) for k, v in columns.items()]
+    return F.map_filter(F.map_from_entries(F.array(*entries)), lambda k, v: v.isNotNull())
+
+
 def flatten_metadata(rows: DataFrame) -> DataFrame:
     """(id, reserved map<string,string>, extra map<string,string>): the reserved keys win."""
     return rows.select("id", F.map_concat("reserved", F.map_filter("extra", lambda k, v: ~k.isin(RESERVED))).alias("metadata"))
 
 
-def pick_keys(m, keys: list[str]):
-    return F.map_filter(m, lambda k, v: k.isin(keys))
-
-
-def get_or(m, key: str, default: str):
-    return F.coalesce(F.try_element_at(m, F.lit(key)), F.lit(default))
-
-
 def unprocessed(files: DataFrame, processed: DataFrame) -> DataFrame:
     return files.join(processed.select("file_path"), "file_path", "left_anti")
 
@@ -182,12 +186,20 @@ def _checked_append(rows: DataFrame, path: str, mode: str) -> int:
     return one.empty or 0
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a file or folder, in whatever file system Spark reads."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
 def saved(spark: SparkSession, path: str, columns: dict[str, str], keys: tuple[str, ...] = ()) -> DataFrame | None:
     """The Parquet table at path; None if there is none, one of the columns is missing or of another type, or a key is null."""
+    if not exists(spark, path):
+        return None
     try:
         found = spark.read.parquet(path)
     except AnalysisException as error:
-        if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+        if error.getCondition() == "UNABLE_TO_INFER_SCHEMA":
             return None
         raise
     types = dict(found.dtypes)

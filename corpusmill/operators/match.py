@@ -39,15 +39,55 @@ def token_overlap(queries: DataFrame, items: DataFrame, item_columns: list[str])
     return q.join(d, "token").groupBy("query_id", *item_columns).agg((F.count("*") / F.greatest(F.lit(1), F.first("q_size"))).alias("overlap"))
 
 
+#: Tokens that hold more than this part of all (item, token) rows are hot: at most 1 / HOT_SHARE of them.
+HOT_SHARE = 1e-3
+#: Items a task gets of a hot token, about.
+HOT_ITEMS = 100_000
+
+
+def overlapping(queries: DataFrame, items: DataFrame, item_columns: list[str], threshold: float = THRESHOLD) -> DataFrame:
+    """token_overlap of `threshold` or more, by prefixes: (query_id, item columns, overlap).
+
+    A query of n tokens needs c = ceil(threshold * n) of them. With tokens ordered by falling rarity among the items, one of its
+    first n - c + 1 must be in the item, so only these are joined, to items of c tokens or more; the pairs found are
+    then counted exactly on their token sets. Common words thus pair nothing unless a query has little else. The few hot tokens that are
+    joined are dealt over tasks by their frequency.
+    """
+    if threshold <= 0:
+        raise ValueError("without a threshold above 0 every common token counts: token_overlap")
+    d = items.select(*item_columns, "tokens", F.size("tokens").alias("d_size"), F.explode("tokens").alias("token"))
+    counts = d.groupBy("token").agg(F.count("*").alias("times"))
+    prefix = _rare_prefix(queries, counts, threshold)
+    total = counts.agg(F.sum("times")).first()[0] or 0
+    hot = counts.where(F.col("times") > HOT_SHARE * total).select("token", F.ceil(F.col("times") / HOT_ITEMS).cast("int").alias("salts")).where("salts > 1")
+    # 1 / HOT_SHARE rows at most
+    q = prefix.join(F.broadcast(hot), "token", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
+    salt = F.pmod(F.xxhash64(*item_columns), F.coalesce("salts", F.lit(1))).cast("int")
+    dealt = d.join(F.broadcast(hot), "token", "left").withColumn("salt", salt).drop("salts")
+    pairs = q.join(dealt, ["token", "salt"]).where(F.col("d_size") >= F.col("needed"))
+    # a pair is counted at the first token of the prefix that it shares
+    pairs = pairs.where(F.get(F.array_intersect("prefix", "tokens"), F.lit(0)) == F.col("token"))
+    return pairs.withColumn("overlap", F.size(F.array_intersect("tokens", "q_tokens")) / F.size("q_tokens")).where(F.col("overlap") >= threshold).select("query_id", *item_columns, "overlap")
+
+
+def _rare_prefix(queries: DataFrame, counts: DataFrame, threshold: float) -> DataFrame:
+    """queries (query_id, q_tokens) -> query_id, q_tokens, prefix, needed, token: a row for each token of the prefix."""
+    words = queries.select("query_id", F.explode("q_tokens").alias("token")).join(counts, "token", "left")
+    ordered = words.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct(F.coalesce("times", F.lit(0)).alias("times"), "token"))), lambda x: x["token"]).alias("by_rarity"))
+    needed = F.ceil(F.size("by_rarity") * threshold - 1e-9).cast("int")
+    cut = ordered.withColumn("needed", needed).withColumn("prefix", F.slice("by_rarity", 1, F.size("by_rarity") - F.col("needed") + 1))
+    return cut.join(queries.select("query_id", "q_tokens"), "query_id").select("query_id", "q_tokens", "prefix", "needed", F.explode("prefix").alias("token"))
+
+
 def file_tokens(files: DataFrame) -> DataFrame:
     return files.select("filename", "file_no", T.token_set(F.regexp_replace("filename", r"\.[^.]*$", "")).alias("tokens"))
 
 
 def match_files_sections(queries: DataFrame, files: DataFrame, index: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(query_id, kind, filename, section_title): files by name, with all their sections; else sections by title."""
-    by_file = token_overlap(queries, file_tokens(files), ["filename"]).where(F.col("overlap") >= threshold).select("query_id", "filename")
+    by_file = overlapping(queries, file_tokens(files), ["filename"], threshold).select("query_id", "filename")
     of_file = by_file.join(index.select("filename", "section_title"), "filename", "left").select("query_id", F.lit("file").alias("kind"), "filename", "section_title")
-    by_title = token_overlap(queries, index, ["filename", "section_title"]).where(F.col("overlap") >= threshold)
+    by_title = overlapping(queries, index, ["filename", "section_title"], threshold)
     own = by_title.join(by_file, ["query_id", "filename"], "left_anti").select("query_id", F.lit("section").alias("kind"), "filename", "section_title")
     return of_file.union(own)
 
@@ -66,9 +106,11 @@ def candidate_filter(queries: DataFrame, matches: DataFrame, chunk_rows: DataFra
 def rank_files(queries: DataFrame, files: DataFrame, k: int = 3) -> DataFrame:
     """The k files whose names cover most of a query's tokens; files without a common token fill up by order."""
     best = token_overlap(queries, file_tokens(files), ["filename", "file_no"])
-    some = files.select("filename", "file_no").orderBy("file_no").limit(k)  # any k files fill what overlap leaves open
-    zero = queries.select("query_id").join(F.broadcast(some.withColumn("one", F.lit(1))), F.lit(1) == F.col("one")).drop("one").withColumn("overlap", F.lit(0.0))
-    both = best.select("query_id", "filename", "file_no", "overlap").unionByName(zero).groupBy("query_id", "filename", "file_no").agg(F.max("overlap").alias("overlap"))
+    some = files.select("filename", "file_no").orderBy("file_no").limit(k).collect()  # any k files fill what overlap leaves open
+    filling = F.array(*[F.struct(F.lit(r.filename).alias("filename"), F.lit(r.file_no).cast("long").alias("file_no")) for r in some])
+    zero = queries.select("query_id", F.explode(filling).alias("f")).select("query_id", "f.filename", "f.file_no", F.lit(0.0).alias("overlap")) if some else None
+    found = best.select("query_id", "filename", "file_no", "overlap")
+    both = (found.unionByName(zero) if some else found).groupBy("query_id", "filename", "file_no").agg(F.max("overlap").alias("overlap"))
     order = Window.partitionBy("query_id").orderBy(F.desc(F.round("overlap", 6)), "file_no")
     return both.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "filename", F.round("overlap", 6).alias("overlap"))
 

@@ -45,66 +45,198 @@ def vector_topk(queries: DataFrame, items: DataFrame, k: int, item: str = "id")
     return best(_topk_by_cells(asked, given, k, item), k, item)
 
 
-def _near(ids: np.ndarray, matrix: np.ndarray, batch_ids: pa.Array, vectors: pa.Array, k: int, item: str) -> Iterator[pa.RecordBatch]:
-    """What of a batch of items may be in the top k of each query."""
+def near_items(ids: np.ndarray, matrix: np.ndarray, batch_ids: pa.Array, vectors: pa.Array, k: int, item: str, pages: np.ndarray | None = None, spans: np.ndarray | None = None, least: np.ndarray | None = None) -> Iterator[pa.RecordBatch]:
+    """What of a batch of items may be in the top k of each query: with spans (low, high a query), of the items whose page is in it.
+
+    least holds what k items before have reached for each query, and is raised; nothing below it is given.
+    """
     v = vectors.flatten().to_numpy(zero_copy_only=False).reshape(len(vectors), -1)
     n = min(k, len(v))
     for a in range(0, len(ids), QUERY_BLOCK):
-        scores = np.round(matrix[a : a + QUERY_BLOCK] @ v.T, 6) + 0.0
-        least = np.partition(scores, len(v) - n, axis=1)[:, -n]
-        q, i = np.nonzero(scores >= least[:, None])
-        yield pa.RecordBatch.from_arrays([pa.array(ids[a + q]), batch_ids.take(pa.array(i)), pa.array(scores[q, i])], names=["query_id", item, "score"])
+        block = slice(a, a + QUERY_BLOCK)
+        scores = np.round(matrix[block] @ v.T, 6) + 0.0
+        if spans is not None:
+            scores[(pages < spans[block, :1]) | (pages > spans[block, 1:])] = -np.inf
+        reached = np.partition(scores, len(v) - n, axis=1)[:, -n]
+        if least is not None:
+            floor = np.maximum(reached, least[block])
+            if n == k:
+                least[block] = floor
+            reached = floor
+        q, i = np.nonzero((scores >= reached[:, None]) & (scores > -np.inf))
+        if len(q):
+            yield pa.RecordBatch.from_arrays([pa.array(ids[a + q]), batch_ids.take(pa.array(i)), pa.array(scores[q, i])], names=["query_id", item, "score"])
 
 
 def _topk_of_few(ids: list, matrix: np.ndarray, items: DataFrame, k: int, item: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows and ids:
-                yield from _near(np.array(ids, np.int64), matrix, batch.column(0), batch.column(1), k, item)
+                yield from near_items(np.array(ids, np.int64), matrix, batch.column(0), batch.column(1), k, item)
 
     return items.mapInArrow(run, f"query_id long, {item} {dict(items.dtypes)[item]}, score double")
 
 
-def _topk_by_cells(queries: DataFrame, items: DataFrame, k: int, item: str) -> DataFrame:
-    """Queries and items hashed to the rows and columns of a grid; each cell reads its queries first, then streams its items."""
+def equal_runs(*values: np.ndarray) -> list[tuple[int, int]]:
+    """The (start, end) of runs of rows that are equal in all arrays."""
+    new = np.zeros(max(len(values[0]) - 1, 0), bool)
+    for v in values:
+        new |= v[1:] != v[:-1]
+    cuts = (np.flatnonzero(new) + 1).tolist()
+    return [(a, b) for a, b in zip([0, *cuts], [*cuts, len(values[0])]) if b > a]
+
+
+def _topk_in_groups(queries: DataFrame, items: DataFrame, k: int, item: str, partitions: int | None = None, ranged: bool = False) -> DataFrame:
+    """queries (grp, query_id, q, low, high), items (grp, item, vector, page): each group's queries with its items. A group reads its queries first, then streams its items."""
     kind = dict(items.dtypes)[item]
+    left = queries.select("grp", F.lit(False).alias("is_item"), "query_id", F.lit(None).cast(kind).alias(item), F.col("q").alias("vector"), F.col("low").cast("double").alias("low"), F.col("high").cast("double").alias("high"))
+    right = items.select("grp", F.lit(True), F.lit(None).cast("long"), item, "vector", F.col("page").cast("double"), F.lit(None).cast("double"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, ids, parts, spans, least = None, [], [], [], None
+        for batch in batches:
+            at, is_item = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
+            low, high = (batch.column(c).to_numpy(zero_copy_only=False) for c in (5, 6))
+            for a, b in equal_runs(at, is_item):
+                if at[a] != now:
+                    now, ids, parts, spans, least = at[a], [], [], [], None
+                part = batch.slice(a, b - a)
+                if not is_item[a]:
+                    ids.append(part.column(2).to_numpy(zero_copy_only=False))
+                    parts.append(part.column(4).flatten().to_numpy(zero_copy_only=False).reshape(len(part), -1))
+                    spans.append(np.stack([low[a:b], high[a:b]], axis=1))
+                elif ids:
+                    if least is None:
+                        ids, parts, spans = [np.concatenate(ids)], [np.concatenate(parts)], [np.concatenate(spans)]
+                        least = np.full(len(ids[0]), -np.inf)
+                    yield from near_items(ids[0], parts[0], part.column(3), part.column(4), k, item, low[a:b], spans[0] if ranged else None, least)
+
+    both = left.union(right)
+    dealt = both.repartition(partitions, "grp") if partitions else both.repartition("grp")
+    return dealt.sortWithinPartitions("grp", "is_item").mapInArrow(run, f"query_id long, {item} {kind}, score double")
+
+
+def _topk_by_cells(queries: DataFrame, items: DataFrame, k: int, item: str) -> DataFrame:
+    """Queries and items hashed to the rows and columns of a grid of cells."""
     rows, columns = -(-queries.count() // CELL_QUERIES), max(1, -(-items.count() // CELL_ITEMS))
 
     def cell(row, column):
-        return (row * columns + column).cast("long").alias("cell")
+        return (row * columns + column).cast("long").alias("grp")
 
     def every(n: int):
         return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
 
-    left = queries.withColumn("column", every(columns)).select(cell(F.pmod(F.xxhash64("query_id"), F.lit(rows)), F.col("column")), F.lit(False).alias("is_item"), "query_id", F.lit(None).cast(kind).alias(item), F.col("q").alias("vector"))
-    right = items.withColumn("row", every(rows)).select(cell(F.col("row"), F.pmod(F.xxhash64(item), F.lit(columns))), F.lit(True).alias("is_item"), F.lit(None).cast("long").alias("query_id"), item, "vector")
+    none = F.lit(None)
+    left = queries.withColumn("column", every(columns)).select(cell(F.pmod(F.xxhash64("query_id"), F.lit(rows)), F.col("column")), "query_id", "q", none.alias("low"), none.alias("high"))
+    right = items.withColumn("row", every(rows)).select(cell(F.col("row"), F.pmod(F.xxhash64(item), F.lit(columns))), item, "vector", none.alias("page"))
+    return _topk_in_groups(left, right, k, item, rows * columns)
+
+
+# Top k among the items that a query may have: items and queries meet in scopes, such as a file or a title
+
+
+def scope(kind: str, *values: Column) -> Column:
+    """The name of a scope; null where a value is."""
+    return F.concat(F.lit(kind), *[x for v in values for x in (F.lit("\0"), v.cast("string"))])
+
+
+def masked_topk(queries: DataFrame, items: DataFrame, scopes: DataFrame, k: int, ranged: bool = False, item: str = "id") -> DataFrame:
+    """queries (query_id, q_vector), items (item, vector, scopes array<string>), scopes (query_id, scope) -> each query's k best of the items in its scopes.
+
+    ranged: queries have first_page and last_page, items page_number, and where first_page is set only items between the
+    two count. Blocks of a scope's items are multiplied with all its queries; no row holds both vectors. Up to FEW_QUERIES queries
+    go with the code, and items meet the list of their scope's queries; more are dealt with the items by scope, in
+    blocks of CELL_QUERIES and CELL_ITEMS, so that a large scope is no single group.
+    """
+    asked = queries.select(
+        F.col("query_id").cast("long").alias("query_id"), F.col("q_vector").cast("array<double>").alias("q"),
+        *([F.when(F.col("first_page").isNull(), -np.inf).otherwise(F.col("first_page").cast("double")).alias("low"), F.when(F.col("first_page").isNull(), np.inf).otherwise(F.coalesce(F.col("last_page").cast("double"), F.lit(-np.inf))).alias("high")] if ranged else [F.lit(None).alias("low"), F.lit(None).alias("high")]),
+    ).where("size(q) > 0")
+    page = F.col("page_number").cast("double") if ranged else F.lit(None).cast("double")
+    given = items.where("size(vector) > 0").select(item, F.col("vector").cast("array<double>").alias("vector"), page.alias("page"), F.explode("scopes").alias("scope"))
+    wanted = scopes.select(F.col("query_id").cast("long").alias("query_id"), "scope").where("scope IS NOT NULL").distinct()
+    few = asked.limit(FEW_QUERIES + 1).collect()
+    hits = _masked_few(few, given, wanted, k, ranged, item) if len(few) <= FEW_QUERIES else masked_many(asked, given, wanted, k, ranged, item)
+    # an item may stand in several of a query's scopes
+    twice = best(hits, k * 8, item).drop("rank").dropDuplicates(["query_id", item])
+    return best(twice, k, item)
+
+
+def _masked_few(few: list, items: DataFrame, scopes: DataFrame, k: int, ranged: bool, item: str) -> DataFrame:
+    ids = np.array([r.query_id for r in few], np.int64)
+    matrix = np.array([r.q for r in few], float)
+    spans = np.array([[r.low, r.high] for r in few], float) if ranged else None
+    place = {q: i for i, q in enumerate(ids.tolist())}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, ids, parts = None, [], []
+        least = np.full(len(ids), -np.inf)
         for batch in batches:
-            at, items_from = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False)
-            cuts = np.flatnonzero((at[1:] != at[:-1]) | (items_from[1:] != items_from[:-1])) + 1
-            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(at)]):
-                if a == b:
-                    continue
-                if at[a] != now:
-                    now, ids, parts = at[a], [], []
-                part = batch.slice(a, b - a)
-                if not items_from[a]:
-                    ids.append(part.column(2).to_numpy(zero_copy_only=False))
-                    parts.append(part.column(4).flatten().to_numpy(zero_copy_only=False).reshape(len(part), -1))
-                elif ids:
-                    ids, parts = [np.concatenate(ids)], [np.concatenate(parts)]
-                    yield from _near(ids[0], parts[0], part.column(3), part.column(4), k, item)
+            codes = batch.column(3).dictionary_encode()
+            codes = codes.indices.to_numpy()
+            order = np.argsort(codes, kind="stable")
+            for a, b in equal_runs(codes[order]):
+                rows = pa.array(order[a:b])
+                at = np.array([place[q] for q in batch.column(4)[int(order[a])].as_py() if q in place], np.int64)
+                if len(at):
+                    own = least[at]
+                    yield from near_items(ids[at], matrix[at], batch.column(0).take(rows), batch.column(1).take(rows), k, item, batch.column(2).to_numpy(zero_copy_only=False)[order[a:b]], None if spans is None else spans[at], own)
+                    least[at] = own
+
+    lists = scopes.groupBy("scope").agg(F.collect_list("query_id").alias("asking"))  # FEW_QUERIES numbers at most
+    return items.join(lists, "scope").select(item, "vector", "page", "scope", "asking").mapInArrow(run, f"query_id long, {item} {dict(items.dtypes)[item]}, score double")
+
+
+def masked_many(asked: DataFrame, items: DataFrame, scopes: DataFrame, k: int, ranged: bool, item: str) -> DataFrame:
+    """asked (query_id, q, low, high), items (item, vector, page, scope), scopes (query_id, scope) -> hits, by groups of a scope, a block of its queries and a part of its items."""
+    blocks = scopes.groupBy("scope").agg(F.ceil(F.count("*") / CELL_QUERIES).cast("int").alias("blocks"))
+    parts = items.groupBy("scope").agg(F.ceil(F.count("*") / CELL_ITEMS).cast("int").alias("parts"))
+    sizes = blocks.join(parts, "scope")
 
-    dealt = left.union(right).repartition(rows * columns, "cell").sortWithinPartitions("cell", "is_item")
-    return dealt.mapInArrow(run, f"query_id long, {item} {kind}, score double")
+    def group(block: Column, part: Column) -> Column:
+        return scope("", F.col("scope"), block, part).alias("grp")
+
+    def every(n: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+
+    left = scopes.join(sizes, "scope").join(asked, "query_id").withColumn("part", every("parts"))
+    right = items.join(sizes, "scope").withColumn("block", every("blocks"))
+    left = left.select(group(F.pmod(F.xxhash64("query_id"), F.col("blocks")), F.col("part")), "query_id", "q", "low", "high")
+    right = right.select(group(F.col("block"), F.pmod(F.xxhash64(item), F.col("parts"))), item, "vector", "page")
+    return _topk_in_groups(left, right, k, item, ranged=ranged)
 
 
 def filtered_topk(queries: DataFrame, items: DataFrame, allowed: DataFrame, k: int) -> DataFrame:
-    """vector_topk over allowed (query_id, id) pairs only: they are joined first."""
-    pairs = allowed.join(items.select("id", "vector"), "id").join(queries.select("query_id", "q_vector"), "query_id")
-    return best(pairs.select("query_id", "id", F.round(V.dot(F.col("vector"), F.col("q_vector")), 6).alias("score")), k)
+    """vector_topk over allowed (query_id, id) pairs only: each item is a scope."""
+    return masked_topk(queries, items.withColumn("scopes", F.array(scope("id", F.col("id")))), allowed.select("query_id", scope("id", F.col("id")).alias("scope")), k)
+
+
+def chunk_scopes(chunks: DataFrame) -> DataFrame:
+    """chunks with the scopes of their file, their title, and both."""
+    file, title = F.col("filename"), F.col("section_title")
+    return chunks.withColumn("scopes", F.array_compact(F.array(scope("file", file), scope("title", title), scope("section", file, title))))
+
+
+def match_scopes(matches: DataFrame) -> DataFrame:
+    """The files and titles that queries match, as scopes."""
+    return matches.select("query_id", F.explode(F.array(scope("file", F.col("filename")), scope("title", F.col("section_title")))).alias("scope"))
+
+
+#: Buckets that the pages of a corpus are dealt to for queries by page range.
+PAGE_BUCKETS = 64
+
+
+def page_scopes(queries: DataFrame, chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(scopes of queries, chunks with scopes) for page ranges: buckets of neighbouring pages, as many at most as PAGE_BUCKETS, however wide a range is."""
+    low, high = chunks.agg(F.min("page_number"), F.max("page_number")).first()
+    low, width = low or 0, max(1, -(-((high or 0) - (low or 0) + 1) // PAGE_BUCKETS))
+
+    def bucket(page: Column) -> Column:
+        return F.floor((page - low) / width)
+
+    first, last = F.greatest("first_page", F.lit(low)), F.least("last_page", F.lit(high or 0))
+    some = queries.where(F.col("last_page").isNotNull() & F.col("first_page").isNotNull()).where(first <= last)
+    buckets = some.select("query_id", F.explode(F.sequence(bucket(first), bucket(last))).alias("bucket"))
+    return buckets.select("query_id", scope("pages", F.col("bucket")).alias("scope")), chunks.withColumn("scopes", F.array(scope("pages", bucket(F.col("page_number")))))
 
 
 def lexical(query: Column, text: Column) -> Column:
@@ -158,8 +290,9 @@ def section_match(queries: DataFrame, sections: DataFrame, alpha: float = 0.5, t
 
     The k nearest titles are fused: (1 - alpha) min-max vector score + alpha sigmoid of the rerank score.
     """
-    near = sections.join(queries.select("query_id", "query", "q_vector", "filename"), "filename")
-    near = best(near.select("query_id", "query", "filename", "section_no", "section_title", F.round(V.dot(F.col("vector"), F.col("q_vector")), 6).alias("score")), k, "section_no")
+    own = sections.select(F.col("section_no").alias("id"), "vector", F.array(scope("file", F.col("filename"))).alias("scopes"))
+    near = masked_topk(queries, own, queries.select("query_id", scope("file", F.col("filename")).alias("scope")), k).withColumnRenamed("id", "section_no")
+    near = near.join(queries.select("query_id", "query", "filename"), "query_id").join(sections.select("filename", "section_no", "section_title"), ["filename", "section_no"])
     w = Window.partitionBy("query_id")
     low, high = F.min("score").over(w), F.max("score").over(w)
     scaled = F.when(high > low, (F.col("score") - low) / F.nullif(high - low, F.lit(0.0))).otherwise(0.5)
@@ -182,29 +315,28 @@ def search_keyword(queries: DataFrame, chunks: DataFrame, k: int = 10, first: in
     return blend(best(kept, first), k, only_if_over=True)
 
 
-def search_hybrid(queries: DataFrame, chunks: DataFrame, matches: DataFrame, allowed: DataFrame, k: int = 60) -> DataFrame:
+def search_hybrid(queries: DataFrame, chunks: DataFrame, matches: DataFrame, k: int = 60) -> DataFrame:
     """Filtered vector hits for queries that match a file or section, by page range alone or unfiltered for the others; blended if over k."""
     first = max(120, 3 * k)
     with_filter = queries.join(matches.select("query_id").distinct(), "query_id", "left_semi")
     others = queries.join(matches.select("query_id").distinct(), "query_id", "left_anti")
     ranged = others.where("first_page IS NOT NULL")
-    pages = ranged.select("query_id", F.explode(F.sequence("first_page", F.greatest("first_page", "last_page"))).alias("page_number"), "first_page", "last_page").where("page_number <= last_page")
-    by_page = chunks.select("id", "page_number").join(pages, "page_number").select("query_id", "id")
+    buckets, paged = page_scopes(ranged, chunks)
     hits = (
-        filtered_topk(with_filter, chunks, allowed, first).select("query_id", "id", "score")
-        .union(filtered_topk(ranged, chunks, by_page, first).select("query_id", "id", "score"))
+        masked_topk(with_filter, chunk_scopes(chunks), match_scopes(matches), first, ranged=True).select("query_id", "id", "score")
+        .union(masked_topk(ranged, paged, buckets, first, ranged=True).select("query_id", "id", "score"))
         .union(vector_topk(others.where("first_page IS NULL"), chunks, first).select("query_id", "id", "score"))
     )
     return blend(with_texts(hits, queries, chunks), k, only_if_over=True)
 
 
-def search_smart(queries: DataFrame, chunks: DataFrame, matches: DataFrame, allowed: DataFrame, k: int = 100, fallback: int = 60) -> DataFrame:
+def search_smart(queries: DataFrame, chunks: DataFrame, matches: DataFrame, k: int = 100, fallback: int = 60) -> DataFrame:
     """Queries that match a file or section search there and blend always; the others go the hybrid way with a fixed k."""
     matched = matches.select("query_id").distinct()
     any_page = queries.join(matched, "query_id", "left_semi")
-    hits = filtered_topk(any_page, chunks, allowed, k).select("query_id", "id", "score")
+    hits = masked_topk(any_page, chunk_scopes(chunks), match_scopes(matches), k, ranged=True).select("query_id", "id", "score")
     own = blend(with_texts(hits, queries, chunks), k)
-    rest = search_hybrid(queries.join(matched, "query_id", "left_anti"), chunks, matches, allowed, fallback)
+    rest = search_hybrid(queries.join(matched, "query_id", "left_anti"), chunks, matches, fallback)
     return own.unionByName(rest)
 
 
@@ -217,16 +349,15 @@ def smart_retrieval(queries: DataFrame, chunks: DataFrame, files: DataFrame, sec
     section = section_match(located, sections).select("query_id", F.col("section_title").alias("target_section"))
     mode = F.when(F.col("target_section").isNotNull(), "precise_by_section").when(F.col("file_score") >= file_threshold, "precise_by_file")
     plan = located.select("query_id", "filename", "file_score").join(section, "query_id", "left").withColumn("smart_mode", mode).where("smart_mode IS NOT NULL")
-    own = chunks.select("id", "filename", "section_title")
-    by_section = own.join(plan.where("target_section IS NOT NULL").withColumnRenamed("target_section", "section_title"), ["filename", "section_title"]).select("query_id", "id")
-    by_file = own.join(plan.where("target_section IS NULL"), "filename").select("query_id", "id")
-    hits = filtered_topk(queries, chunks, by_section.union(by_file), k)
+    file, title = F.col("filename"), F.col("target_section")
+    scopes = plan.select("query_id", F.when(title.isNull(), scope("file", file)).otherwise(scope("section", file, title)).alias("scope"))
+    hits = masked_topk(queries, chunk_scopes(chunks), scopes, k)
     return hits.join(plan.select("query_id", "smart_mode"), "query_id")
 
 
-def search_service(queries: DataFrame, chunks: DataFrame, matches: DataFrame, allowed: DataFrame, k: int = 10) -> DataFrame:
+def search_service(queries: DataFrame, chunks: DataFrame, matches: DataFrame, k: int = 10) -> DataFrame:
     """Hybrid hits, twice as many as asked for, with the reranker's score in place of theirs."""
-    return rerank(with_texts(search_hybrid(queries, chunks, matches, allowed, 2 * k).select("query_id", "id", "score"), queries, chunks), k)
+    return rerank(with_texts(search_hybrid(queries, chunks, matches, 2 * k).select("query_id", "id", "score"), queries, chunks), k)
 
 
 def first_nonempty(*hits: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,10 +14,14 @@ from corpusmill.operators import ingest as I
 from corpusmill.operators import layout as L
 from corpusmill.operators import match as R
 from corpusmill.operators import titles as TI
+from corpusmill.operators import dialog_log as DL
 from corpusmill.operators import dialogs as D
 from corpusmill.operators import present as P
+from corpusmill.operators import reuse as U
 from corpusmill.operators import search as S
+from corpusmill.operators import vector_index as VI
 from corpusmill.plans.sql import FILLER, blended, build, dotted, hybrid, lexical, quoted, ranked, strip, token_set, words
+from corpusmill.sources import block_json
 from corpusmill.sources import fixtures as X
 from corpusmill.streaming import streams
 
@@ -125,9 +131,44 @@ def page_text_limited(s, d):
     return L.page_text(L.first_pages(X.blocks(s, d), 2))
 
 
+@query("SELECT doc_id, page_number, block_no, text, x0, 792 - y1 AS y0, x1, 792 - y0 AS y1 FROM kana_blocks WHERE (doc_id, page_number) IN (SELECT (doc_id, page_number) FROM kana_blocks WHERE regexp_matches(text, '[かきく]'))")
+def flip_blocks(s, d):
+    """Pages measured from the bottom; on those of every third block's document some letters are kana, pages without any go."""
+    b = X.blocks(s, d)
+    return L.flip_blocks(b.withColumn("text", F.when((F.col("doc_id") + F.col("block_no")) % 9 == 0, F.translate("text", "abc", "かきく")).otherwise(F.col("text"))), 792.0).select("doc_id", "page_number", "block_no", "text", "x0", "y0", "x1", "y1")
+
+
+@query("SELECT 'language=' || language AS folder, count(*) > 0 AS any_bytes FROM files GROUP BY language")
+def list_files(s, d):
+    """The folders and files that a store's writer left, listed."""
+    path = streams.shared_folder(s)
+    I.write_store(X.files(s, d), path)
+    found = I.list_files(s, path, "*.parquet")
+    return found.groupBy(F.regexp_extract("relative_path", "^[^/]+", 0).alias("folder")).agg((F.sum("bytes") > 0).alias("any_bytes"))
+
+
+@query("SELECT * FROM paragraphs")
+def block_source(s, d):
+    """Blocks written as nested JSON documents, read back by the block_json source, and merged to paragraphs."""
+    path = streams.shared_folder(s)
+    b = X.blocks(s, d).withColumn("file", F.col("doc_id").cast("string"))
+    one = F.struct("block_no", "text", F.array("x0", "y0", "x1", "y1").alias("bbox"))
+    pages = b.groupBy("file", "language", "page_number").agg(F.array_sort(F.collect_list(one)).alias("blocks"))
+    docs = pages.groupBy("file", "language").agg(F.array_sort(F.collect_list(F.struct("page_number", "blocks"))).alias("pages"))
+    docs.write.json(path)
+    block_json.register(s)
+    return L.merge_paragraphs(s.read.format("block_json").load(path).withColumn("doc_id", F.col("file").cast("long")))
+
+
 # Titles
 
 
+@query("SELECT doc_id, page_number, CASE WHEN section_title = '' THEN 'Front matter' ELSE section_title END AS section_title FROM page_titles")
+def page_sections_default(s, d):
+    b = X.blocks(s, d)
+    return TI.page_sections(L.page_text(b).select("doc_id", "page_number"), TI.section_ranges(TI.titles(TI.title_candidates(b))), "Front matter")
+
+
 @query("SELECT doc_id, page_number, block_no, title FROM candidates")
 def title_candidates(s, d):
     return TI.title_candidates(X.blocks(s, d)).select("doc_id", "page_number", "block_no", "title")
@@ -263,12 +304,12 @@ def ingest_defaults(s, d):
     return I.ingest_defaults(rows)
 
 
-@query("SELECT filename AS id, language, CAST(file_no AS VARCHAR) AS extra_no, '[\"' || stem || '\",1]' AS extra_list, 3 AS n FROM files")
+@query("SELECT filename AS id, language, CAST(file_no AS VARCHAR) AS extra_no, '[\"' || stem || '\",\"1\"]' AS extra_list, 3 AS n FROM files")
 def flatten_metadata(s, d):
     f = X.files(s, d)
     rows = f.select(
         F.col("filename").alias("id"), F.create_map(F.lit("language"), F.col("language")).alias("reserved"),
-        F.create_map(F.lit("language"), F.lit("ignored"), F.lit("no"), F.col("file_no").cast("string"), F.lit("list"), F.concat(F.lit('["'), "stem", F.lit('",1]'))).alias("extra"),
+        I.json_values({"language": F.lit("ignored"), "no": F.col("file_no"), "list": F.array("stem", F.lit("1")), "none": F.lit(None).cast("string")}).alias("extra"),
     )
     m = F.col("metadata")
     return I.flatten_metadata(rows).select("id", m["language"].alias("language"), m["no"].alias("extra_no"), m["list"].alias("extra_list"), F.size(m).alias("n"))
@@ -280,9 +321,46 @@ def incremental_files(s, d):
     return I.unprocessed(f, f.where("doc_id % 3 = 0"))
 
 
+@query("""
+SELECT doc_id, chunk_index, text_hash FROM (SELECT *, min(doc_id) OVER (PARTITION BY text_hash) AS first_file FROM hashed_chunks WHERE doc_id % 2 = 1 AND text_hash NOT IN (SELECT text_hash FROM hashed_chunks WHERE doc_id % 2 = 0)) WHERE doc_id = first_file""")
+def ingest_indexed(s, d):
+    """What the second of two batches adds to a store with a hash index: documents with even ids come first."""
+    folder, table = streams.shared_folder(s), stored(s, d).select("doc_id", "chunk_index", "text_hash")
+    for odd in (0, 1):
+        U.ingest_with_index(table.where(F.col("doc_id") % 2 == odd), f"{folder}/store", f"{folder}/index")
+    return s.read.parquet(f"{folder}/store").where("doc_id % 2 = 1")
+
+
+@query("""
+SELECT count(*) AS files, count(*) FILTER (doc_id % 3 = 0) AS skipped, count(*) FILTER (doc_id % 3 <> 0 AND doc_id % 11 = 0) AS failed, count(*) FILTER (doc_id % 3 <> 0 AND doc_id % 11 <> 0) AS processed,
+  CAST(coalesce(sum(n) FILTER (doc_id % 3 <> 0 AND doc_id % 11 <> 0), 0) AS BIGINT) AS rows, (SELECT count(*) FROM placed_blocks WHERE doc_id % 3 <> 0 AND doc_id % 11 <> 0) AS stored
+FROM (SELECT f.doc_id, count(b.doc_id) AS n FROM files f LEFT JOIN placed_blocks b ON b.doc_id = f.doc_id GROUP BY f.doc_id)""")
+def build_totals(s, d):
+    """A build over JSON files, every third of them processed before, every eleventh unreadable: its totals, and what the store got."""
+    path, f = streams.shared_folder(s), X.files(s, d).select("doc_id", "file_path")
+    blocks = X.blocks(s, d).groupBy("doc_id").agg(F.collect_list(F.struct("block_no", "text")).alias("rows"))
+    content = F.when(F.col("doc_id") % 11 == 0, "{broken").otherwise(F.to_json(F.struct(F.coalesce("rows", F.array().cast("array<struct<block_no:int,text:string>>")).alias("rows"))))
+    files = f.join(blocks, "doc_id", "left").select("file_path", content.alias("content"), "doc_id")
+    parse = lambda df: df.select("file_path", F.from_json("content", "rows array<struct<block_no:int,text:string>>")["rows"].alias("rows"))
+    totals = U.counted_run(files.drop("doc_id"), f.where("doc_id % 3 = 0"), parse, path)
+    return s.read.schema("file_path string, block_no int, text string").parquet(path).agg(*[F.lit(totals[k]).cast("long").alias(k) for k in ("files", "skipped", "failed", "processed", "rows")], F.count("*").alias("stored"))
+
+
 # Embeddings
 
 
+@query("""
+SELECT d.doc_id, round(list_sum(list_transform(vector, lambda x: abs(x))), 6) AS weight, (SELECT count(DISTINCT text) FROM documents) AS texts, (SELECT count(DISTINCT text) FROM documents WHERE doc_id % 2 = 0) AS hits,
+  (SELECT count(DISTINCT text) FROM documents) - (SELECT count(DISTINCT text) FROM documents WHERE doc_id % 2 = 0) AS misses FROM document_vectors d""")
+def embed_cached(s, d):
+    """Vectors from a kept table: documents with even ids were encoded before; with the counts of the second run."""
+    path, docs = streams.shared_folder(s), X.table(s, d, "documents").select("doc_id", "text")
+    U.encode_cached(docs.where("doc_id % 2 = 0"), path, I.embed_text)
+    v, counts = U.encode_cached(docs, path, I.embed_text)
+    weight = F.round(F.aggregate("vector", F.lit(0.0), lambda acc, x: acc + F.abs(x)), 6)
+    return v.select("doc_id", weight.alias("weight"), *[F.lit(counts[k]).cast("long").alias(k) for k in ("texts", "hits", "misses")])
+
+
 @query("SELECT doc_id, CAST(i - 1 AS INT) AS place, round(vector[i], 6) AS value FROM (SELECT doc_id, vector, unnest(range(1, 65)) AS i FROM document_vectors) WHERE vector[i] <> 0")
 def embed_text(s, d):
     v = I.embed_text(X.table(s, d, "documents").select("doc_id", "text"))
@@ -410,10 +488,14 @@ def passages(s: SparkSession, d: str) -> DataFrame:
     return I.embed_text(X.passage_queries(s, d), "query").withColumnRenamed("vector", "q_vector")
 
 
-def matched(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    q = asked(s, d)
-    m = R.match_files_sections(q, X.files(s, d), index_table(s, d))
-    return m, R.candidate_filter(q, m, chunk_table(s, d))
+def saved_vectors(s: SparkSession, d: str) -> DataFrame:
+    """The chunks with their vectors, written once and read by all steps of a search."""
+    rows = I.embed_text(chunk_table(s, d)).select("id", "vector", "text", "filename", "section_title", "page_number", "language")
+    return I.saved_or_built(s, streams.shared_folder(s), rows, ("id",))
+
+
+def matched(s: SparkSession, d: str, chunks: DataFrame) -> DataFrame:
+    return R.match_files_sections(asked(s, d), X.files(s, d), I.section_index(chunks))
 
 
 HIT = ["query_id", "id", "score", "rank"]
@@ -429,9 +511,33 @@ def vector_topk_lsh(s, d):
     return S.vector_topk_lsh(passages(s, d), chunk_vectors(s, d), 10)
 
 
+def indexed(s: SparkSession, d: str) -> str:
+    """An inverted file of the chunks' vectors."""
+    path = streams.shared_folder(s)
+    VI.build_index(saved_vectors(s, d).select("id", "vector"), path)
+    return path
+
+
+@query()
+def vector_topk_index(s, d):
+    """Approximate: the chunks of each passage's 32 nearest cells."""
+    return VI.search_index(passages(s, d), indexed(s, d), 10)
+
+
+@query("SELECT query_id, id, score, rank FROM (" + ranked(f"SELECT item_id AS query_id, id, {dotted('p.vector', 'c.vector')} AS score FROM passage_vectors p, chunk_vectors c", 10) + ")")
+def vector_topk_index_all(s, d):
+    """All cells are probed, so that the hits are exact; half of the chunks are appended to the index of the others."""
+    path, chunks = streams.shared_folder(s), saved_vectors(s, d).select("id", "vector")
+    odd = F.pmod(F.crc32(F.col("id").cast("binary")), F.lit(2)) == 1
+    VI.build_index(chunks.where(odd), path)
+    VI.append_index(chunks.where(~odd), path)
+    return VI.search_index(passages(s, d), path, 10, probes=VI.MOST_CELLS)
+
+
 @query("SELECT query_id, id, score, rank FROM (" + ranked("SELECT * FROM allowed_pairs", 10) + ")")
 def vector_topk_filtered(s, d):
-    return S.filtered_topk(short(s, d), chunk_vectors(s, d), matched(s, d)[1], 10)
+    c = saved_vectors(s, d)
+    return S.masked_topk(short(s, d), S.chunk_scopes(c), S.match_scopes(matched(s, d, c)), 10, ranged=True)
 
 
 @query("SELECT query_id, filename, file_score FROM near_files")
@@ -442,7 +548,7 @@ def match_filename_vec(s, d):
 
 
 def hits30(s: SparkSession, d: str) -> DataFrame:
-    q, c = short(s, d), chunk_vectors(s, d)
+    q, c = short(s, d), saved_vectors(s, d)
     return S.with_texts(S.vector_topk(q, c, 30), q, c)
 
 
@@ -486,7 +592,7 @@ def section_match(s, d):
 
 @query("SELECT query_id, id, score, rank FROM (" + blended(HITS30, 10, True) + ")")
 def search_vector_only(s, d):
-    return S.search_vector_only(short(s, d), chunk_vectors(s, d)).select(*HIT)
+    return S.search_vector_only(short(s, d), saved_vectors(s, d)).select(*HIT)
 
 
 _share = f"round(len(list_intersect(list_distinct({words('lower(query)')}), list_distinct({words('lower(text)')}))) / CAST(greatest(len(list_distinct({words('lower(query)')})), 1) AS DOUBLE), 6)"
@@ -494,21 +600,24 @@ _share = f"round(len(list_intersect(list_distinct({words('lower(query)')}), list
 
 @query("SELECT query_id, id, score, rank FROM (" + blended(ranked(f"SELECT query_id, id, query, text, CASE WHEN most = 0 THEN score ELSE share END AS score FROM (SELECT *, max(share) OVER (PARTITION BY query_id) AS most FROM (SELECT * EXCLUDE (rank), {_share} AS share FROM ({ranked('SELECT * FROM all_pairs', 90)}))) WHERE most = 0 OR share > 0", 30), 10, True) + ")")
 def search_keyword(s, d):
-    return S.search_keyword(short(s, d), chunk_vectors(s, d)).select(*HIT)
+    return S.search_keyword(short(s, d), saved_vectors(s, d)).select(*HIT)
 
 
 @query("SELECT query_id, id, score, rank FROM hybrid_hits")
 def search_hybrid(s, d):
-    return S.search_hybrid(short(s, d), chunk_vectors(s, d), *matched(s, d)).select(*HIT)
+    c = saved_vectors(s, d)
+    return S.search_hybrid(short(s, d), c, matched(s, d, c)).select(*HIT)
 
 
 @query(f"SELECT query_id, id, score, rank FROM ({blended(ranked('SELECT * FROM allowed_pairs', 100), 100)}) UNION ALL SELECT query_id, id, score, rank FROM ({hybrid(60, True)})")
 def search_smart(s, d):
-    return S.search_smart(short(s, d), chunk_vectors(s, d), *matched(s, d)).select(*HIT)
+    c = saved_vectors(s, d)
+    return S.search_smart(short(s, d), c, matched(s, d, c)).select(*HIT)
 
 
 def smart_hits(s: SparkSession, d: str) -> DataFrame:
-    return S.smart_retrieval(short(s, d), chunk_vectors(s, d), I.file_vectors(X.files(s, d)), I.section_vectors(index_table(s, d)))
+    c = saved_vectors(s, d)
+    return S.smart_retrieval(short(s, d), c, I.file_vectors(X.files(s, d)), I.section_vectors(I.section_index(c)))
 
 
 @query("SELECT query_id, id, score, rank, smart_mode FROM smart_hits")
@@ -518,7 +627,8 @@ def smart_retrieval(s, d):
 
 @query("SELECT query_id, id, score, rank FROM (" + ranked(f"SELECT h.query_id, h.id, {lexical('s.query', 'c.text')} AS score FROM ({hybrid(20)}) h JOIN short_vectors s ON h.query_id = s.query_id JOIN chunks c ON h.id = c.id", 10) + ")")
 def search_service(s, d):
-    return S.search_service(short(s, d), chunk_vectors(s, d), *matched(s, d)).select(*HIT)
+    c = saved_vectors(s, d)
+    return S.search_service(short(s, d), c, matched(s, d, c)).select(*HIT)
 
 
 @query("SELECT query_id, id, score, rank, 0 AS plan FROM smart_hits UNION ALL SELECT query_id, id, score, rank, 1 FROM hybrid_hits WHERE query_id NOT IN (SELECT query_id FROM smart_hits)")
@@ -530,7 +640,7 @@ def search_first_nonempty(s, d):
 
 
 def shown(s: SparkSession, d: str) -> DataFrame:
-    c = chunk_vectors(s, d)
+    c = saved_vectors(s, d)
     return S.vector_topk(short(s, d), c, 12).join(c.drop("vector"), "id")
 
 
@@ -637,6 +747,51 @@ def stream_dialogs(s, d):
     return s.read.parquet(f"{folder}/counts")
 
 
+@query("SELECT conv_id, string_agg('- ' || role || ': ' || substr(text, 1, 200), chr(10) ORDER BY turn) AS context FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM conversations) WHERE back <= 5 GROUP BY conv_id")
+def stream_last_messages(s, d):
+    """The last five messages of each dialog, kept as state while messages stream in."""
+    folder = streams.shared_folder(s)
+    streams.stream_contexts(_stream(s, d, "conversations").select("conv_id", "turn", "role", "text"), f"{folder}/contexts", f"{folder}/checkpoint", last=5)
+    return streams.current_contexts(s, f"{folder}/contexts")
+
+
+_LOG_EVENTS = """
+SELECT CAST(conv_id AS VARCHAR) AS conv_id, turn, TIMESTAMP '2024-01-01' + to_minutes(CAST(turn AS BIGINT)) AS moment, NULL AS title FROM conversations WHERE conv_id % 7 <> 0 OR turn >= 5
+UNION ALL SELECT CAST(conv_id AS VARCHAR), NULL, TIMESTAMP '2024-01-01 00:30:00', 'T' || max(turn) FROM conversations WHERE conv_id % 3 = 0 AND conv_id % 7 <> 0 AND turn < 5 GROUP BY conv_id"""
+
+
+def dialog_log_path(s: SparkSession, d: str) -> str:
+    """Messages up to turn 4 and titles of every third dialog, then deletions of every seventh, compacted; then the later messages."""
+    path, m = streams.shared_folder(s), X.messages(s, d)
+    start = F.lit("2024-01-01 00:00:00").cast("timestamp")
+    events = DL.message_events(m, F.timestamp_add("MINUTE", F.col("turn").cast("int"), start))
+    DL.append_events(events.where("turn < 5"), path, 0)
+    titles = m.where("turn < 5 AND conv_id % 3 = 0").groupBy("conv_id").agg(F.concat(F.lit("T"), F.max("turn").cast("string")).alias("text"))
+    none = F.lit(None)
+    DL.append_events(titles.select(F.lit(1).cast("long").alias("seq"), F.lit("2024-01-01 00:30:00").cast("timestamp").alias("at"), F.lit("title").alias("kind"), F.col("conv_id").cast("string").alias("conv_id"), none.cast("long").alias("turn"), none.cast("string").alias("role"), "text"), path, 1)
+    gone = m.where("conv_id % 7 = 0").select("conv_id")
+    DL.append_events(DL.deletion_events(s, DL.log_events(s, path), gone, datetime(2024, 1, 1, 1), 0, "fresh"), path, 2)
+    DL.compact(s, path, 2)
+    DL.append_events(events.where("turn >= 5"), path, 3)
+    return path
+
+
+@query(f"""
+SELECT conv_id, coalesce(max(title), '对话 ' || substr(conv_id, 1, 8)) AS title, strftime(min(moment), '%Y-%m-%d %H:%M:%S') AS created, strftime(max(moment), '%Y-%m-%d %H:%M:%S') AS updated, count(turn) AS message_count, max(turn) AS last_turn
+FROM ({_LOG_EVENTS}) GROUP BY conv_id""")
+def dialog_log(s, d):
+    view = DL.dialog_view(DL.log_events(s, dialog_log_path(s, d)))
+    return view.select("conv_id", "title", T.timestamp_text(F.col("created")).alias("created"), T.timestamp_text(F.col("updated")).alias("updated"), "message_count", "last_turn")
+
+
+@query("SELECT q AS conv_id, m.conv_id IS NOT NULL AS known, m.messages FROM (SELECT CAST(conv_id AS VARCHAR) AS q FROM conversations UNION SELECT 'none') q LEFT JOIN (SELECT CAST(conv_id AS VARCHAR) AS conv_id, string_agg(role || ':' || text, chr(10) ORDER BY turn) AS messages FROM conversations WHERE conv_id % 7 <> 0 OR turn >= 5 GROUP BY 1) m ON q = m.conv_id")
+def dialog_histories(s, d):
+    """Histories from the log: of all dialogs ever, and of one that never was."""
+    asked_for = X.messages(s, d).select(F.col("conv_id").cast("string").alias("conv_id")).union(s.range(1).select(F.lit("none")))
+    found = DL.histories(asked_for, DL.log_events(s, dialog_log_path(s, d)))
+    return found.select("conv_id", "known", F.array_join(F.transform("messages", lambda m: F.concat(m["role"], F.lit(":"), m["text"])), "\n").alias("messages"))
+
+
 # Scalar helpers
 
 
@@ -659,5 +814,10 @@ def scalar_helpers(s, d):
     return e.select("event_id", T.truncated(F.col("props"), 20).alias("short_props"), F.round(T.safe_divide(F.col("value"), F.col("event_id") % 4), 6).alias("ratio"), T.timestamp_text(F.col("ts")).alias("at"), T.extension(name).alias("extension"))
 
 
+@query("SELECT doc_id, CASE WHEN n_chars = 0 THEN '0B' WHEN n_chars < 1024 THEN CAST(n_chars AS DOUBLE) || ' B' WHEN n_chars < 1048576 THEN round(n_chars / 1024.0::DOUBLE, 2) || ' KB' ELSE round(n_chars / 1048576.0::DOUBLE, 2) || ' MB' END AS size FROM documents")
+def human_sizes(s, d):
+    return X.table(s, d, "documents").select("doc_id", T.human_size(F.col("n_chars")).alias("size"))
+
+
 def oracle_sql() -> dict[str, str]:
     return {name: build(sql) for name, sql in _SQL.items()}

@@ -71,6 +71,7 @@ step("raw_blocks", f"SELECT doc_id, {LANGUAGE} AS language, unnest(regexp_split_
 step("sized_blocks", "SELECT doc_id, language, CAST(block_no AS INT) AS block_no, trim(raw) AS text, least(length(trim(raw)) * 5.0::DOUBLE, 540.0::DOUBLE) AS w FROM raw_blocks WHERE trim(raw) <> ''")
 step("placed_blocks", "SELECT *, CAST(block_no // 12 + 1 AS INT) AS page_number, CASE WHEN (doc_id + block_no) % 7 = 0 THEN 306 - w / 2 ELSE 36.0::DOUBLE END AS x0, CAST(40 + block_no % 12 * 24 AS DOUBLE) AS y0 FROM sized_blocks")
 step("blocks", "SELECT doc_id, language, page_number, block_no, text, x0, y0, x0 + w AS x1, y0 + 12 + ((doc_id + block_no) % 4) * 4 AS y1 FROM placed_blocks")
+step("kana_blocks", "SELECT doc_id, page_number, block_no, CASE WHEN (doc_id + block_no) % 9 = 0 THEN translate(text, 'abc', 'かきく') ELSE text END AS text, x0, y0, x1, y1 FROM blocks")
 step("worded_blocks", f"SELECT *, {words('text')} AS ws FROM blocks")
 step("spans", """
 SELECT doc_id, page_number, block_no, 0 AS line_no, i - 1 AS span_no, CASE WHEN block_no % 11 = 10 THEN 1 ELSE 0 END AS block_type, ws[i] || ' ' AS text,

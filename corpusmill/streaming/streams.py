@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+import uuid
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from corpusmill.operators.chunks import chunk_text, text_hash
 from corpusmill.operators.ingest import ingest_dedup, saved
@@ -33,18 +39,55 @@ def stream_counts(messages: DataFrame, sink: str, checkpoint: str) -> None:
     counts.writeStream.outputMode("complete").foreachBatch(replace).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
-def last_messages(messages: DataFrame, last: int = 10) -> DataFrame:
-    """Streamed messages (conv_id, turn, role, text) -> after each batch, the changed dialogs' last messages as lines; state: those messages."""
+class LastMessages(StatefulProcessor):
+    """List state a dialog: its last messages (turn, role, text), by turn, later ones of a turn last."""
+
+    def __init__(self, last: int, most: int):
+        self.last, self.most = last, most
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.kept = handle.getListState("kept", "turn long, role string, text string")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        kept = [tuple(r) for r in self.kept.get()]
+        for f in rows:
+            kept += zip(f["turn"].tolist(), f["role"].tolist(), f["text"].tolist())
+            kept = sorted(kept, key=lambda r: r[0])[-self.last :]  # never more than a batch and the last ones
+        self.kept.put(kept)
+        yield pd.DataFrame({"conv_id": [key[0]], "context": ["\n".join(f"- {r}: {t[: self.most]}" for _, r, t in kept)]})
+
+    def close(self) -> None:
+        pass
+
+
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
-    def keep(key, frames, state):
-        rows = list(zip(*state.get)) if state.exists else []
-        for f in frames:
-            rows += list(zip(f["turn"].tolist(), f["role"].tolist(), f["text"].tolist()))
-        rows = sorted(rows)[-last:]
-        state.update(([r[0] for r in rows], [r[1] for r in rows], [r[2] for r in rows]))
-        yield pd.DataFrame({"conv_id": [key[0]], "context": ["\n".join(f"- {r}: {t[:200]}" for _, r, t in rows)]})
 
-    return messages.groupBy("conv_id").applyInPandasWithState(keep, "conv_id long, context string", "turns array<long>, roles array<string>, texts array<string>", "update", "NoTimeout")
+def last_messages(messages: DataFrame, last: int = 10, most: int = 200) -> DataFrame:
+    """Streamed messages (conv_id, turn, role, text) -> after each batch, the changed dialogs' last messages as lines. The session's state store must be RocksDB."""
+    return messages.groupBy("conv_id").transformWithStateInPandas(LastMessages(last, most), outputStructType="conv_id long, context string", outputMode="Update", timeMode="None")
+
+
+def stream_contexts(messages: DataFrame, sink: str, checkpoint: str, last: int = 10) -> None:
+    """Streamed messages: each batch's changed contexts are added to the sink under its number; current_contexts has the latest. The state is kept in RocksDB."""
+
+    def add(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{sink}/batch={number}")  # a repeated attempt replaces its own rows
+
+    conf = messages.sparkSession.conf
+    before = conf.get(STATE_STORE, None)
+    conf.set(STATE_STORE, ROCKSDB)
+    try:
+        started = last_messages(messages, last).writeStream.outputMode("update").foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    finally:
+        conf.set(STATE_STORE, before) if before else conf.unset(STATE_STORE)
+    started.awaitTermination()
+
+
+def current_contexts(spark: SparkSession, sink: str) -> DataFrame:
+    rows = spark.read.schema("conv_id long, context string, batch long").parquet(sink)
+    return rows.groupBy("conv_id").agg(F.max_by("context", "batch").alias("context"))
 
 
 def batch_ingest(documents: DataFrame) -> DataFrame:
@@ -52,9 +95,10 @@ def batch_ingest(documents: DataFrame) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder under the session's checkpoint folder, or a temporary one where none is set."""
-    import tempfile
-    import uuid
-
+    """A new folder under the session's checkpoint folder; local sessions (tests) without one get a temporary folder."""
     base = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{base}/{uuid.uuid4()}" if base else tempfile.mkdtemp(prefix="stream-")
+    if base:
+        return f"{base}/{uuid.uuid4()}"
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return tempfile.mkdtemp(prefix="stream-")
