@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,7 +57,7 @@ def overlapping(queries: DataFrame, items: DataFrame, item_columns: list[str], t
     if threshold <= 0:
         raise ValueError("without a threshold above 0 every common token counts: token_overlap")
     d = items.select(*item_columns, "tokens", F.size("tokens").alias("d_size"), F.explode("tokens").alias("token"))
-    counts = d.groupBy("token").agg(F.count("*").alias("times"))
+    counts = d.groupBy("token").agg(F.count("*").alias("times")).persist(StorageLevel.DISK_ONLY)  # read three times; a lost part is counted again
     prefix = _rare_prefix(queries, counts, threshold)
     total = counts.agg(F.sum("times")).first()[0] or 0
     hot = counts.where(F.col("times") > HOT_SHARE * total).select("token", F.ceil(F.col("times") / HOT_ITEMS).cast("int").alias("salts")).where("salts > 1")

@@ -21,7 +21,7 @@ from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 from corpusmill.operators.search import FEW_QUERIES, best, equal_runs, masked_many, near_items
 
 #: Items a cell that the sample holds at most; the cells are learned on so many times their number.
-SAMPLE = 256
+SAMPLE = 64
 #: Most cells: their centroids go with the code.
 MOST_CELLS = 4096
 
@@ -39,7 +39,7 @@ def fit_cells(items: DataFrame, cells: int, seed: int = 1, sample: int = SAMPLE)
     try:
         if not few.take(1):
             return np.zeros((0, 0))
-        model = KMeans(k=max(cells, 2), seed=seed, distanceMeasure="cosine", maxIter=20).fit(few)
+        model = KMeans(k=max(cells, 2), seed=seed, distanceMeasure="cosine", maxIter=10).fit(few)
     finally:
         few.unpersist()
     found = np.array(model.clusterCenters())[: max(cells, 1)] if cells > 1 else np.array(model.clusterCenters()).mean(axis=0, keepdims=True)

@@ -59,6 +59,10 @@ def index_table(s: SparkSession, d: str) -> DataFrame:
     return I.section_index(chunk_table(s, d))
 
 
+def saved_index(s: SparkSession, d: str) -> DataFrame:
+    return I.saved_or_built(s, streams.shared_folder(s), index_table(s, d), ("filename", "section_title"))
+
+
 def asked(s: SparkSession, d: str) -> DataFrame:
     return R.parsed(X.short_queries(s, d))
 
@@ -435,7 +439,7 @@ def valid_section_titles(s, d):
 
 @query("SELECT * FROM matches")
 def match_files_sections(s, d):
-    return R.match_files_sections(asked(s, d), X.files(s, d), index_table(s, d))
+    return R.match_files_sections(asked(s, d), X.files(s, d), saved_index(s, d))
 
 
 @query("SELECT query_id, first_page, last_page FROM parsed_queries")
@@ -456,7 +460,8 @@ def validate_queries(s, d):
 @query("SELECT query_id, id FROM allowed")
 def candidate_filter(s, d):
     q = asked(s, d)
-    return R.candidate_filter(q, R.match_files_sections(q, X.files(s, d), index_table(s, d)), chunk_table(s, d))
+    c = saved_vectors(s, d)
+    return R.candidate_filter(q, matched(s, d, c), c)
 
 
 @query("""SELECT query_id, rank, filename, overlap FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY overlap DESC, file_no) AS INT) AS rank FROM (
@@ -495,7 +500,8 @@ def saved_vectors(s: SparkSession, d: str) -> DataFrame:
 
 
 def matched(s: SparkSession, d: str, chunks: DataFrame) -> DataFrame:
-    return R.match_files_sections(asked(s, d), X.files(s, d), I.section_index(chunks))
+    """What the short queries match, written once: a search reads it for each kind of query."""
+    return I.saved_or_built(s, streams.shared_folder(s), R.match_files_sections(asked(s, d), X.files(s, d), I.section_index(chunks)))
 
 
 HIT = ["query_id", "id", "score", "rank"]
