@@ -23,7 +23,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import cut
+from corpusmill.llm.common import cut, salted_join
 
 #: (verdict, host, start of the path)
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
@@ -32,6 +32,8 @@ DAMPING, STEPS = 0.85, 20
 SEED_SHARE = 0.5
 #: Times the mean distrust of all hosts.
 LEAST_DISTRUST = 1.0
+#: Blocked hosts whose names may be broadcast; more are joined with salts.
+FEW_HOSTS = 10_000
 #: The part of a link that follows //, up to the end of the host.
 LINK = r"""(?i)<a[\x20\x09-\x0D](?:[^>]*[\x20\x09-\x0D"'])?href[\x20\x09-\x0D]*=[\x20\x09-\x0D]*["']?[\x20\x09-\x0D]*(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'<>\x20\x09-\x0D]*)"""
 
@@ -114,9 +116,13 @@ def judge(pages: DataFrame, rules=RULES, damping: float = DAMPING, steps: int =
     at = ruled(pages.select("page_id", "url", "html"), rules)
     edges, seeds = cut(host_edges(at)), cut(host_seeds(at, share))
     n_hosts = seeds.select("host").union(edges.select("dst")).distinct().count()
-    blocked = blocked_hosts(propagate(seeds, edges, damping, steps), n_hosts, least).withColumn("_blocked", F.lit(True))
+    blocked = cut(blocked_hosts(propagate(seeds, edges, damping, steps), n_hosts, least).withColumn("_blocked", F.lit(True)))
     verdict = F.coalesce("ruling", F.when(F.col("_blocked"), "block").otherwise("allow"))
-    return at.join(blocked, "host", "left").select("page_id", "host", "path", "rule", verdict.alias("verdict"))
+    if blocked.count() <= FEW_HOSTS:
+        judged = at.join(F.broadcast(blocked), "host", "left")
+    else:  # a host with a third of all pages is dealt over many tasks
+        judged = salted_join(at, blocked, "host", F.col("page_id"))
+    return judged.select("page_id", "host", "path", "rule", verdict.alias("verdict"))
 
 
 def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

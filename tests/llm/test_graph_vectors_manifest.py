@@ -83,7 +83,9 @@ def test_trust_and_distrust_follow_links(spark):
     assert sorted(verdicts(spark, rows)) == sorted(plain_verdicts(rows))
 
 
-def test_random_graphs_match_power_series(spark):
+@pytest.mark.parametrize("few", [10_000, 0])
+def test_random_graphs_match_power_series(spark, monkeypatch, few):
+    monkeypatch.setattr(url_rules, "FEW_HOSTS", few)
     rng = random.Random(3)
     hosts = [f"h{i}.{rng.choice(['com', 'net', 'org', 'example.com', 'example.net'])}" for i in range(25)]
     rows = []
