@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions import text as T
@@ -48,6 +48,11 @@ def hits_text(queries: DataFrame, hits: DataFrame) -> DataFrame:
     return queries.select("query_id", "query").join(body, "query_id", "left").select("query_id", F.coalesce(full, none).alias("answer"))
 
 
+def results_page(hits: DataFrame) -> DataFrame:
+    """What a search returns: hits with the number of their query's hits."""
+    return format_hits(hits).withColumn("count", F.count("*").over(Window.partitionBy("query_id")))
+
+
 def references(hits: DataFrame, most: int = 5) -> DataFrame:
     return hits.where(F.col("rank") <= most).select("query_id", "rank", T.shortened(F.col("text"), 150).alias("text_preview"), "section_title", "page_number", "score", F.col("filename").alias("pdf_filename"))
 

@@ -255,8 +255,28 @@ def rerank(hits: DataFrame, k: int, score: Column | None = None) -> DataFrame:
     return best(hits.drop("rank").withColumn("score", F.round(s, 6)), k)
 
 
-def predict_scores(hits: DataFrame, make_predict_fn, batch_size: int = 32, name: str = "model_score") -> DataFrame:
-    """hits with query and text -> the same with a pair model's scores, in batches; the model is loaded once a Python worker."""
+#: Words of a query and a text together that a pair model reads.
+PAIR_WORDS = 512
+
+
+def pair_within(query: Column, text: Column, most: int = PAIR_WORDS) -> tuple[Column, Column]:
+    """Both cut to `most` words together, one from the longer of the two at a time; what fits stays as it is."""
+    q, t = T.words(query), T.words(text)
+    over = F.greatest(F.size(q) + F.size(t) - most, F.lit(0))
+    # what the longer one has more goes first, then both lose alike, the text the odd one
+    gap = F.size(t) - F.size(q)
+    alike = F.greatest(over - F.abs(gap), F.lit(0))
+    from_q = F.when(gap < 0, F.least(over, -gap)).otherwise(0) + F.floor(alike / 2)
+    from_t = over - from_q
+
+    def cut(c: Column, words: Column, n: Column) -> Column:
+        return F.when(n > 0, F.array_join(F.slice(words, F.lit(1), (F.size(words) - n).cast("int")), " ")).otherwise(c)
+
+    return cut(query, q, from_q), cut(text, t, from_t)
+
+
+def predict_scores(hits: DataFrame, make_predict_fn, batch_size: int = 32, name: str = "model_score", most: int = PAIR_WORDS) -> DataFrame:
+    """hits with query and text -> the same with a pair model's scores, in batches, of pairs cut to `most` words; the model is loaded once a Python worker."""
 
     @F.pandas_udf("double")
     def score(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
@@ -267,7 +287,7 @@ def predict_scores(hits: DataFrame, make_predict_fn, batch_size: int = 32, name:
                 out += map(float, predict(q.iloc[a : a + batch_size].tolist(), t.iloc[a : a + batch_size].tolist()))
             yield pd.Series(out, dtype="float64")
 
-    return hits.withColumn(name, score("query", "text"))
+    return hits.withColumn(name, score(*pair_within(F.col("query"), F.col("text"), most)))
 
 
 def blend(hits: DataFrame, k: int, only_if_over: bool = False, score: Column | None = None) -> DataFrame:

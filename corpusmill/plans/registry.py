@@ -19,6 +19,7 @@ from corpusmill.operators import dialogs as D
 from corpusmill.operators import present as P
 from corpusmill.operators import reuse as U
 from corpusmill.operators import search as S
+from corpusmill.operators import segment as SG
 from corpusmill.operators import vector_index as VI
 from corpusmill.plans.sql import FILLER, blended, build, dotted, hybrid, lexical, quoted, ranked, strip, token_set, words
 from corpusmill.sources import block_json
@@ -427,6 +428,14 @@ def tokenize(s, d):
     return X.table(s, d, "documents").select("doc_id", T.tokens(F.col("text")).alias("tokens"))
 
 
+@query()
+def segment_words(s, d):
+    """Words of unspaced text, by a table learned from it: documents whose letters are written as Chinese characters."""
+    letters, signs = "abcdefghijklmnopqrstuvwxyz", "".join(chr(0x4E00 + i) for i in range(26))
+    docs = X.table(s, d, "documents").select("doc_id", F.regexp_replace(F.translate(F.lower("text"), letters, signs), " ", "").alias("text"))
+    return docs.select("doc_id", SG.segmented(F.col("text"), SG.word_weights(SG.learn_words(docs))).alias("words"))
+
+
 @query("SELECT query_id, filename, round(overlap, 6) AS overlap FROM file_overlap")
 def token_overlap(s, d):
     return R.token_overlap(asked(s, d), R.file_tokens(X.files(s, d)), ["filename"]).withColumn("overlap", F.round("overlap", 6))
@@ -655,6 +664,11 @@ def format_hits(s, d):
     return P.format_hits(shown(s, d))
 
 
+@query("SELECT query_id, rank, translate(substr(text, 1, 800), chr(10), ' ') AS text_preview, section_title, page_number, score, filename AS pdf_filename, count(*) OVER (PARTITION BY query_id) AS count FROM shown_hits")
+def results_page(s, d):
+    return P.results_page(shown(s, d))
+
+
 @query("SELECT query_id, string_agg(rank || '. 文件: ' || filename || ', 章节: ' || section_title || ', 页码: ' || page_number || chr(10) || translate(substr(text, 1, 800), chr(10), ' ') || chr(10), chr(10) ORDER BY rank) AS context FROM shown_hits WHERE rank <= 10 GROUP BY query_id")
 def context_text(s, d):
     return P.context_text(shown(s, d))
@@ -746,6 +760,25 @@ def stream_ingest(s, d):
     return s.read.parquet(f"{folder}/store")
 
 
+def _block_stream(s: SparkSession, d: str, path: str) -> DataFrame:
+    """Blocks written as documents of block JSON under path, as a stream of them with their file's columns."""
+    b = X.blocks(s, d).join(X.files(s, d).select("doc_id", "filename"), "doc_id")
+    pages = b.groupBy("filename", "language", "page_number").agg(F.array_sort(F.collect_list(F.struct("block_no", "text", F.array("x0", "y0", "x1", "y1").alias("bbox")))).alias("blocks"))
+    pages.groupBy(F.col("filename").alias("file"), "language").agg(F.array_sort(F.collect_list(F.struct("page_number", "blocks"))).alias("pages")).write.json(path)
+    block_json.register(s)
+    rows = s.readStream.format("block_json").load(path)
+    stem = F.regexp_extract("file", r"(?s)^(.*)\.pdf$", 1)
+    return rows.withColumns({"stem": stem, "filename": F.col("file"), "doc_id": F.regexp_extract(stem, r"_(\d+)$", 1).cast("long")}).drop("relative_path", "bytes", "file")
+
+
+@query("SELECT id, doc_id, page_number, section_title, text_hash, language FROM (SELECT *, min(doc_id) OVER (PARTITION BY text_hash) AS first_doc FROM chunks) WHERE doc_id = first_doc")
+def stream_build(s, d):
+    """The whole build of a store while files of blocks stream in."""
+    folder = streams.shared_folder(s)
+    streams.stream_build(_block_stream(s, d, f"{folder}/in"), f"{folder}/store", f"{folder}/index", f"{folder}/checkpoint")
+    return s.read.parquet(f"{folder}/store").select("id", "doc_id", "page_number", "section_title", "text_hash", "language")
+
+
 @query("SELECT conv_id, count(*) AS message_count, max(turn) AS last_turn FROM conversations GROUP BY conv_id")
 def stream_dialogs(s, d):
     folder = streams.shared_folder(s)

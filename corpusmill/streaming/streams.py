@@ -13,8 +13,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from corpusmill.operators.chunks import chunk_text, text_hash
+from corpusmill.operators import layout as L
+from corpusmill.operators import titles as TI
+from corpusmill.operators.chunks import chunk_text, chunks, text_hash
 from corpusmill.operators.ingest import ingest_dedup, saved
+from corpusmill.operators.reuse import ingest_with_index
 
 
 def stream_ingest(documents: DataFrame, store: str, checkpoint: str) -> None:
@@ -29,6 +32,24 @@ def stream_ingest(documents: DataFrame, store: str, checkpoint: str) -> None:
     documents.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
+def build_chunks(blocks: DataFrame) -> DataFrame:
+    """Blocks (doc_id, stem, filename, language, page_number, block_no, text, x0, y0, x1, y1) of whole documents -> chunk records: page texts, titles, sections, chunks."""
+    pages = L.page_text(blocks)
+    sections = TI.page_sections(pages.select("doc_id", "page_number"), TI.section_ranges(TI.titles(TI.title_candidates(blocks))))
+    return chunks(pages, sections, blocks, blocks.select("doc_id", "stem", "filename", "language").distinct())
+
+
+def stream_build(blocks: DataFrame, store: str, index: str, checkpoint: str) -> None:
+    """Streamed blocks, whole documents a batch: each batch goes through layout, titles and chunks and is added to the store without hashes it has, by the index beside it."""
+
+    def add(batch: DataFrame, _: int) -> None:
+        rows = batch.persist(StorageLevel.DISK_ONLY)
+        ingest_with_index(build_chunks(rows), store, index)
+        rows.unpersist()
+
+    blocks.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
 def stream_counts(messages: DataFrame, sink: str, checkpoint: str) -> None:
     """Streamed messages: message_count and last_turn of each dialog, the whole table after each batch."""
     counts = messages.groupBy("conv_id").agg(F.count("*").alias("message_count"), F.max("turn").alias("last_turn"))

@@ -16,6 +16,7 @@ from corpusmill.operators import ingest as I
 from corpusmill.operators import match as R
 from corpusmill.operators import reuse as U
 from corpusmill.operators import search as S
+from corpusmill.operators import segment as SG
 from corpusmill.operators import vector_index as VI
 from corpusmill.sources import block_json
 from corpusmill.streaming import streams
@@ -352,6 +353,71 @@ def test_last_messages_over_three_batches(spark, tmp_path):
     assert got[0].split("\n")[-1] == "- assistant: last" and len(got[0].split("\n")) == 7
 
 
+def test_streamed_build_over_two_batches_has_each_hash_once(spark, tmp_path):
+    source, folder = tmp_path / "in", str(tmp_path)
+    block_json.register(spark)
+
+    def run():
+        rows = spark.readStream.format("block_json").load(str(source)).withColumns({"stem": F.col("file"), "filename": F.col("file"), "doc_id": F.col("file").cast("long")})
+        streams.stream_build(rows.drop("relative_path", "bytes", "file"), f"{folder}/store", f"{folder}/index", f"{folder}/state")
+        return sorted((r.doc_id, r.section_title, r.text) for r in spark.read.parquet(f"{folder}/store").collect())
+
+    write_docs(source, "a.json", doc("1", "Chapter 1", "the first body"), doc("2", "other words"))
+    assert run() == [(1, "Chapter 1", "Chapter 1 the first body"), (2, "other words", "other words")]
+    write_docs(source, "b.json", doc("3", "other words"), doc("4", "new words"))
+    assert [r[0] for r in run()] == [1, 2, 4]
+
+
+# Pairs and words
+
+
+def test_pairs_are_cut_to_their_length(spark):
+    def plain(q, t, most):
+        while len(q) + len(t) > most:
+            (q if len(q) > len(t) else t).pop()
+        return " ".join(q), " ".join(t)
+
+    rows = [(f"q{a} " * a, f"t{b} " * b) for a in range(8) for b in range(8)]
+    df = spark.createDataFrame([(q.strip(), t.strip()) for q, t in rows], "q string, t string")
+    for most in (0, 1, 5, 6, 11):
+        for r in df.select("q", "t", *[c.alias(n) for c, n in zip(S.pair_within(F.col("q"), F.col("t"), most), ("cq", "ct"))]).collect():
+            assert (r.cq, r.ct) == plain(r.q.split(), r.t.split(), most)
+
+
+def test_paths_are_the_best_of_all(spark):
+    rng = random.Random(0)
+    for _ in range(60):
+        weights = {"".join(rng.choice("天地人") for _ in range(rng.randrange(1, 4))): -float(rng.randrange(1, 9)) for _ in range(rng.randrange(1, 9))}
+        run = "".join(rng.choice("天地人") for _ in range(rng.randrange(1, 9)))
+
+        def total(words):
+            return sum(weights.get(w, -12.0 if len(w) == 1 else -1e9) for w in words)
+
+        cuts = [[run[a:b] for a, b in zip([0, *c], [*c, len(run)])] for m in range(1 << (len(run) - 1)) for c in [[i + 1 for i in range(len(run) - 1) if m >> i & 1]]]
+        got = SG.best_path(run, weights, 3, -12.0)
+        assert "".join(got) == run and abs(total(got) - max(map(total, cuts))) < 1e-9
+
+
+def test_words_are_learned_from_unspaced_text(spark):
+    rng = random.Random(1)
+    signs = [chr(0x4E00 + i) for i in range(60)]
+    known = ["".join(rng.sample(signs, rng.choice([1, 2, 2, 3, 4]))) for _ in range(80)]
+    said = [[rng.choice(known) for _ in range(30)] for _ in range(400)]
+    df = spark.createDataFrame([("".join(ws) + " Latin, don't",) for ws in said] + [(None,), ("",)], "text string")
+    weights = SG.word_weights(SG.learn_words(df, cohesion=5.0))  # sixty signs meet often by chance
+    got = [r[0] for r in df.select(SG.segmented(F.col("text"), weights)).collect()]
+    assert got[-2:] == [[], []] and all(g[-2:] == ["latin", "don't"] for g in got[:-2])
+
+    def ends(ws):
+        return {sum(map(len, ws[: i + 1])) for i in range(len(ws))}
+
+    pairs = [(ends(w), ends(g[:-2])) for w, g in zip(said, got)]
+    both, want, found = (sum(len(x) for x in xs) for xs in ([a & b for a, b in pairs], [a for a, _ in pairs], [b for _, b in pairs]))
+    assert both / want > 0.9 and both / found > 0.9
+    assert SG.word_weights(SG.learn_words(df.limit(0))) == {}
+    assert spark.range(1).select(SG.segmented(F.lit("天a地"), {})).first()[0] == ["天", "a", "地"]
+
+
 def test_folders_must_be_shared_on_a_cluster(spark, monkeypatch):
     class Far:
         class sparkContext:  # noqa: N801
