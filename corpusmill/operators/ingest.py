@@ -100,6 +100,16 @@ def flatten_metadata(rows: DataFrame) -> DataFrame:
     return rows.select("id", F.map_concat("reserved", F.map_filter("extra", lambda k, v: ~k.isin(RESERVED))).alias("metadata"))
 
 
+def pick_keys(m: Column, keys: list[str]) -> Column:
+    """The entries of a map with these keys."""
+    return F.map_filter(m, lambda k, v: k.isin(keys))
+
+
+def get_or(m: Column, key: str, default: str) -> Column:
+    """A map's value, or a default where the key is missing or null."""
+    return F.coalesce(F.try_element_at(m, F.lit(key)), F.lit(default))
+
+
 def unprocessed(files: DataFrame, processed: DataFrame) -> DataFrame:
     return files.join(processed.select("file_path"), "file_path", "left_anti")
 

@@ -46,6 +46,20 @@ HOT_SHARE = 1e-3
 HOT_ITEMS = 100_000
 
 
+def dealt_join(few: DataFrame, many: DataFrame, key: str, spread: list[str], counts: DataFrame | None = None) -> DataFrame:
+    """Equi-join on key in which the rows that `many` has of a hot key are dealt over tasks by `spread`, HOT_ITEMS each, and those of `few` repeated for them.
+
+    counts (key, times) of `many`, if they are at hand. At most 1 / HOT_SHARE keys are hot, so that they may be broadcast.
+    """
+    if counts is None:
+        counts = many.groupBy(key).agg(F.count("*").alias("times")).persist(StorageLevel.DISK_ONLY)
+    total = counts.agg(F.sum("times")).first()[0] or 0
+    hot = counts.where(F.col("times") > HOT_SHARE * total).select(key, F.ceil(F.col("times") / HOT_ITEMS).cast("int").alias("salts")).where("salts > 1")
+    left = few.join(F.broadcast(hot), key, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
+    right = many.join(F.broadcast(hot), key, "left").withColumn("salt", F.pmod(F.xxhash64(*spread), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts")
+    return left.join(right, [key, "salt"]).drop("salt")
+
+
 def overlapping(queries: DataFrame, items: DataFrame, item_columns: list[str], threshold: float = THRESHOLD) -> DataFrame:
     """token_overlap of `threshold` or more, by prefixes: (query_id, item columns, overlap).
 
@@ -59,13 +73,7 @@ def overlapping(queries: DataFrame, items: DataFrame, item_columns: list[str], t
     d = items.select(*item_columns, "tokens", F.size("tokens").alias("d_size"), F.explode("tokens").alias("token"))
     counts = d.groupBy("token").agg(F.count("*").alias("times")).persist(StorageLevel.DISK_ONLY)  # read three times; a lost part is counted again
     prefix = _rare_prefix(queries, counts, threshold)
-    total = counts.agg(F.sum("times")).first()[0] or 0
-    hot = counts.where(F.col("times") > HOT_SHARE * total).select("token", F.ceil(F.col("times") / HOT_ITEMS).cast("int").alias("salts")).where("salts > 1")
-    # 1 / HOT_SHARE rows at most
-    q = prefix.join(F.broadcast(hot), "token", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
-    salt = F.pmod(F.xxhash64(*item_columns), F.coalesce("salts", F.lit(1))).cast("int")
-    dealt = d.join(F.broadcast(hot), "token", "left").withColumn("salt", salt).drop("salts")
-    pairs = q.join(dealt, ["token", "salt"]).where(F.col("d_size") >= F.col("needed"))
+    pairs = dealt_join(prefix, d, "token", item_columns, counts).where(F.col("d_size") >= F.col("needed"))
     # a pair is counted at the first token of the prefix that it shares
     pairs = pairs.where(F.get(F.array_intersect("prefix", "tokens"), F.lit(0)) == F.col("token"))
     return pairs.withColumn("overlap", F.size(F.array_intersect("tokens", "q_tokens")) / F.size("q_tokens")).where(F.col("overlap") >= threshold).select("query_id", *item_columns, "overlap")
@@ -98,7 +106,9 @@ def candidate_filter(queries: DataFrame, matches: DataFrame, chunk_rows: DataFra
     c = chunk_rows.select("id", "filename", "section_title", "page_number")
     files = matches.select("query_id", "filename").distinct()
     titles = matches.where("section_title IS NOT NULL").select("query_id", "section_title").distinct()
-    hit = c.join(files, "filename").select("query_id", "id", "page_number").union(c.join(titles, "section_title").select("query_id", "id", "page_number")).distinct()
+    own = c.select("id", "page_number", "filename"), c.select("id", "page_number", "section_title")
+    by_file, by_title = dealt_join(files, own[0], "filename", ["id"]), dealt_join(titles, own[1], "section_title", ["id"])
+    hit = by_file.select("query_id", "id", "page_number").union(by_title.select("query_id", "id", "page_number")).distinct()
     ranges = queries.select("query_id", "first_page", "last_page")
     within = F.col("first_page").isNull() | F.col("page_number").between(F.col("first_page"), F.col("last_page"))
     return hit.join(ranges, "query_id").where(within).select("query_id", "id")

@@ -21,6 +21,7 @@ from corpusmill.operators import reuse as U
 from corpusmill.operators import search as S
 from corpusmill.operators import segment as SG
 from corpusmill.operators import vector_index as VI
+from corpusmill.operators.titles import PUNCTUATION_CLASS
 from corpusmill.plans.sql import FILLER, blended, build, dotted, hybrid, lexical, quoted, ranked, strip, token_set, words
 from corpusmill.sources import block_json
 from corpusmill.sources import fixtures as X
@@ -190,6 +191,12 @@ def titles_check(s, d):
     return TI.punctuated(TI.titles(TI.title_candidates(X.blocks(s, d)))).select("doc_id", "seq", "title", "start_page")
 
 
+@query(f"SELECT doc_id, page_number, block_no, text AS title FROM blocks WHERE regexp_matches(text, {quoted(PUNCTUATION_CLASS)})")
+def punctuated_blocks(s, d):
+    """The last check on all blocks: those that could be no title for their punctuation."""
+    return TI.punctuated(X.blocks(s, d).withColumnRenamed("text", "title")).select("doc_id", "page_number", "block_no", "title")
+
+
 @query("SELECT * FROM ranges")
 def section_ranges(s, d):
     return TI.section_ranges(TI.titles(TI.title_candidates(X.blocks(s, d))))
@@ -320,6 +327,14 @@ def flatten_metadata(s, d):
     return I.flatten_metadata(rows).select("id", m["language"].alias("language"), m["no"].alias("extra_no"), m["list"].alias("extra_list"), F.size(m).alias("n"))
 
 
+@query("SELECT doc_id, 2 + CASE WHEN doc_id % 4 = 0 THEN 0 ELSE 1 END AS kept, lang, CASE WHEN doc_id % 4 = 0 THEN 'none' ELSE source END AS source, 'absent' AS other FROM documents")
+def map_helpers(s, d):
+    """Metadata maps cut to some keys, and read with defaults."""
+    docs = X.table(s, d, "documents").select("doc_id", I.json_values({"id": F.col("doc_id"), "lang": F.col("lang"), "source": F.when(F.col("doc_id") % 4 != 0, F.col("source")), "n_chars": F.col("n_chars")}).alias("m"))
+    m = F.col("m")
+    return docs.select("doc_id", F.size(I.pick_keys(m, ["id", "lang", "source"])).alias("kept"), I.get_or(m, "lang", "none").alias("lang"), I.get_or(m, "source", "none").alias("source"), I.get_or(m, "other", "absent").alias("other"))
+
+
 @query("SELECT file_path, doc_id FROM files WHERE doc_id % 3 <> 0")
 def incremental_files(s, d):
     f = X.files(s, d).select("file_path", "doc_id")

@@ -159,6 +159,14 @@ def test_a_word_that_all_share_pairs_nothing_by_itself(spark):
     assert R.overlapping(q, d, ["name"]).count() == 0 and R.token_overlap(q, d, ["name"]).count() == 50 * 400
 
 
+def test_hot_keys_are_dealt(spark, monkeypatch):
+    monkeypatch.setattr(R, "HOT_ITEMS", 10)
+    few = spark.createDataFrame([(i, "hot" if i % 2 else f"k{i}") for i in range(10)], "query_id long, k string")
+    many = spark.createDataFrame([(i, "hot" if i % 3 else f"k{i % 10}") for i in range(300)], "id long, k string")
+    got = R.dealt_join(few, many, "k", ["id"])
+    assert sorted(map(tuple, got.select("query_id", "id").collect())) == sorted(map(tuple, few.join(many, "k").select("query_id", "id").collect()))
+
+
 # Kept tables
 
 
