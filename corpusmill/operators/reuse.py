@@ -9,7 +9,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.operators.ingest import ingest_dedup, saved
+from corpusmill.operators.ingest import exists, ingest_dedup, saved
 
 #: Partitions of a sidecar: the buckets that a batch's hashes fall in are read, the others are not.
 BUCKETS = 256
@@ -38,11 +38,14 @@ def ingest_with_index(new: DataFrame, store: str, index: str) -> int:
     """Appends a batch of chunks (doc_id, text_hash, ...) to the store without hashes it has; returns how many rows are new.
 
     The hashes stand in a bucketed sidecar, so that a batch reads its own buckets and no file of the store. The sidecar is
-    written after the store: should only that fail, `rebuild_index` makes it from the store before the next batch.
+    written after the store: should only that fail, `rebuild_index` makes it from the store before the next batch, as it does
+    by itself for a store that has none.
     """
     spark = new.sparkSession
     new = new.persist(StorageLevel.DISK_ONLY)
     try:
+        if exists(spark, store) and not exists(spark, index):
+            rebuild_index(spark, store, index)
         old = matching_buckets(spark, index, new.where("text_hash <> ''"), "text_hash", {"text_hash": "string"})
         kept = ingest_dedup(new, new.limit(0) if old is None else old).persist(StorageLevel.DISK_ONLY)
         try:

@@ -16,6 +16,7 @@ from corpusmill.operators import match as R
 from corpusmill.operators import titles as TI
 from corpusmill.operators import dialog_log as DL
 from corpusmill.operators import dialogs as D
+from corpusmill.operators import pair_model as PM
 from corpusmill.operators import present as P
 from corpusmill.operators import reuse as U
 from corpusmill.operators import search as S
@@ -166,6 +167,15 @@ def block_source(s, d):
     return L.merge_paragraphs(s.read.format("block_json").load(path).withColumn("doc_id", F.col("file").cast("long")))
 
 
+@query("SELECT doc_id, page_number, CASE WHEN doc_id % 3 = 0 AND page_number = 1 THEN 'first' || chr(10) || 'T' || doc_id ELSE text END AS text FROM page_texts")
+def page_text_chapters(s, d):
+    """The first pages of every third document have two chapters, one with a title only."""
+    pages = page_texts(s, d)
+    two = F.array(F.struct(F.lit(1).alias("chapter_no"), F.lit("first").alias("content"), F.lit("x").alias("title")), F.struct(F.lit(2).alias("chapter_no"), F.lit("").alias("content"), F.concat(F.lit("T"), F.col("doc_id").cast("string")).alias("title")))
+    chapters = pages.where("doc_id % 3 = 0 AND page_number = 1").select("doc_id", "page_number", F.explode(two).alias("c")).select("doc_id", "page_number", "c.*")
+    return L.with_chapters(pages, chapters)
+
+
 # Titles
 
 
@@ -366,9 +376,53 @@ def build_totals(s, d):
     return s.read.schema("file_path string, block_no int, text string").parquet(path).agg(*[F.lit(totals[k]).cast("long").alias(k) for k in ("files", "skipped", "failed", "processed", "rows")], F.count("*").alias("stored"))
 
 
+@query("SELECT language, count(*) AS n, CAST(sum(file_no) AS BIGINT) AS numbers FROM files WHERE file_no % 2 = 1 GROUP BY language")
+def store_rebuilt(s, d):
+    """File names' vectors: even numbers are stored, then the store is rebuilt with the odd ones."""
+    path, files = streams.shared_folder(s), X.files(s, d)
+    rows = I.file_vectors(files).join(files.select("file_no", "language"), "file_no")
+    I.append_vectors(rows.where("file_no % 2 = 0"), path)
+    I.append_vectors(rows.where("file_no % 2 = 1"), path, "overwrite")
+    return s.read.parquet(path).groupBy("language").agg(F.count("*").alias("n"), F.sum("file_no").alias("numbers"))
+
+
+@query("SELECT language, count(*) AS n, count(DISTINCT text_hash) AS hashes FROM chunks WHERE doc_id % 2 = 0 OR text_hash NOT IN (SELECT text_hash FROM chunks WHERE doc_id % 2 = 0) GROUP BY language")
+def build_modes(s, d):
+    """A store built in two steps, JSON and vectors, from documents with even ids, then in one step from all."""
+    folder, table = streams.shared_folder(s), chunk_table(s, d)
+    parents = C.parent_documents(X.blocks(s, d), table, X.files(s, d))
+    I.build_store(s, folder, I.json_docs(parents.where("doc_id % 2 = 0"), table), "json")
+    I.build_store(s, folder, mode="vectors")
+    return I.build_store(s, folder, I.json_docs(parents, table)).groupBy("language").agg(F.count("*").alias("n"), F.count_distinct("text_hash").alias("hashes"))
+
+
+@query(f"SELECT {strip('query')} AS query, count(*) AS n FROM short_queries WHERE {strip('query')} <> '' GROUP BY ALL")
+def queries_from_file(s, d):
+    """Queries written as lines of text with blank ones between, and read back."""
+    path, q = streams.shared_folder(s), X.short_queries(s, d)
+    q.select(F.explode(F.array(F.concat(F.lit("  "), "query"), F.lit(" "))).alias("value")).write.text(path)
+    return I.read_queries(s, path).groupBy("query").agg(F.count("*").alias("n"))
+
+
 # Embeddings
 
 
+@query("SELECT file_no, CASE WHEN filename NOT LIKE '%9%' THEN CAST(length(filename) AS DOUBLE) END AS size FROM files")
+def embed_failures(s, d):
+    """A model that refuses batches with a 9 in a name: their other names are encoded one by one."""
+
+    def load():
+        def predict(texts):
+            if any("9" in t for t in texts):
+                raise ValueError("refused")
+            return [[float(len(t))] for t in texts]
+
+        return predict
+
+    named = I.predict_embeddings(X.files(s, d).select("file_no", "filename"), load, text="filename")
+    return named.select("file_no", F.get("vector", F.lit(0)).cast("double").alias("size"))
+
+
 @query("""
 SELECT d.doc_id, round(list_sum(list_transform(vector, lambda x: abs(x))), 6) AS weight, (SELECT count(DISTINCT text) FROM documents) AS texts, (SELECT count(DISTINCT text) FROM documents WHERE doc_id % 2 = 0) AS hits,
   (SELECT count(DISTINCT text) FROM documents) - (SELECT count(DISTINCT text) FROM documents WHERE doc_id % 2 = 0) AS misses FROM document_vectors d""")
@@ -601,6 +655,15 @@ def rerank_model(s, d):
     return S.rerank(scored.drop("score"), 10, F.col("model_score")).select(*HIT)
 
 
+@query()
+def rerank_trained(s, d):
+    """Hits in the order of a pair scorer that is trained on the chunks."""
+    c = saved_vectors(s, d)
+    weights = PM.fit(PM.training_pairs(c))
+    q = short(s, d)
+    return S.rerank(S.with_texts(S.vector_topk(q, c, 30), q, c), 10, PM.pair_score(weights)).select(*HIT)
+
+
 @query("SELECT query_id, id, score, rank FROM (" + blended(HITS30, 10) + ")")
 def rerank_blend(s, d):
     return S.blend(hits30(s, d), 10).select(*HIT)
@@ -734,6 +797,18 @@ def dialog_history(s, d):
     return D.dialog_history(X.messages(s, d))
 
 
+@query("""
+SELECT conv_id, turn, role, text FROM conversations
+UNION ALL SELECT conv_id, last + k, CASE k WHEN 1 THEN 'user' ELSE 'assistant' END, CASE k WHEN 1 THEN 'q' || conv_id ELSE 'a' || conv_id END
+FROM (SELECT conv_id, max(turn) AS last FROM conversations WHERE conv_id % 5 = 0 GROUP BY conv_id UNION ALL SELECT DISTINCT -1 - conv_id, -1 FROM conversations WHERE conv_id % 5 = 0), (SELECT unnest([1, 2]) AS k)""")
+def dialog_append(s, d):
+    """An exchange more in every fifth dialog, and in as many new ones."""
+    m = X.messages(s, d)
+    ids = m.where("conv_id % 5 = 0").select("conv_id").distinct()
+    both = ids.union(ids.select(-1 - F.col("conv_id")))
+    return D.append_exchange(m, both.select("conv_id", F.concat(F.lit("q"), F.col("conv_id").cast("string")).alias("question"), F.concat(F.lit("a"), F.col("conv_id").cast("string")).alias("answer")))
+
+
 @query("SELECT conv_id, turn, role, text FROM conversations WHERE conv_id % 7 <> 0")
 def dialog_delete(s, d):
     m = X.messages(s, d)

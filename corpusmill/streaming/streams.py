@@ -16,18 +16,14 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from corpusmill.operators import layout as L
 from corpusmill.operators import titles as TI
 from corpusmill.operators.chunks import chunk_text, chunks, text_hash
-from corpusmill.operators.ingest import ingest_dedup, saved
 from corpusmill.operators.reuse import ingest_with_index
 
 
 def stream_ingest(documents: DataFrame, store: str, checkpoint: str) -> None:
-    """Streamed documents (doc_id, text): each batch is chunked, what the store or an earlier document of the batch has is dropped, the rest appended. Stops when all is read."""
+    """Streamed documents (doc_id, text): each batch is chunked, what the store or an earlier document of the batch has is dropped, by the hashes kept beside the store, the rest appended. Stops when all is read."""
 
     def add(batch: DataFrame, _: int) -> None:
-        new = batch_ingest(batch).persist(StorageLevel.DISK_ONLY)
-        stored = saved(batch.sparkSession, store, {"text_hash": "string"})
-        ingest_dedup(new, new.limit(0) if stored is None else stored).write.mode("append").parquet(store)
-        new.unpersist()
+        ingest_with_index(batch_ingest(batch), store, f"{store}_hashes")
 
     documents.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 

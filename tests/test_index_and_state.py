@@ -8,12 +8,14 @@ from datetime import datetime
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions import text as T
 from corpusmill.operators import dialog_log as DL
 from corpusmill.operators import ingest as I
 from corpusmill.operators import match as R
+from corpusmill.operators import pair_model as PM
 from corpusmill.operators import reuse as U
 from corpusmill.operators import search as S
 from corpusmill.operators import segment as SG
@@ -392,6 +394,23 @@ def test_pairs_are_cut_to_their_length(spark):
             assert (r.cq, r.ct) == plain(r.q.split(), r.t.split(), most)
 
 
+def test_a_trained_scorer_puts_the_source_first(spark):
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(300)]
+    chunks = I.embed_text(spark.createDataFrame([(f"c{i}", " ".join(rng.choice(words) for _ in range(60))) for i in range(300)] + [("short", "a b"), ("blank", "")], "id string, text string")).persist()
+    pairs = PM.training_pairs(chunks, near=8).persist()
+    assert pairs.where("label = 1").count() == 300 and pairs.where("label = 0").groupBy("query_id").count().agg(F.min("count")).first()[0] >= 8
+    weights = PM.fit(pairs.where("pmod(query_id, 2) = 0"))
+    held_out = pairs.where("pmod(query_id, 2) = 1")
+
+    def first(score):
+        ranked = held_out.withColumn("r", F.rank().over(Window.partitionBy("query_id").orderBy(F.desc(score), "label")))
+        return ranked.where("label = 1").agg(F.avg((F.col("r") == 1).cast("double"))).first()[0]
+
+    assert first(PM.pair_score(weights)) > max(0.9, first(F.col("score")))
+    assert "Python" not in plan(S.rerank(held_out, 3, PM.pair_score(weights))).split("InMemoryRelation")[0]
+
+
 def test_paths_are_the_best_of_all(spark):
     rng = random.Random(0)
     for _ in range(60):
