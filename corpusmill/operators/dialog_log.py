@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusmill.operators.dialogs import default_title
-from corpusmill.operators.ingest import saved
+from corpusmill.operators.ingest import exists, saved
 
 EVENT = "seq bigint, at timestamp, kind string, conv_id string, turn bigint, role string, text string"
 KINDS = ("open", "message", "title", "delete")
@@ -33,7 +33,9 @@ def append_events(events: DataFrame, path: str, batch: int) -> None:
 
 
 def log_events(spark: SparkSession, path: str, upto: int | None = None) -> DataFrame:
-    """The last snapshot's events and those of later batches, with their batch. Only the later batches' files are read."""
+    """The last snapshot's events and those of later batches, with their batch; none where there is no log. Only the later batches' files are read."""
+    if not exists(spark, f"{path}/log"):
+        return spark.createDataFrame([], f"{EVENT}, batch bigint")
     entered = saved(spark, f"{path}/snapshots", {"upto": "bigint"})
     last = None if entered is None else (entered if upto is None else entered.where(F.col("upto") <= upto)).agg(F.max("upto")).first()[0]
     log = spark.read.schema(f"{EVENT}, batch bigint").parquet(f"{path}/log")

@@ -157,9 +157,9 @@ def masked_topk(queries: DataFrame, items: DataFrame, scopes: DataFrame, k: int,
     wanted = scopes.select(F.col("query_id").cast("long").alias("query_id"), "scope").where("scope IS NOT NULL").distinct()
     few = asked.limit(FEW_QUERIES + 1).collect()
     hits = _masked_few(few, given, wanted, k, ranged, item) if len(few) <= FEW_QUERIES else masked_many(asked, given, wanted, k, ranged, item)
-    # an item may stand in several of a query's scopes
-    twice = best(hits, k * 8, item).drop("rank").dropDuplicates(["query_id", item])
-    return best(twice, k, item)
+    # an item that stands in several of a query's scopes comes several times, with one rank
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), item)
+    return hits.withColumn("rank", F.dense_rank().over(order)).where(F.col("rank") <= k).dropDuplicates(["query_id", item])
 
 
 def _masked_few(few: list, items: DataFrame, scopes: DataFrame, k: int, ranged: bool, item: str) -> DataFrame:

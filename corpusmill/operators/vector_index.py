@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
+from corpusmill.operators.ingest import saved
 from corpusmill.operators.search import FEW_QUERIES, best, equal_runs, masked_many, near_items
 
 #: Items a cell that the sample holds at most; the cells are learned on so many times their number.
@@ -93,7 +94,11 @@ def search_index(queries: DataFrame, path: str, k: int, probes: int = 32, item:
     Up to FEW_QUERIES queries go with the code, and only the partitions of cells that one of them probes are read; more
     meet the items by cell, in parts by the cells' sizes. Null and empty vectors have no hits.
     """
-    centroids, items = read_centroids(queries.sparkSession, path), queries.sparkSession.read.parquet(f"{path}/items")
+    spark = queries.sparkSession
+    items = saved(spark, f"{path}/items", {})
+    if items is None:  # an index of nothing
+        return spark.createDataFrame([], f"query_id long, {item} string, score double, rank int")
+    centroids = read_centroids(spark, path)
     asked = queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("q_vector").cast("array<double>").alias("q"))
     asked = with_cells(asked, centroids, probes, "q")
     given = items.select(item, F.col("vector").cast("array<double>").alias("vector"), "cell")

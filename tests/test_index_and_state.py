@@ -76,6 +76,15 @@ def test_no_row_has_two_vectors_and_page_ranges_need_few_buckets(spark):
     assert sorted(tuple(r) for r in got.collect()) == plain_hits(q, items, lambda *_: True, 5)
 
 
+def test_an_item_of_many_scopes_is_one_hit(spark):
+    queries = spark.createDataFrame([(1, [1.0, 0.0])], "query_id long, q_vector array<double>")
+    rows = spark.createDataFrame([(f"i{n}", [1.0, float(-n)]) for n in range(6)], "id string, vector array<double>")
+    many = F.transform(F.sequence(F.lit(1), F.lit(20)), lambda i: F.concat(F.lit("s"), i.cast("string")))
+    asked = spark.createDataFrame([(1, f"s{i}") for i in range(1, 21)], "query_id long, scope string")
+    hits = S.masked_topk(queries, rows.withColumn("scopes", many), asked, 4).orderBy("rank").collect()
+    assert [(r.id, r.rank) for r in hits] == [("i0", 1), ("i1", 2), ("i2", 3), ("i3", 4)]
+
+
 def test_pairs_are_scopes_too(spark):
     q, items, _ = scoped_rows(spark, random.Random(6))
     pairs = {(i % 40, f"i{i * 7 % 500}") for i in range(300)}
@@ -130,7 +139,7 @@ def test_index_of_nothing_of_one_and_of_equal_vectors(spark, tmp_path):
     schema = "id string, vector array<double>"
     for n, rows in enumerate([[], [("a", None)], [("a", [1.0, 0.0])], [(f"a{i}", [0.6, 0.8]) for i in range(50)], [("z", [0.0, 0.0])]]):
         VI.build_index(spark.createDataFrame(rows, schema), f"{tmp_path}/{n}")
-        hits = VI.search_index(q, f"{tmp_path}/{n}", 3).collect() if n > 1 else []
+        hits = VI.search_index(q, f"{tmp_path}/{n}", 3).collect()
         assert len(hits) == min(3, len(rows) if n > 1 else 0)
 
 
@@ -276,7 +285,8 @@ def test_log_view_and_compaction_agree_with_a_replay(spark, tmp_path):
 
 def test_the_last_deletion_opens_a_new_dialog(spark, tmp_path):
     at, path = datetime(2024, 1, 1), str(tmp_path)
-    DL.append_events(DL.exchange_events(spark.createDataFrame([("a", "q", "r"), ("b", "q2", "r2")], "conv_id string, question string, answer string"), spark.createDataFrame([], DL.EVENT + ", batch long"), at, 0), path, 0)
+    assert DL.dialog_view(DL.log_events(spark, path)).count() == 0
+    DL.append_events(DL.exchange_events(spark.createDataFrame([("a", "q", "r"), ("b", "q2", "r2")], "conv_id string, question string, answer string"), DL.log_events(spark, path), at, 0), path, 0)
     for batch, gone in enumerate((["a", "unknown"], ["b"]), 1):
         ids = spark.createDataFrame([(g,) for g in gone], "conv_id string")
         DL.append_events(DL.deletion_events(spark, DL.log_events(spark, path), ids, at, 0, "fresh-dialog"), path, batch)
