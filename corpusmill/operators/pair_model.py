@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from corpusmill.functions import text as T
 from corpusmill.functions import vectors as V
 from corpusmill.operators import ingest as I
-from corpusmill.operators.search import lexical, pair_within, vector_topk, with_texts
+from corpusmill.operators.search import vector_topk, with_texts, words_lost
 
 #: Chunks that give a training pair, at most: those of the least hashes of their ids.
 SAMPLE = 2_000
@@ -27,21 +27,29 @@ PASSAGE = 12
 FEATURES = ("shared", "common", "pairs", "size")
 
 
-def features(query: Column, text: Column) -> list[Column]:
-    """FEATURES of a pair cut to a model's length: the lexical score, the share of the query's words and of its word pairs that the text has, and the text's size.
+def features(query: Column, text: Column) -> Column:
+    """FEATURES of a pair cut to a model's length, as an array: the lexical score, the share of the query's words and of its word pairs that the text has, and the text's size.
 
     The vector score is none: wrong answers are chosen by it, so that a low one would seem to be right.
     """
-    q, t = pair_within(F.lower(query), F.lower(text))
-    qw, tw = T.words(q), T.words(t)
 
     def pairs(ws: Column) -> Column:
         return F.transform(F.slice(ws, F.lit(1), F.greatest(F.size(ws) - 1, F.lit(0))), lambda w, i: F.concat(w, F.lit(" "), F.get(ws, i + 1)))
 
     def share(a: Column, b: Column) -> Column:
-        return F.size(F.array_intersect(F.array_distinct(a), b)) / F.greatest(F.size(F.array_distinct(a)), F.lit(1))
+        return F.size(F.array_intersect(a, b)) / F.greatest(F.size(F.array_distinct(a)), F.lit(1))
 
-    return [lexical(q, t).alias("shared"), share(qw, tw).alias("common"), share(pairs(qw), pairs(tw)).alias("pairs"), F.log1p(F.size(tw)).alias("size")]
+    def cut(s: Column) -> Column:
+        from_q, from_t = words_lost(F.size(s["q"]), F.size(s["t"]))
+        return F.struct(F.slice(s["q"], F.lit(1), F.size(s["q"]) - from_q).alias("q"), F.slice(s["t"], F.lit(1), F.size(s["t"]) - from_t).alias("t"))
+
+    def values(s: Column) -> Column:
+        common = share(s["q"], s["t"])
+        return F.array(common / (1 + F.size(s["t"]) / 100), common, share(pairs(s["q"]), pairs(s["t"])), F.log1p(F.size(s["t"])))
+
+    # lambdas bind the words, so that each text is split once
+    words = F.struct(T.words(F.lower(query)).alias("q"), T.words(F.lower(text)).alias("t"))
+    return F.get(F.transform(F.transform(F.array(words), cut), values), F.lit(0))
 
 
 def training_pairs(chunks: DataFrame, sample: int = SAMPLE, near: int = NEAR) -> DataFrame:
@@ -62,7 +70,7 @@ def training_pairs(chunks: DataFrame, sample: int = SAMPLE, near: int = NEAR) ->
 
 def fit(pairs: DataFrame) -> list[float]:
     """Weights of FEATURES and the intercept, last."""
-    rows = pairs.select(F.col("label").cast("double"), array_to_vector(F.array(*features(F.col("query"), F.col("text")))).alias("features")).persist()
+    rows = pairs.select(F.col("label").cast("double"), array_to_vector(features(F.col("query"), F.col("text"))).alias("features")).persist()
     try:
         model = LogisticRegression(regParam=1e-3, maxIter=25).fit(rows)
     finally:
@@ -72,7 +80,5 @@ def fit(pairs: DataFrame) -> list[float]:
 
 def pair_score(weights: list[float], query: str = "query", text: str = "text") -> Column:
     """The logit of a pair, for `search.rerank` and `search.blend`."""
-    total = F.lit(weights[-1])
-    for w, f in zip(weights, features(F.col(query), F.col(text))):
-        total = total + w * f
-    return total
+    weighted = F.zip_with(features(F.col(query), F.col(text)), F.array(*map(F.lit, weights[:-1])), lambda f, w: f * w)
+    return F.aggregate(weighted, F.lit(weights[-1]), lambda total, x: total + x)

@@ -259,19 +259,22 @@ def rerank(hits: DataFrame, k: int, score: Column | None = None) -> DataFrame:
 PAIR_WORDS = 512
 
 
+def words_lost(n_query: Column, n_text: Column, most: int = PAIR_WORDS) -> tuple[Column, Column]:
+    """How many words a query and a text lose so that `most` are left: one from the longer of the two at a time, the text first among equals."""
+    over, gap = F.greatest(n_query + n_text - most, F.lit(0)), n_text - n_query
+    alike = F.greatest(over - F.abs(gap), F.lit(0))
+    from_query = F.when(gap < 0, F.least(over, -gap)).otherwise(0) + F.floor(alike / 2)
+    return from_query.cast("int"), (over - from_query).cast("int")
+
+
 def pair_within(query: Column, text: Column, most: int = PAIR_WORDS) -> tuple[Column, Column]:
-    """Both cut to `most` words together, one from the longer of the two at a time; what fits stays as it is."""
+    """Both cut to `most` words together; what fits stays as it is."""
     q, t = T.words(query), T.words(text)
-    over = F.greatest(F.size(q) + F.size(t) - most, F.lit(0))
-    # what the longer one has more goes first, then both lose alike, the text the odd one
-    gap = F.size(t) - F.size(q)
-    alike = F.greatest(over - F.abs(gap), F.lit(0))
-    from_q = F.when(gap < 0, F.least(over, -gap)).otherwise(0) + F.floor(alike / 2)
-    from_t = over - from_q
 
     def cut(c: Column, words: Column, n: Column) -> Column:
-        return F.when(n > 0, F.array_join(F.slice(words, F.lit(1), (F.size(words) - n).cast("int")), " ")).otherwise(c)
+        return F.when(n > 0, F.array_join(F.slice(words, F.lit(1), F.size(words) - n), " ")).otherwise(c)
 
+    from_q, from_t = words_lost(F.size(q), F.size(t), most)
     return cut(query, q, from_q), cut(text, t, from_t)
 
 
