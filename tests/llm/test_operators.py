@@ -241,6 +241,32 @@ def test_search_is_exact(docs, rows):
         assert np.allclose([s for _, s in got[q]], [s for _, s in want], atol=1e-5)
 
 
+def test_blocks_under_the_threshold_are_not_read():
+    """One shard of over 200 blocks, whose queries are of few words: exact, and most blocks and postings stay unread."""
+    rng = np.random.default_rng(3)
+    n, words = 220 * search.BLOCK + 7, 3000
+    length = rng.integers(5, 40, n)
+    topic = np.sort(rng.integers(0, 50, n))
+    h = np.where(rng.random(length.sum()) < 0.5, rng.zipf(1.3, length.sum()) % 40, 40 + np.repeat(topic, length) * 50 + rng.integers(0, 90, length.sum())) % words
+    doc, word = np.divmod(np.unique(np.repeat(np.arange(n), length) * words + h), words)
+    times = np.unique(np.repeat(np.arange(n), length) * words + h, return_counts=True)[1]
+    table = np.zeros((n, words))
+    table[doc, word] = times
+    df = (table > 0).sum(axis=0)
+    idf = np.log(1 + (n - df + 0.5) / (df + 0.5))
+    weights = table * 2.2 / (table + 1.2 * (0.25 + 0.75 * length / length.mean())[:, None]) * idf
+    ids = rng.permutation(n)
+    index = search.Index([(ids, length, doc.astype(np.int32), word.astype(np.uint64), times.astype(np.int32))], float(n), length.mean())
+    asked = [np.flatnonzero(table[d])[:size] for d, size in zip(rng.integers(0, n, 90).tolist(), [2, 4, 8, 40, 40, 40] * 15)]
+    asked.append(np.zeros(0, np.int64))
+    for q, (got, score) in zip(asked, index.top([(q.astype(np.uint64), df[q].astype(float)) for q in asked], 10)):
+        want = np.round(weights[:, q].sum(axis=1), 6)
+        order = np.lexsort((ids, -want))[:10]
+        order = order[want[order] > 0]
+        assert got.tolist() == ids[order].tolist() and np.allclose(score, want[order], atol=2e-6)
+    assert index.blocks > 200 and index.scored < 0.5 * index.met and index.read < 0.6 * index.listed
+
+
 def in_order(a, b):
     """Aligned words over all: the whole table."""
     table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
