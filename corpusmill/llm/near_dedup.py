@@ -2,7 +2,9 @@
 
 A document's k-mers are its shingles of `SHINGLE` words, each labelled with how often it stood before in the
 text. Each of `SKETCHES` hash functions picks the `PICKED` least labelled k-mers, and keeps them in text
-order: documents that share k-mers in another order get another sketch. Texts with an equal sketch are
+order: documents that share k-mers in another order get another sketch. An edit spoils `SHINGLE` k-mers, too many
+of a short text, so texts of up to `SHORT` words have `SHORT_SKETCHES` sketches of k-mers of `SHORT_SHINGLE` words instead; from
+`BOTH` words on, as many as a text similar to a longer one has, they have both kinds. Texts with an equal sketch are
 candidates. A candidate pair's words are aligned within the band of diagonals that the threshold allows; with
 L aligned words of n and m its similarity is L / (n + m - L), the Jaccard similarity of words that stand in
 the same order. Pairs of `THRESHOLD` or more are links, and the connected components are the classes.
@@ -44,7 +46,12 @@ from corpusmill.llm.common import cut, documents, salted_join
 from corpusmill.llm.substring_dedup import Words
 
 SHINGLE, THRESHOLD = 5, 0.8
-SKETCHES, PICKED = 16, 2
+SKETCHES, PICKED = 24, 2
+#: Words of a short text, of its k-mers, and how many sketches they make; the words from which it has those of long texts too.
+SHORT, SHORT_SHINGLE, SHORT_SKETCHES = 40, 2, 16
+BOTH = int(THRESHOLD * SHORT)
+#: In place of a sketch that a text does not have.
+NO_SKETCH = 0
 #: Rounds of leading pairs before buckets are compared whole.
 ROUNDS = 1
 #: Bytes of the minhash that filters pairs.
@@ -61,10 +68,11 @@ BATCH = 4_000_000
 
 
 def shingles(w: Words, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """words: the hashes of w -> (hashes of all shingles in order, bounds by document); a shorter document is one shingle, an empty one none."""
+    """words: the hashes of w -> (hashes of the shingles in order, bounds by document) of texts of BOTH words or more, and of those
+    of fewer than SHINGLE words, which are one shingle; of no others, nor of empty ones."""
     counts = np.diff(w.bounds)
     h = rolling.grams(words, SHINGLE)
-    ok = rolling.fits(w.bounds, SHINGLE)
+    ok = rolling.fits(w.bounds, SHINGLE) & np.repeat(counts >= BOTH, counts)
     for d in np.flatnonzero((counts > 0) & (counts < SHINGLE)).tolist():
         a, b = w.bounds[d], w.bounds[d + 1]
         h[a] = rolling.grams(words[a:b], int(b - a))[0]
@@ -72,6 +80,13 @@ def shingles(w: Words, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return h[ok], np.concatenate([[0], np.cumsum(ok)])[w.bounds]
 
 
+def short_shingles(w: Words, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same of the short k-mers of texts of SHINGLE to SHORT words."""
+    counts = np.diff(w.bounds)
+    ok = rolling.fits(w.bounds, SHORT_SHINGLE) & np.repeat((counts >= SHINGLE) & (counts <= SHORT), counts)
+    return rolling.grams(words, SHORT_SHINGLE)[ok], np.concatenate([[0], np.cumsum(ok)])[w.bounds]
+
+
 def labelled(h: np.ndarray, doc: np.ndarray) -> np.ndarray:
     """Hashes of (shingle, how many equal ones stand before it in its document)."""
     order = np.lexsort((h, doc))
@@ -92,17 +107,17 @@ def word_bins(words: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return np.where(least == rolling.TOP, 0, least % np.uint64(255) + np.uint64(1)).astype(np.uint8).reshape(-1, BINS)
 
 
-def order_minhash(h: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(documents with shingles, their sketches): a row each."""
+def order_minhash(h: np.ndarray, bounds: np.ndarray, sketches: int = SKETCHES, first: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """(documents with shingles, their sketches): a row each. Sketches are numbered from `first`."""
     has = np.flatnonzero(np.diff(bounds) > 0)
     if not len(has):
-        return has, np.zeros((0, SKETCHES), np.uint64)
+        return has, np.zeros((0, sketches), np.uint64)
     begin = bounds[has]
     doc = np.repeat(np.arange(len(has)), np.diff(bounds)[has])
     label = labelled(h, doc)
-    out = np.empty((len(has), SKETCHES), np.uint64)
-    factors = rolling.mix(np.arange(1, SKETCHES + 1, dtype=np.uint64)) | np.uint64(1)
-    for k in range(SKETCHES):
+    out = np.empty((len(has), sketches), np.uint64)
+    factors = rolling.mix(np.arange(first + 1, first + sketches + 1, dtype=np.uint64)) | np.uint64(1)
+    for k in range(sketches):
         v = label * factors[k]
         picked = []
         for _ in range(PICKED):
@@ -112,7 +127,7 @@ def order_minhash(h: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nda
             picked.append(hit)
         place = np.sort(np.concatenate(picked))  # text order
         nth = np.arange(len(place)) - np.searchsorted(doc[place], doc[place])
-        sketch = np.full(len(has), np.uint64(k))
+        sketch = np.full(len(has), np.uint64(first + k))
         for n in range(int(nth.max()) + 1):
             at = place[nth == n]
             sketch[doc[at]] = rolling.mix(sketch[doc[at]] * rolling.M2 + label[at])
@@ -125,10 +140,13 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = Words(batch)
         words = w.hashes()
         has, sketches = order_minhash(*shingles(w, words))
+        has_short, short = order_minhash(*short_shingles(w, words), SHORT_SKETCHES, SKETCHES)
         bins = word_bins(words, w.bounds)
         out: list[list] = [[None] * batch.num_rows for _ in range(2)]
         for d, row in zip(has.tolist(), sketches.view(np.int64).tolist()):
             out[0][d], out[1][d] = row, bins[d].tobytes()
+        for d, row in zip(has_short.tolist(), short.view(np.int64).tolist()):
+            out[0][d], out[1][d] = (out[0][d] or [NO_SKETCH] * SKETCHES) + row, bins[d].tobytes()
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(out[0], pa.list_(pa.int64())), pa.array(out[1], pa.binary())], names=["_id", "_name", "sketches", "bins"])
 
 
@@ -279,7 +297,9 @@ def _block_pairs(members: list) -> tuple[np.ndarray, np.ndarray, Iterator[tuple[
     ids, roots = (np.array([m[c] for m in members], np.int64) for c in ("_rep", "root"))
     key = members[0]["key"]
     bins = np.frombuffer(b"".join(m["bins"] for m in members), np.uint8).reshape(-1, BINS)
-    sketches = np.array([m["sketches"] for m in members], np.int64)
+    sketches = np.full((len(members), SKETCHES + SHORT_SKETCHES), NO_SKETCH, np.int64)
+    for row, m in zip(sketches, members):
+        row[: len(m["sketches"])] = m["sketches"]
     outside = np.array([m["outside"] for m in members], bool)
     rest = np.flatnonzero(~outside)
 
@@ -288,7 +308,7 @@ def _block_pairs(members: list) -> tuple[np.ndarray, np.ndarray, Iterator[tuple[
             other = rest[roots[rest] != roots[i]]
             other = other[promising(bins[other], bins[i])]
             if len(other):
-                shared = sketches[other] == sketches[i]
+                shared = (sketches[other] == sketches[i]) & (sketches[i] != NO_SKETCH)
                 yield i, other[sketches[i][shared.argmax(axis=1)] == key]
 
     return ids, roots, partners()
@@ -369,7 +389,7 @@ def classed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     sketched = plain.mapInArrow(_sketch, "_id long, _name long, sketches array<long>, bins binary")
     reps = cut(sketched.groupBy(F.col("_id").alias("_rep")).agg(F.min("_name").alias("least"), F.first("sketches").alias("sketches"), F.first("bins").alias("bins")))
     known = reps.where("sketches IS NOT NULL")
-    marks = known.select("_rep", F.explode("sketches").alias("sketch"))
+    marks = known.select("_rep", F.explode("sketches").alias("sketch")).where(F.col("sketch") != NO_SKETCH)
     sizes = marks.groupBy("sketch").agg(F.count("*").alias("n")).where("n > 1")
     placed = cut(marks.join(sizes, "sketch"))  # of the marks only those that several texts have
     # the text whose sketches most others share ranks first: the original of a group of edited copies

@@ -323,6 +323,27 @@ def test_near_dedup_finds_short_texts_with_several_edits(spark):
     assert all(got[i] in (i, i - i % 2) for i in got)  # nothing else is linked
 
 
+def test_near_dedup_finds_edited_texts_of_every_length(spark):
+    """By length: words of a text, and random edits of it; of the pairs that align to the threshold 95 % are linked at each, and nothing else."""
+    rng = random.Random(21)
+    bands = [(5, 6, 1), (7, 9, 1), (10, 14, 1), (15, 19, 1), (20, 29, 2), (30, 45, 4), (46, 60, 6), (200, 200, 20)]
+    texts, pairs = [], collections.defaultdict(list)
+    for band in bands:
+        while len(pairs[band]) < 120:
+            w = [f"w{rng.randrange(40000)}" for _ in range(rng.randint(*band[:2]))]
+            edited = list(w)
+            for _ in range(band[2]):
+                k = rng.randrange(len(edited))
+                edited[k : k + 1] = rng.choice([[f"x{rng.randrange(40000)}"], [], [edited[k], f"x{rng.randrange(40000)}"]])
+            if len(edited) >= near_dedup.SHINGLE and edited != w and in_order(w, edited) >= near_dedup.THRESHOLD:
+                pairs[band].append(len(texts))
+                texts += [" ".join(w), " ".join(edited)]
+    got = {r.doc_id: r.class_id for r in near_dedup.classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)).collect()}
+    found = {band: sum(got[a + 1] == a for a in at) for band, at in pairs.items()}
+    assert all(n >= 0.95 * 120 for n in found.values()), found
+    assert all(got[i] in (i, i - i % 2) for i in got)
+
+
 @pytest.mark.parametrize("side", [2, 500])
 def test_large_bucket_whose_leader_is_unrelated(spark, monkeypatch, side):
     monkeypatch.setattr(near_dedup, "SIDE", side)
