@@ -220,7 +220,41 @@ def test_licenses(spark):
     mit = licenses.TEMPLATES["MIT"]
     d = spark.createDataFrame([(1, "Foo bar baz.\nReleased under the MIT License.\nMore text here."), (2, mit.replace(" sublicense,", "")), (3, "MIT License"), (4, None)], "doc_id long, text string")
     got = {(r.doc_id, r.segment, r.template) for r in licenses.scan(d).collect()}
-    assert got == {(1, "line", "MIT-line"), (2, "line", "MIT")}
+    assert got == {(1, "line", "MIT-line"), (2, "line", "MIT"), (1, "window", "MIT-line"), (2, "window", "MIT")}
+
+
+def test_licenses_inside_other_text(spark):
+    """Notices over paragraphs, in comments, inside lines, whole licences in one line and edited ones; every window against plain Python."""
+    rng = random.Random(8)
+
+    def prose(n):
+        return " ".join(rng.choice("the software of this and any code is for use in copy license under notice file".split()) for _ in range(n))
+
+    def lines(text, width, mark=""):
+        w = text.split()
+        return "\n".join(mark + " ".join(w[i : i + width]) for i in range(0, len(w), width))
+
+    t = licenses.TEMPLATES
+    apache = t["Apache-2.0-notice"].replace(" You may obtain", "\n\n You may obtain").replace(" Unless", "\n\n Unless")
+    gpl = t["GPL-3.0-notice"].replace(" This program is distributed", "\n\nThis program is distributed")
+    edited = t["Zlib"].split()
+    for k in (5, 40, 41, 90):
+        edited[k] = "changed"
+    texts = [
+        f"import os\n\n{lines(apache, 9, '# ')}\n\nprint(1)\n{prose(60)}", f"{prose(30)}\n{gpl}\n\n{prose(400)}", "The parser is small and fast. Released under the MIT License.", f"{prose(80)} {t['MIT-full']} {prose(50)}",
+        f"{prose(20)}\n{lines(' '.join(edited), 7)}\n{prose(20)}", f"{prose(300)} {t['BSD-3-Clause']}", prose(3000), "all", "", None, "All rights reserved. " * 3,
+    ]
+    rows = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).where("segment = 'window'").collect()
+    want = {}
+    for d, text in enumerate(texts):
+        own = licenses._bigrams(text or "")
+        for name, template in t.items():
+            g = licenses._bigrams(template)
+            found = [(-round(2 * len({*own[i : i + len(g)]} & {*g}) / (len(own[i : i + len(g)]) + len(g)), 6), i) for i, x in enumerate(own) if x in g]
+            if found and -min(found)[0] >= licenses.THRESHOLD:
+                want[d, name] = min(found)[1], -min(found)[0]
+    assert {(r.doc_id, r.template): (r.position, r.dice) for r in rows} == want and len(rows) == len(want)
+    assert {(0, "Apache-2.0-notice"), (1, "GPL-3.0-notice"), (2, "MIT-line"), (3, "MIT-full"), (3, "MIT"), (4, "Zlib"), (5, "BSD-3-Clause"), (10, "All-Rights-Reserved")} <= set(want)
 
 
 def test_search_is_exact(docs, rows):
