@@ -161,16 +161,16 @@ sized AS (SELECT * FROM worded WHERE len(w) BETWEEN 2 AND 1000),
 paired AS (SELECT doc_id, segment, position, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) AS grams FROM sized),
 scored AS (
   SELECT doc_id, segment, position, template, 2.0::DOUBLE * len(list_distinct(list_intersect(p.grams, t.grams))) / (len(p.grams) + len(t.grams)) AS dice
-  FROM paired p JOIN templates t ON len(p.grams) BETWEEN 0.66 * len(t.grams) AND 1.51 * len(t.grams))
-read AS (SELECT *, row_number() OVER () AS row FROM (SELECT doc_id, list_filter(regexp_split_to_array(plain, '[ \n]+'), lambda x: x <> '') AS w FROM plain)),
-sequences AS (SELECT row, doc_id, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) AS grams FROM read),
-places AS (SELECT row, unnest(grams) AS gram, unnest(range(0, len(grams))) AS position FROM sequences),
-starts AS (SELECT DISTINCT row, position, template FROM places JOIN (SELECT template, unnest(grams) AS gram FROM templates) USING (gram)),
+  FROM paired p JOIN templates t ON len(p.grams) BETWEEN 0.66 * len(t.grams) AND 1.51 * len(t.grams)),
+read AS (SELECT *, row_number() OVER () AS nr FROM (SELECT doc_id, list_filter(regexp_split_to_array(plain, '[ \n]+'), lambda x: x <> '') AS w FROM plain)),
+sequences AS (SELECT nr, doc_id, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) AS grams FROM read),
+places AS (SELECT nr, unnest(grams) AS gram, unnest(range(0, len(grams))) AS position FROM sequences),
+starts AS (SELECT DISTINCT nr, position, template FROM places JOIN (SELECT template, unnest(grams) AS gram FROM templates) USING (gram)),
 rated AS (
-  SELECT row, s.doc_id, p.position, template,
+  SELECT nr, s.doc_id, p.position, template,
     round(2.0::DOUBLE * len(list_distinct(list_intersect(s.grams[p.position + 1 : p.position + len(t.grams)], t.grams))) / (len(s.grams[p.position + 1 : p.position + len(t.grams)]) + len(t.grams)), 6) AS dice
-  FROM starts p JOIN templates t USING (template) JOIN sequences s USING (row)),
-windows AS (SELECT * FROM rated QUALIFY row_number() OVER (PARTITION BY row, template ORDER BY dice DESC, position) = 1)
+  FROM starts p JOIN templates t USING (template) JOIN sequences s USING (nr)),
+windows AS (SELECT * FROM rated QUALIFY row_number() OVER (PARTITION BY nr, template ORDER BY dice DESC, position) = 1)
 SELECT doc_id, segment, CAST(position AS INT) AS position, template, round(dice, 6) AS dice FROM scored WHERE dice >= {THRESHOLD}
 UNION ALL SELECT doc_id, 'window', CAST(position AS INT), template, dice FROM windows WHERE dice >= {THRESHOLD}
 """
