@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from corpusmill.operators.ingest import saved
-from corpusmill.operators.search import FEW_QUERIES, best, equal_runs, masked_many, near_items
+from corpusmill.operators.search import FEW_QUERIES, Nearest, as_matrix, best, equal_runs, masked_many
 
 #: Items a cell that the sample holds at most; the cells are learned on so many times their number.
 SAMPLE = 64
@@ -118,13 +118,11 @@ def _of_few(few: list, items: DataFrame, k: int, item: str) -> DataFrame:
             by_cell.setdefault(c, []).append(i)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        least = np.full(len(ids), -np.inf)
+        near = Nearest(ids, matrix, k, item)
         for batch in batches:
-            cells = batch.column(2).to_numpy()
+            cells, vectors = batch.column(2).to_numpy(), as_matrix(batch.column(1))
             for a, b in equal_runs(cells):
-                at = np.array(by_cell[int(cells[a])])
-                own = least[at]
-                yield from near_items(ids[at], matrix[at], batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), k, item, least=own)
-                least[at] = own
+                near.add(batch.column(0).slice(a, b - a), vectors[a:b], np.array(by_cell[int(cells[a])]))
+        yield from near.hits()
 
     return items.where(F.col("cell").isin(list(by_cell))).mapInArrow(run, f"query_id long, {item} {dict(items.dtypes)[item]}, score double")
