@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.functions import text as T
+from corpusmill.functions.vectors import AT_ONCE
 
 LONGEST = 4
 LEAST, COHESION = 5, 20.0
@@ -76,6 +77,7 @@ def segmented(text: Column, weights: dict[str, float]) -> Column:
     def split(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
         part = re.compile(f"{T.CJK_OR_KANA}+|[a-z0-9']+")
         for texts in it:
-            yield pd.Series([[w for p in part.findall(t) for w in ([p] if p[0] < "\u0080" else best_path(p, weights, longest, unknown))] for t in texts], dtype=object)
+            for a in range(0, len(texts), AT_ONCE):  # words are many times a text's size, and go out as they come
+                yield pd.Series([[w for p in part.findall(t) for w in ([p] if p[0] < "\u0080" else best_path(p, weights, longest, unknown))] for t in texts.iloc[a : a + AT_ONCE]], dtype=object)
 
     return split(F.lower(T.strip(F.coalesce(text, F.lit("")))))
